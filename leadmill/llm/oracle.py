@@ -1,3 +1,18 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {}
+
+SQL["op8_substring_dedup"] = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT r, unnest(generate_series(1, len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35),
+h AS (SELECT s.r, s.i, md5(array_to_string(list_slice(w.ws, s.i, s.i + 34), ' ')) AS x FROM s JOIN w USING (r)),
+d AS (SELECT r, i FROM h WHERE x IN (SELECT x FROM h GROUP BY x HAVING count(*) > 1)),
+c AS (SELECT DISTINCT r, i + j AS p FROM d, (SELECT unnest(generate_series(0, 34)) AS j)),
+k AS (SELECT w.r, u.p, u.word FROM w, unnest(ws) WITH ORDINALITY AS u(word, p) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.r = w.r AND c.p = u.p)),
+t AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM k GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(t.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t.text, '')) AS kept_sha256
+FROM w LEFT JOIN t USING (r)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import quality, simhash, tokencount, urls
+from leadmill.llm import decontaminate, html, lines, pieces, quality, simhash, substrings, tokencount, urls, warc
 from leadmill.llm.common import table
 
 
@@ -24,3 +24,30 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("fp")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item_id"), F.max("share").alias("share"), F.max("verbatim").alias("verbatim"))
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True).drop("text")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -21,8 +21,6 @@ unless all its documents lack one.
 
 from __future__ import annotations
 
-from operator import add
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -32,7 +30,8 @@ from pyspark.sql import functions as F
 from leadmill.llm.common import materialise
 from leadmill.llm.components import components
 
-SEGMENTS = 16
+#: Two bits each: the bound is then tight enough that unrelated fingerprints rarely share a cell.
+SEGMENTS = 32
 
 
 def fingerprint_text(text: str | None) -> int:
@@ -57,33 +56,30 @@ def fingerprint(text: Column) -> Column:
     return of(text)
 
 
-def cells(fp: Column, segments: int = SEGMENTS) -> Column:
-    """The hashed lattice cells within one step of the fingerprint's point."""
+def enter(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """fp and cell: the fingerprint's point and its one-step neighbours, a cell being
+    one number whose digits of base width + 1 are the bit counts of the segments."""
     width = 64 // segments
-    counts = [F.bit_count(F.shiftrightunsigned(fp, k * width).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for k in range(segments)]
-    # a cell is written as one number: the counts as digits of base width + 1 (3 more bits than needed at most)
-    base = [(width + 1) ** k for k in range(segments)]
-    point = sum_of([c * F.lit(b) for c, b in zip(counts, base)])
-    up = [F.when(c < width, point + F.lit(b)) for c, b in zip(counts, base)]
-    down = [F.when(c > 0, point - F.lit(b)) for c, b in zip(counts, base)]
-    return F.filter(F.array(point, *up, *down), lambda x: x.isNotNull())
-
-
-def sum_of(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = add(out, c)
-    return out
+    mask = F.lit((1 << width) - 1)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda k: F.bit_count(F.call_function("shiftrightunsigned", F.col("fp"), k * width).bitwiseAND(mask)).cast("long"))
+    digit = F.array(*[F.lit((width + 1) ** k) for k in range(segments)])
+    point = F.aggregate(F.zip_with("counts", digit, lambda c, d: c * d), F.lit(0).cast("long"), lambda a, x: a + x)
+    up = F.zip_with("counts", digit, lambda c, d: F.when(c < width, F.col("point") + d))
+    down = F.zip_with("counts", digit, lambda c, d: F.when(c > 0, F.col("point") - d))
+    placed = fps.select("fp", counts.alias("counts")).select("fp", "counts", point.alias("point"))
+    return placed.select("fp", F.explode(F.array_compact(F.concat(F.array("point"), up, down))).alias("cell"))
 
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """Edges (a, b) that connect all fingerprints at most two bits apart; fps: distinct column fp."""
     if distance != 2:
         raise ValueError("cells and one-bit values are made for a distance of two")
-    entered = fps.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entered = enter(fps.repartition(tasks, "fp"))
     shared = entered.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     candidates = materialise(entered.join(shared, "cell", "left_semi").select("fp").distinct(), "candidates")
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << k) if k < 63 else -(1 << 63))) for k in range(64)])
+    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+    near = F.concat(F.array("fp"), flips)
     values = candidates.select("fp", F.explode(near).alias("value"))
     least = values.groupBy("value").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("value", "a")
     found = values.join(least, "value").where("fp <> a")
@@ -93,9 +89,9 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, fp (long), fingerprint (hex) and component_id."""
     marked = materialise(docs.select(F.col(key), fingerprint(F.col(text)).alias("fp")), "fingerprints")
-    groups = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    found = components(links(groups.select("fp"))).withColumnRenamed("node", "fp")
-    labelled = groups.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialise(labelled.join(ids, "label").select("fp", "component_id"), "classes")
-    return marked.join(named, "fp").select(key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = materialise(marked.groupBy("fp").agg(F.min(key).alias("least")), "distinct_fingerprints")
+    linked = groups.join(components(links(groups.select("fp"))).withColumnRenamed("node", "fp"), "fp")
+    ids = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = linked.join(ids, "label").select("fp", "component_id")
+    classes = materialise(groups.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    return marked.join(classes, "fp").select(key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
