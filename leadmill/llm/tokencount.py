@@ -71,7 +71,9 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     rare = pieces.where(step < least).select(F.col("pretoken").alias("rare"), F.col("n_pieces").alias("more"))
 
     # one marker row per document carries its special tokens and counts repeated rows
-    rows = whole.select("k", F.octet_length("t").cast("long").alias("n_bytes"), F.xxhash64("t").alias("h"), count_specials(F.col("t")).cast("long").alias("s"), F.explode(F.concat(F.array(F.lit(None).cast("string")), pretokens(F.col("t")))).alias("pretoken"))
+    # all that needs the text is computed before the explode, once per document
+    cut = whole.select("k", F.octet_length("t").cast("long").alias("n_bytes"), F.xxhash64("t").alias("h"), count_specials(F.col("t")).cast("long").alias("s"), F.concat(F.array(F.lit(None).cast("string")), pretokens(F.col("t"))).alias("all"))
+    rows = cut.select("k", "n_bytes", "h", "s", F.explode("all").alias("pretoken"))
     met = rows.join(F.broadcast(common), "pretoken", "left").select(
         "k", "n_bytes", "h",
         F.when(F.col("n_pieces").isNull(), F.col("pretoken")).alias("rare"),
