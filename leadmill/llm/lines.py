@@ -45,7 +45,9 @@ def parse(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = F.transform(F.split("t", "\n"), lambda x: masked(x))
     whole = whole.select("k", F.xxhash64("t").alias("h"), parts.alias("parts"))
     longest = F.array_max(F.transform("parts", lambda x: F.named_struct(F.lit("len"), F.length(x), F.lit("x"), F.xxhash64(x))))
-    rows = whole.select("k", "h", longest["x"].alias("klass"), F.posexplode("parts").alias("pos", "line")).where("line <> ''")
+    # before the explode, once per document
+    whole = whole.select("k", "h", "parts", longest["x"].alias("klass"))
+    rows = whole.select("k", "h", "klass", F.posexplode("parts").alias("pos", "line")).where("line <> ''")
     tokens = F.split("line", " ", 3)
     tail = F.coalesce(F.get(tokens, F.lit(2)), F.lit(""))
     return rows.select("k", "h", "klass", "pos", F.size(F.split("line", " ")).alias("n"), F.get(tokens, F.lit(0)).alias("one"), F.coalesce(F.get(tokens, F.lit(1)), F.lit("")).alias("two"), F.xxhash64(tail).alias("tail"), F.crc32(F.encode(tail, "utf-8")).alias("tail2"))
