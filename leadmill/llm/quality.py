@@ -15,6 +15,8 @@ itself; columns of the input that bear the name of a result column are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,47 +25,65 @@ from pyspark.sql import functions as F
 from leadmill.llm.common import SPACE
 
 SYMBOLS = "#*$%&|<>"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_short_words", "n_ended_lines", "n_plain_words", "n_marked_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_short_words", "n_ended_lines", "n_plain_words", "n_marked_words")
 FEATURES = ", ".join(f"{c} long" for c in COUNTS)
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 
 
-def repeated_words(codes: np.ndarray, distinct: int) -> int:
+class Words(dict):
+    """Word to number, with the word's properties in the lowest four bits. Forgets between texts beyond a million words."""
+
+    def __missing__(self, word: bytes) -> int:
+        plain = word.rstrip(b".,;:!?)\"'").replace(b"-", b"").isalpha() or word[0] > 127 or word[-1] > 127
+        marked = len(word) > 2 and word[-2] == word[-1] and word[-1] in b"!?.*#$%&|<>=~^_"
+        self[word] = number = len(self) << 4 | (len(word) > 1 and word.isupper()) | (len(word) < 4) << 1 | plain << 2 | marked << 3
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > 1_000_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def repeated_words(numbers: np.ndarray) -> int:
     """Words inside 3-word windows that are found twice or more."""
-    if len(codes) < 4:
+    if len(numbers) < 4:
+        return 0
+    distinct = int(numbers.max()) + 1
+    if distinct < 1 << 21:
+        keys = (numbers[:-2] << 42) + (numbers[1:-1] << 21) + numbers[2:]
+    else:
+        pairs = np.unique(numbers[:-1] * distinct + numbers[1:], return_inverse=True)[1]
+        keys = pairs[:-1] * distinct + numbers[2:]
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    if not same.any():
         return 0
-    pairs = codes[:-1] * distinct + codes[1:]
-    if distinct > 2_000_000:
-        pairs = np.unique(pairs, return_inverse=True)[1]
-    _, inverse, counts = np.unique(pairs[:-1] * distinct + codes[2:], return_inverse=True, return_counts=True)
-    starts = counts[inverse] > 1
-    covered = np.zeros(len(codes), bool)
+    starts = np.zeros(len(keys), bool)
+    starts[order[1:][same]] = starts[order[:-1][same]] = True
+    covered = np.zeros(len(numbers), bool)
     for k in range(3):
         covered[k : k + len(starts)] |= starts
     return int(covered.sum())
 
 
-def count_text(text: str | None) -> tuple:
+def count_text(text: str | None, known: Words) -> tuple:
     """The counts of COUNTS for one text."""
     text = text or ""
     words = text.encode("utf-8", "replace").split()
-    known: dict[bytes, int] = {}
-    codes = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    numbers = known.numbers(words)
+    share = [int((numbers >> k & 1).sum()) for k in range(4)]
     lines = [x for x in text.split("\n") if x.strip(SPACE)]
-    letters = sum(map(str.isalpha, text)) if not text.isascii() else len(text) - sum(map(text.count, SPACE + "0123456789.,;:!?()'\"-" + SYMBOLS))
     return (
         len(words),
         len(text) - sum(map(text.count, SPACE)),
         sum(map(text.count, SYMBOLS)),
         len(lines) - len(set(lines)),
-        repeated_words(codes, len(known)),
+        repeated_words(numbers >> 4),
         len(lines),
-        sum(1 for w in words if len(w) > 1 and w.isupper()),
-        letters,
-        sum(1 for w in words if len(w) < 4),
+        *share[:2],
         sum(1 for x in lines if x.rstrip(SPACE)[-1] in ".!?\"'»”:"),
-        sum(1 for w in words if w.rstrip(b".,;:!?)\"'").replace(b"-", b"").isalpha() or w[0] > 127 or w[-1] > 127),
-        sum(1 for w in words if len(w) > 2 and w[-2] == w[-1] and w[-1] in b"!?.*#$%&|<>=~^_"),
+        *share[2:],
     )
 
 
@@ -71,8 +91,10 @@ def text_counts(text: Column) -> Column:
     """A struct of COUNTS for every whole text."""
 
     @F.pandas_udf(FEATURES)
-    def counts(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([count_text(x) for x in texts], columns=list(COUNTS), dtype="int64")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Words()
+        for texts in batches:
+            yield pd.DataFrame([count_text(x, known) for x in texts], columns=list(COUNTS), dtype="int64")
 
     return counts(text)
 
