@@ -45,7 +45,7 @@ def score_parts(now: datetime, rating: Column | None = None, reviews: Column | N
         "location_completeness": _points(has("city") & has("state"), 4) + _points(has("postal_code"), 1) + _points(has("neighborhood"), 1),
         "core_field_completeness": F.least(F.lit(8), sum((c.cast("int") for c in core), F.lit(0))),
         "source_reliability": F.when(source == "google_places", F.when(listing, 5).otherwise(3)).when(source == "website", F.when(site, 5).otherwise(3)).when(source.isin("manual_import", "merged"), 4).when(source == "demo_seed", 1).otherwise(0),
-        "freshness": F.when(age <= 30, 4).when(age <= 180, 2).otherwise(0),
+        "freshness": F.when(F.col("last_enriched_at").isNull(), 0).when(age <= 30, 4).when(age <= 180, 2).otherwise(0),
         "reputation_signals": _points(positive(rating), 2) + _points(positive(reviews), 2),
         "not_duplicate": _points(~F.col("is_duplicate"), 6),
     }

@@ -1,6 +1,8 @@
-"""Queries over the derived lead domain and the SQL that each is held against."""
+"""All queries of the library beside those of leadmill.llm, and the SQL that they are held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from leadmill.plans import lead_queries
+
+QUERIES = dict(lead_queries.QUERIES)
+ORACLE_SQL = dict(lead_queries.ORACLE_SQL)
