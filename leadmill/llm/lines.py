@@ -35,7 +35,7 @@ WILD = "<*>"
 def masked(line: Column) -> Column:
     """A trimmed line with single spaces; words with a digit are masked where a letter stands elsewhere."""
     plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    typed = F.regexp_replace(plain, r"(?<! )(?<=^| )[^ 0-9]*+[0-9][^ ]*+", WILD)
+    typed = F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)
     return F.when(typed.rlike(r"\p{L}"), typed).otherwise(plain)
 
 

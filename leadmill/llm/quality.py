@@ -111,7 +111,7 @@ def votes(f: str) -> dict[str, Column]:
     mean = c["word_chars"] / words
     return {
         "symbols": _vote(some & (c["n_symbols"] / words < 0.02), c["n_symbols"] / words > 0.1),
-        "dup_lines": _vote((lines > 3) & (c["n_dup_lines"] == 0), c["n_dup_lines"] / lines > 0.3),
+        "dup_lines": _vote((lines > 3) & (c["n_dup_lines"] == 0), (c["n_dup_lines"] > 2) & (c["n_dup_lines"] / lines > 0.3)),
         "repeats": _vote(some & (c["n_repeat_words"] / words < 0.1), c["n_repeat_words"] / words > 0.3),
         "word_length": _vote((mean >= 3) & (mean <= 9), (mean < 2) | (mean > 12)),
         "upper": _vote(some & (c["n_upper"] / words < 0.1), c["n_upper"] / words > 0.4),
