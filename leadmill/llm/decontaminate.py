@@ -27,40 +27,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadmill.llm.common import materialise
+
 WINDOW = 8
 #: Units that become a slot.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "pound", "pounds", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degrees", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilogram", "kilograms")
 _MARK = "\x01"
 
 
-def _space(c: Column) -> Column:
-    return F.split(F.trim(c), r"\s+")
-
-
-def marked(text: Column) -> Column:
-    """Lower-cased text without punctuation; names inside a sentence carry a mark in front."""
+def words(text: Column) -> Column:
+    """Lower-cased words without punctuation; names inside a sentence carry a mark in front."""
     named = F.regexp_replace(F.translate(text, "<>" + _MARK, "   "), r"(?<=[^.?!:;\s][ \t])(?=\p{Lu}\p{Ll}++)", _MARK)
     plain = F.lower(F.regexp_replace(named, r"[^\p{L}\p{M}\p{N}\s\x01]++", ""))
-    return F.trim(F.regexp_replace(plain, r"[\s\x01]+(?=\s)|(?<!\S)\x01(?!\S)", ""))
+    return F.split(F.trim(F.regexp_replace(plain, r"\s++", " ")), " ")
 
 
-def canonical(text: Column) -> Column:
-    """Marked text with typed placeholders, word for word."""
-    units = "|".join(UNITS)
-    numbers = F.regexp_replace(text, r"(?<!\S)[^\s\p{N}]*+\p{N}\S*+", "<num>")
-    names = F.regexp_replace(numbers, r"(?<!\S)\x01\S*+", "<name>")
-    return F.regexp_replace(names, rf"(?<!\S)(?:{units})(?!\S)", "<unit>")
+def placeholder(word: Column) -> Column:
+    """The typed placeholder of a word, null for other words."""
+    return F.when(word.startswith(_MARK), "<name>").when(F.translate(word, "0123456789", "") != word, "<num>").when(word.isin(*UNITS), "<unit>")
 
 
 def windows(texts: DataFrame, keys: list[str], text: str, size: int = WINDOW, short: bool = False) -> DataFrame:
-    """keys, pos, hash and slots (the marked words of a window with placeholders, else null)."""
-    df = texts.select(*keys, marked(F.coalesce(F.col(text), F.lit(""))).alias("__m"))
-    df = df.select(*keys, _space(F.col("__m")).alias("__m"), _space(canonical(F.col("__m"))).alias("__c"))
-    n = F.size("__c")
+    """keys, pos, hash and slots (the words of a window with placeholders, else null)."""
+    df = texts.select(*keys, words(F.coalesce(F.col(text), F.lit(""))).alias("__w"))
+    df = df.select(*keys, "__w", F.transform("__w", placeholder).alias("__p"))
+    hashes = F.zip_with("__w", "__p", lambda w, p: F.xxhash64(F.coalesce(p, w)))
+    df = df.select(*keys, "__w", F.transform("__p", lambda p: p.isNotNull().cast("int")).alias("__p"), hashes.alias("__h"))
+    n = F.size("__h")
     last = F.greatest(n - size + 1, F.lit(1)) if short else n - size + 1
-    df = df.where(n >= (4 if short else size))
-    joined = F.transform(F.sequence(F.lit(1), last), lambda i: F.concat_ws(" ", F.slice("__c", i, size)))
-    each = F.transform(joined, lambda w, i: F.named_struct(F.lit("hash"), F.xxhash64(w), F.lit("slots"), F.when(F.contains(w, F.lit("<")), F.concat_ws(" ", F.slice("__m", i + 1, size)))))
+    starts = F.when(n >= (4 if short else size), F.sequence(F.lit(1), last))
+    slots = lambda i: F.when(F.array_max(F.slice("__p", i, size)) == 1, F.concat_ws(" ", F.slice("__w", i, size)))
+    each = F.transform(starts, lambda i: F.named_struct(F.lit("hash"), F.xxhash64(F.slice("__h", i, size)), F.lit("slots"), slots(i)))
     return df.select(*keys, F.posexplode(each).alias("pos", "w")).select(*keys, "pos", "w.hash", "w.slots")
 
 
@@ -79,10 +76,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     # two bands, half a band apart, so that an alignment that shifts by a word stays in one of them
     shift = F.col("pos") - F.col("at")
     met = met.withColumn("band", F.explode(F.array(F.floor(shift / 8) * 2, F.floor((shift + 4) / 8) * 2 + 1)))
+    met = materialise(met, "matches")
     share = met.groupBy(*instance).agg(F.countDistinct("at").alias("n"), F.first("total").alias("total"), F.min("pos").alias("first_word"), (F.max("pos") + WINDOW - 1).alias("last_word"), F.count("slots").alias("slotted"))
     share = share.where(F.col("n") >= F.lit(min_share) * F.col("total"))
-    pairs = met.where("slots is not null").select(*instance, F.explode(F.arrays_zip(F.split("want", " ").alias("a"), F.split("slots", " ").alias("b"), _space(canonical(F.col("slots"))).alias("c"))).alias("p"))
-    pairs = pairs.where(F.col("p.c").startswith("<")).select(*instance, F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
+    pairs = met.where("slots is not null").select(*instance, F.explode(F.arrays_zip(F.split("want", " ").alias("a"), F.split("slots", " ").alias("b"), F.transform(F.split("slots", " "), placeholder).alias("c"))).alias("p"))
+    pairs = pairs.where(F.col("p.c").isNotNull()).select(*instance, F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
     slots = pairs.groupBy(*instance).agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("values"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
     sound = share.join(slots, instance, "left").where(F.coalesce(F.col("pairs") == F.col("values"), F.lit(True)))
     return sound.groupBy(F.col("k").alias(key), F.col("item").alias("item_id")).agg(
@@ -93,7 +91,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def windows_of_short_items(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame | None:
     """Windows of the sizes 4 to 7 of items that are that short; null where there are none."""
-    lengths = benchmark.select(F.size(_space(marked(F.coalesce(F.col(item_text), F.lit(""))))).alias("n")).where("n between 4 and 7").distinct().collect()  # four rows at most
+    lengths = benchmark.select(F.size(words(F.coalesce(F.col(item_text), F.lit("")))).alias("n")).where("n between 4 and 7").distinct().collect()  # four rows at most
     out = None
     for r in sorted(lengths):
         one = windows(docs.select(F.col(key).alias("k"), F.col(text).alias("__t")), ["k"], "__t", size=r["n"])
