@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadmill.plans import lead_queries
+from leadmill.plans import more_queries
 
-QUERIES = dict(lead_queries.QUERIES)
-ORACLE_SQL = dict(lead_queries.ORACLE_SQL)
+QUERIES = dict(more_queries.QUERIES)
+ORACLE_SQL = dict(more_queries.ORACLE_SQL)
