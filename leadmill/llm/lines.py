@@ -21,10 +21,7 @@ are never dropped; repeated rows are of one class; other columns are passed on.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.common import materialise
@@ -32,25 +29,24 @@ from leadmill.llm.common import materialise
 WILD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """A trimmed line with single spaces; words with a digit are masked where a letter stands elsewhere."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    typed = F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)
-    return F.when(typed.rlike(r"\p{L}"), typed).otherwise(plain)
-
-
 def parse(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per line with a word: k, h, pos, n (tokens), one, two (leading tokens), tail, tail2, klass."""
     whole = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    parts = F.transform(F.split("t", "\n"), lambda x: masked(x))
-    whole = whole.select("k", F.xxhash64("t").alias("h"), parts.alias("parts"))
+    single = lambda x: F.when(x.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x)
+    # each step is a column of its own, so that no line is masked twice
+    plain = whole.select("k", F.xxhash64("t").alias("h"), F.transform(F.split("t", "\n"), lambda x: F.trim(single(x))).alias("plain"))
+    # words with a digit are masked where a letter stands elsewhere in the line
+    typed = F.transform("plain", lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)))
+    plain = plain.select("k", "h", "plain", typed.alias("typed"))
+    parts = plain.select("k", "h", F.zip_with("plain", "typed", lambda p, t: F.when(t.rlike(r"\p{L}"), t).otherwise(p)).alias("parts"))
     longest = F.array_max(F.transform("parts", lambda x: F.named_struct(F.lit("len"), F.length(x), F.lit("x"), F.xxhash64(x))))
     # before the explode, once per document
-    whole = whole.select("k", "h", "parts", longest["x"].alias("klass"))
-    rows = whole.select("k", "h", "klass", F.posexplode("parts").alias("pos", "line")).where("line <> ''")
+    parts = parts.select("k", "h", "parts", longest["x"].alias("klass"))
+    rows = parts.select("k", "h", "klass", F.posexplode("parts").alias("pos", "line")).where("line <> ''")
     tokens = F.split("line", " ", 3)
     tail = F.coalesce(F.get(tokens, F.lit(2)), F.lit(""))
-    return rows.select("k", "h", "klass", "pos", F.size(F.split("line", " ")).alias("n"), F.get(tokens, F.lit(0)).alias("one"), F.coalesce(F.get(tokens, F.lit(1)), F.lit("")).alias("two"), F.xxhash64(tail).alias("tail"), F.crc32(F.encode(tail, "utf-8")).alias("tail2"))
+    count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return rows.select("k", "h", "klass", "pos", count.alias("n"), F.get(tokens, F.lit(0)).alias("one"), F.coalesce(F.get(tokens, F.lit(1)), F.lit("")).alias("two"), F.xxhash64(tail).alias("tail"), F.crc32(F.encode(tail, "utf-8")).alias("tail2"))
 
 
 def grow(lines: DataFrame, max_children: int) -> DataFrame:
@@ -75,21 +71,12 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     # one row per document; of repeated rows all the lines are counted on both sides
     hits = hits.where((F.col("words") > 0) & ((F.size("__pos") < 5) | (2 * F.col("words") <= F.col("all_words")))).select("__k", "__h", "__pos")
 
-    @F.pandas_udf("text string, n_lines long, n_dropped long")
-    def cut(texts: pd.Series, positions: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([cut_text(t, p) for t, p in zip(texts, positions)], columns=["text", "n_lines", "n_dropped"])
-
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     met = docs.select(*kept).join(hits, docs[key].eqNullSafe(hits["__k"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == hits["__h"]), "left")
-    met = met.withColumn("__cut", cut(F.col(text), F.col("__pos")))
-    return met.select(*[F.col("__cut.text").alias(c) if c == text else F.col(c) for c in kept], F.col("__cut.n_lines").alias("n_lines"), F.col("__cut.n_dropped").alias("n_dropped"))
-
-
-def cut_text(text: str | None, positions: Iterable[int] | None) -> tuple[str | None, int, int]:
-    if text is None:
-        return None, 0, 0
-    lines = text.split("\n")
-    if positions is None:
-        return text, len(lines), 0
-    gone = set(positions)
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)
+    lines_of, gone = F.split(F.col(text), "\n"), F.col("__pos").isNotNull()
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__pos"))
+    cut = met.withColumn("__lines", lines_of).withColumn("__left", F.when(gone, F.array_join(F.transform(places, lambda i: F.get("__lines", i)), "\n")).otherwise(F.col(text)))
+    return cut.select(
+        *[F.col("__left").alias(c) if c == text else F.col(c) for c in kept],
+        F.greatest(F.lit(0), F.coalesce(F.size("__lines"), F.lit(0))).cast("long").alias("n_lines"), F.when(gone, F.size("__pos")).otherwise(0).cast("long").alias("n_dropped"),
+    )
