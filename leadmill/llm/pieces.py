@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 LONG = 48
-KNOWN = 400_000
+KNOWN = 300_000
+#: Characters that are cut into units at a time.
+GROUP = 500_000
 #: Piece types of the model format, and odd multipliers of the substring hash.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BASE, SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -300,6 +302,19 @@ class Decoder:
         return out.decode("utf-8", "replace")
 
 
+def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of at most GROUP characters together, a longer one by itself."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t or "") > GROUP:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
+
+
 def encode(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.model", check: bool = False) -> DataFrame:
     """docs with piece_ids and n_pieces; with check also round_trip: whether they decode to the text."""
     path = public_tokenizers.path(model)
@@ -308,11 +323,10 @@ def encode(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.mode
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder, decoder = Encoder(path), Decoder(path)
         for texts in batches:
-            values, ids = texts.tolist(), []
-            for lo in range(0, len(values), 500):
-                ids += encoder.encode(values[lo : lo + 500])
-            same = [decoder.decode(i) == (t or "") for i, t in zip(ids, values)] if check else [None] * len(ids)
-            yield pd.DataFrame({"piece_ids": ids, "n_pieces": [len(i) for i in ids], "round_trip": same})
+            for values in groups(texts.tolist()):
+                ids = encoder.encode(values)
+                same = [decoder.decode(i) == (t or "") for i, t in zip(ids, values)] if check else [None] * len(ids)
+                yield pd.DataFrame({"piece_ids": ids, "n_pieces": [len(i) for i in ids], "round_trip": same})
 
     kept = [c for c in docs.columns if c.lower() not in ("piece_ids", "n_pieces", "round_trip")]
     out = docs.select(*kept, of(F.col(text)).alias("__e"))
