@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadmill.functions import text
+from leadmill.functions import address, text
 from leadmill.operators import extraction, importing, matching, merging
 from leadmill.plans.lead_queries import _N1, _PAIRS, NOW, ORACLE_SQL, QUERIES, _has, add, leads_query
 from leadmill.sources import connectors
@@ -78,4 +78,5 @@ FROM (SELECT rule_type, normalized_pattern, min(rule_id) AS rule_id, arg_min(rea
 _ASK = "concat(category, ' em ', city, CASE lead_id % 3 WHEN 0 THEN ' - SP' WHEN 1 THEN ', xx' ELSE '' END)"
 leads_query("src16_requests", lambda df: df.select("lead_id", F.expr(_ASK).alias("q")).select("lead_id", *[c.alias(k) for k, c in connectors.parse_request(F.col("q")).items()]), "SELECT lead_id, category, city || CASE WHEN lead_id % 3 = 1 THEN ', xx' ELSE '' END AS city, CASE WHEN lead_id % 3 = 0 THEN 'SP' END AS state FROM leads")
 add("stream_activity_counts", lambda s, d: activity.activity_counts(table(s, d, "events")), "SELECT date_trunc('hour', ts) AS start, event_type AS action, count(*) AS n FROM events GROUP BY ALL")
+leads_query("n7_street_and_number", lambda df: df.select("lead_id", address.split_address(F.concat_ws(" - ", F.concat_ws(", ", "address", "neighborhood"), "city", "state"), *[F.col(c) for c in ("neighborhood", "city", "state", "postal_code")]).alias("x")).select("lead_id", "x.street", "x.number"), "SELECT lead_id, nullif(split_part(address, ', ', 1), '') AS street, nullif(split_part(address, ', ', 2), '') AS number FROM leads")
 __all__ = ["ORACLE_SQL", "QUERIES"]
