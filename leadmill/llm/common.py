@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word rule: space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +40,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """df as a written table, marked for broadcast only if it has at most `most` rows."""
+    written = materialise(df, name)
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written

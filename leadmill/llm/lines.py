@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import materialise
+from leadmill.llm.common import materialise, small
 
 WILD = "<*>"
 
@@ -52,9 +52,9 @@ def parse(docs: DataFrame, key: str, text: str) -> DataFrame:
 def grow(lines: DataFrame, max_children: int) -> DataFrame:
     """lines with their template: the two levels of leading tokens are generalised where a node has too many children."""
     first = lines.where("n >= 5").select("n", "one").distinct().groupBy("n").count().where(F.col("count") > max_children).select("n", F.lit(True).alias("open"))
-    lines = lines.join(first, "n", "left").withColumn("one", F.when(F.col("open"), WILD).otherwise(F.col("one"))).drop("open")
+    lines = lines.join(small(first, "open_first"), "n", "left").withColumn("one", F.when(F.col("open"), WILD).otherwise(F.col("one"))).drop("open")
     second = lines.where("n >= 10").select("n", "one", "two").distinct().groupBy("n", "one").count().where(F.col("count") > max_children).select("n", "one", F.lit(True).alias("open"))
-    lines = lines.join(second, ["n", "one"], "left").withColumn("two", F.when(F.col("open"), WILD).otherwise(F.col("two"))).drop("open")
+    lines = lines.join(small(second, "open_second"), ["n", "one"], "left").withColumn("two", F.when(F.col("open"), WILD).otherwise(F.col("two"))).drop("open")
     return lines.select("k", "h", "klass", "pos", "n", F.xxhash64("n", "one", "two", "tail").alias("template"), F.hash("tail2", "two", "one", "n").alias("check"))
 
 
