@@ -46,8 +46,8 @@ ORACLE_SQL["m3_contacts_of_duplicates"] = ORACLE_SQL["e3_survivors"].rsplit("\nS
 f AS (SELECT v.survivor AS lead_id, l.lead_id AS merged_from, email, phone, whatsapp, instagram FROM v JOIN leads l ON l.lead_id = CASE WHEN v.survivor = v.lead_a THEN v.lead_b ELSE v.lead_a END)
 """ + " UNION ALL ".join(f"SELECT lead_id, merged_from, '{c}' AS contact_type, {c} AS value, CAST(0.6 AS DOUBLE) AS confidence FROM f WHERE {_has(c)}" for c in ("email", "phone", "whatsapp", "instagram"))
 _KEY = "lead_id, contact_type, coalesce(normalized_value, raw_value) AS value, source_record_type, source_record_id"
-add("m2_new_contacts", lambda s, d: merging.new_contacts(table(s, d, "contacts").where("contact_id % 2 = 0"), table(s, d, "contacts").where("contact_id % 3 = 0")),
-    f"SELECT * FROM (SELECT {_KEY}, min(contact_id) AS contact_id FROM contacts WHERE contact_id % 3 = 0 GROUP BY ALL) n WHERE NOT EXISTS (SELECT 1 FROM (SELECT {_KEY} FROM contacts WHERE contact_id % 2 = 0) o WHERE o.lead_id = n.lead_id AND o.contact_type = n.contact_type AND o.value = n.value AND o.source_record_type = n.source_record_type AND o.source_record_id = n.source_record_id)", "contacts")
+add("m2_new_contacts", lambda s, d: merging.new_contacts(table(s, d, "contacts").where("is_primary"), table(s, d, "contacts")),
+    f"SELECT * FROM (SELECT {_KEY}, min(contact_id) AS contact_id FROM contacts GROUP BY ALL) n WHERE NOT EXISTS (SELECT 1 FROM (SELECT {_KEY} FROM contacts WHERE is_primary) o WHERE o.lead_id = n.lead_id AND o.contact_type = n.contact_type AND o.value = n.value AND o.source_record_type = n.source_record_type AND o.source_record_id = n.source_record_id)", "contacts")
 
 _STEP = "CASE WHEN cnpj_match_status = 'matched' AND ok THEN 'skip_matched' WHEN cnpj_match_status = 'needs_review' THEN 'skip_review' WHEN ok THEN 'lookup' WHEN " + _has("cnpj") + " THEN 'malformed_id' WHEN last_enriched_at > TIMESTAMP '2024-02-14 00:00:00' THEN 'skip_recent' WHEN " + _has("website") + " THEN 'website_then_search' ELSE 'search' END"
 leads_query("e6_registry_step", lambda df: importing.registry_step(df, NOW), f"SELECT lead_id, {_STEP} AS step FROM (SELECT *, coalesce(regexp_full_match(cnpj, '[0-9]{{14}}'), false) AS ok FROM leads)")
@@ -71,10 +71,10 @@ add("e15_imported", lambda s, d: importing.importable(_annotated(s, d), matching
 ORACLE_SQL["e15_imported"] = "WITH RECURSIVE " + _ANNOTATED.removeprefix("WITH ") + ",\n" + ORACLE_SQL["e2_preview_groups"].split(",\ne AS", 1)[1].join(["e AS", ""]).rsplit("\nSELECT item_pos, min(other)", 1)[0] + """,
 g AS (SELECT item_pos, min(other) AS group_pos FROM reach GROUP BY item_pos)
 SELECT 1000000 + c.item_pos AS lead_id, c.item_pos, c.business_name FROM candidates c JOIN g ON c.item_pos = g.item_pos AND g.group_pos = c.item_pos LEFT JOIN b ON c.item_pos = b.item_pos LEFT JOIN x ON c.item_pos = x.item_pos WHERE b.rule_id IS NULL AND x.existing_lead_id IS NULL"""
-add("m12_upserted_rules", lambda s, d: importing.upserted_rules(table(s, d, "exclusion_rules").where("rule_id <= 40"), table(s, d, "exclusion_rules").where("rule_id > 20").withColumn("rule_id", F.col("rule_id") + 1000)),
+add("m12_upserted_rules", lambda s, d: importing.upserted_rules(table(s, d, "exclusion_rules").where("rule_type <> 'domain'"), table(s, d, "exclusion_rules").where("rule_type <> 'exact_name'").withColumn("rule_id", F.col("rule_id") + 1000)),
     """SELECT coalesce(o.rule_id, n.rule_id) AS rule_id, coalesce(o.rule_type, n.rule_type) AS rule_type, coalesce(o.normalized_pattern, n.normalized_pattern) AS normalized_pattern, coalesce(n.reason, o.reason) AS reason
-FROM (SELECT rule_type, normalized_pattern, min(rule_id) AS rule_id, arg_min(reason, rule_id) AS reason FROM exclusion_rules WHERE rule_id <= 40 GROUP BY ALL) o FULL JOIN
- (SELECT rule_type, normalized_pattern, min(rule_id) + 1000 AS rule_id, arg_max_null(reason, rule_id) AS reason FROM exclusion_rules WHERE rule_id > 20 GROUP BY ALL) n ON o.rule_type = n.rule_type AND o.normalized_pattern = n.normalized_pattern""", "exclusion_rules")
+FROM (SELECT rule_type, normalized_pattern, min(rule_id) AS rule_id, arg_min(reason, rule_id) AS reason FROM exclusion_rules WHERE rule_type <> 'domain' GROUP BY ALL) o FULL JOIN
+ (SELECT rule_type, normalized_pattern, min(rule_id) + 1000 AS rule_id, arg_max_null(reason, rule_id) AS reason FROM exclusion_rules WHERE rule_type <> 'exact_name' GROUP BY ALL) n ON o.rule_type = n.rule_type AND o.normalized_pattern = n.normalized_pattern""", "exclusion_rules")
 _ASK = "concat(category, ' em ', city, CASE lead_id % 3 WHEN 0 THEN ' - SP' WHEN 1 THEN ', xx' ELSE '' END)"
 leads_query("src16_requests", lambda df: df.select("lead_id", F.expr(_ASK).alias("q")).select("lead_id", *[c.alias(k) for k, c in connectors.parse_request(F.col("q")).items()]), "SELECT lead_id, category, city || CASE WHEN lead_id % 3 = 1 THEN ', xx' ELSE '' END AS city, CASE WHEN lead_id % 3 = 0 THEN 'SP' END AS state FROM leads")
 add("stream_activity_counts", lambda s, d: activity.activity_counts(table(s, d, "events")), "SELECT date_trunc('hour', ts) AS start, event_type AS action, count(*) AS n FROM events GROUP BY ALL")

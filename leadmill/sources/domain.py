@@ -108,12 +108,12 @@ FROM {lineitem}
 """
 
 TABLES["exclusion_rules"] = """
-SELECT s_suppkey AS rule_id,
-  CASE s_suppkey % 4 WHEN 0 THEN 'exact_name' WHEN 1 THEN 'business_name_contains' WHEN 2 THEN 'domain' ELSE 'provider_category' END AS rule_type,
-  CASE s_suppkey % 4 WHEN 0 THEN concat('oficina mecanica sao jose ', CAST(s_suppkey AS VARCHAR(20))) WHEN 1 THEN concat('jose ', CAST(s_suppkey AS VARCHAR(20)))
-    WHEN 2 THEN concat('loja', CAST(s_suppkey - s_suppkey % 3 AS VARCHAR(20)), '.com.br') ELSE 'machinery' END AS normalized_pattern,
-  CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('reason ', CAST(s_suppkey AS VARCHAR(20))) END AS reason
-FROM {supplier} WHERE s_suppkey <= 60 AND (s_suppkey % 4 <> 3 OR s_suppkey > 50)
+SELECT CAST(n_nationkey + 1 AS BIGINT) AS rule_id,
+  CASE n_nationkey % 4 WHEN 0 THEN 'exact_name' WHEN 1 THEN 'business_name_contains' WHEN 2 THEN 'domain' ELSE 'provider_category' END AS rule_type,
+  CASE n_nationkey % 4 WHEN 0 THEN concat('oficina mecanica sao jose ', CAST(n_nationkey * 4 AS VARCHAR(20))) WHEN 1 THEN concat('jose ', CAST(n_nationkey * 3 AS VARCHAR(20)))
+    WHEN 2 THEN concat('loja', CAST(n_nationkey * 6 AS VARCHAR(20)), '.com.br') ELSE CASE WHEN n_nationkey = 23 THEN 'machinery' ELSE concat('category ', CAST(n_nationkey AS VARCHAR(20))) END END AS normalized_pattern,
+  CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE concat('reason ', CAST(n_nationkey AS VARCHAR(20))) END AS reason
+FROM {nation}
 """
 
 TABLES["sales_regions"] = """
@@ -126,11 +126,11 @@ FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 """
 
 TABLES["assignment_rules"] = """
-SELECT s_suppkey AS rule_id, CAST(s_suppkey % 10 AS INT) AS priority,
-  CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_suppkey % 5 END AS region_id,
-  CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey % 4 END AS segment_id,
-  CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 6 ELSE NULL END AS subsegment_id, s_suppkey % 8 AS sales_rep_id
-FROM {supplier} WHERE s_suppkey <= 40
+SELECT CAST(n_nationkey + 1 AS BIGINT) AS rule_id, CAST(n_nationkey % 10 AS INT) AS priority,
+  CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE CAST(n_nationkey % 5 AS BIGINT) END AS region_id,
+  CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(n_nationkey % 4 AS BIGINT) END AS segment_id,
+  CASE WHEN n_nationkey % 5 = 0 THEN CAST(n_nationkey % 6 AS BIGINT) ELSE NULL END AS subsegment_id, CAST(n_nationkey % 8 AS BIGINT) AS sales_rep_id
+FROM {nation}
 """
 
 
