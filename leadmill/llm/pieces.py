@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 LONG = 48
-KNOWN = 300_000
+KNOWN = 200_000
 #: Characters that are cut into units at a time.
 GROUP = 500_000
 #: Piece types of the model format, and odd multipliers of the substring hash.
@@ -290,8 +290,8 @@ class Encoder:
 
 
 class Decoder:
-    def __init__(self, path: str):
-        self.model = load(path)
+    def __init__(self, model: Model | str):
+        self.model = load(model) if isinstance(model, str) else model
         text = lambda k, p: bytes([int(p[3:5], 16)]) if self.model.kinds[k] == BYTE else b"" if self.model.kinds[k] == CONTROL else " ⁇ ".encode() if self.model.kinds[k] == UNKNOWN else p.replace(SPACE, " ").encode()
         self.bytes = [text(k, p) for k, p in enumerate(self.model.pieces)]
 
@@ -321,7 +321,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.mode
 
     @F.pandas_udf("piece_ids array<int>, n_pieces int, round_trip boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder, decoder = Encoder(path), Decoder(path)
+        encoder = Encoder(path)
+        decoder = Decoder(encoder.model)
         for texts in batches:
             for values in groups(texts.tolist()):
                 ids = encoder.encode(values)
