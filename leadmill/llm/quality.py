@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from leadmill.llm.common import SPACE
 
 SYMBOLS = "#*$%&|<>"
+#: Words that a task remembers between texts, which bounds its memory.
+MOST_WORDS = 150_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_short_words", "n_ended_lines", "n_plain_words", "n_marked_words")
 FEATURES = ", ".join(f"{c} long" for c in COUNTS)
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 
 
 class Words(dict):
-    """Word to number, with the word's properties in the lowest four bits. Forgets between texts beyond a million words."""
+    """Word to number, with the word's properties in the lowest four bits. Forgets between texts beyond MOST_WORDS."""
 
     def __missing__(self, word: bytes) -> int:
         plain = word.rstrip(b".,;:!?)\"'").replace(b"-", b"").isalpha() or word[0] > 127 or word[-1] > 127
@@ -40,7 +42,7 @@ class Words(dict):
         return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 1_000_000:
+        if len(self) > MOST_WORDS:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
@@ -96,7 +98,8 @@ def text_counts(text: Column) -> Column:
         for texts in batches:
             yield pd.DataFrame([count_text(x, known) for x in texts], columns=list(COUNTS), dtype="int64")
 
-    return counts(text)
+    # else a filter on the result would run the function a second time below it
+    return counts.asNondeterministic()(text)
 
 
 def _vote(good: Column, bad: Column) -> Column:

@@ -39,11 +39,11 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; forgets when it grows beyond a million words."""
+    """Word to 64-bit hash; forgets when it grows beyond 300,000 words."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word, 7)
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = value
         return value
