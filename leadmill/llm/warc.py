@@ -205,7 +205,8 @@ def read(spark: SparkSession, index: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["page_id", "record_id", "record_type", "refers_to", "target", "payload", "digest", "n"]).astype({"page_id": "Int64", "refers_to": "Int64", "n": "Int64"})
 
     found = index.select("bundle").distinct().mapInPandas(frames, "bundle string, frame int, start long, packed long, length long")
-    return found.repartition("bundle", "frame").mapInPandas(records, "page_id long, record_id string, record_type string, refers_to long, target string, payload string, digest string, n long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(tasks, "bundle", "frame").mapInPandas(records, "page_id long, record_id string, record_type string, refers_to long, target string, payload string, digest string, n long")
 
 
 def lookup(spark: SparkSession, index: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -229,9 +230,9 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     spark = pages.sparkSession
     index = write(pages, fresh_folder(spark, "warc"), key, url, html, min_bytes)
     back = materialise(read(spark, index).drop("payload"), "warc_records")
-    full = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("target")).agg(F.max("n").alias("full_n"), F.max("digest").alias("full_digest"))
-    resolved = back.join(full, "target", "left")
-    return resolved.select(
-        F.col("page_id").alias(key),
-        F.coalesce("n", "full_n").alias("payload_bytes"), F.coalesce("digest", "full_digest").alias("payload_digest"), "record_type", "refers_to",
-    )
+    read_whole = back.where("record_type = 'response'")
+    # a table of its own, so that Spark can split the revisits of one frequent payload
+    full = materialise(read_whole.groupBy(F.col("record_id").alias("target")).agg(F.max("n").alias("full_n"), F.max("digest").alias("full_digest")), "warc_payloads")
+    revisits = back.where("record_type <> 'response'").join(full, "target").select("page_id", F.col("full_n").alias("n"), F.col("full_digest").alias("digest"), "record_type", "refers_to")
+    both = read_whole.select("page_id", "n", "digest", "record_type", "refers_to").unionByName(revisits)
+    return both.select(F.col("page_id").alias(key), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
