@@ -48,7 +48,7 @@ def evidence(pages: DataFrame, url: str = "url", html: str = "html", key: str =
     base = base.withColumn("text", visible_text(F.col("html")))
     pattern = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
     pull = lambda c, p, g: F.regexp_extract_all(c, F.lit(p), F.lit(g))
-    base = base.withColumn("hrefs", F.transform(pull(F.col("html"), pattern, 1), F.trim)).withColumn("names", F.transform(pull(F.col("html"), pattern, 2), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", " "))))
+    base = base.withColumn("hrefs", F.transform(pull(F.col("html"), pattern, 1), lambda x: F.trim(x))).withColumn("names", F.transform(pull(F.col("html"), pattern, 2), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", " "))))
     pairs = F.arrays_zip("hrefs", "names")
     starts = lambda p, word: F.lower(p["hrefs"]).startswith(word)
     plain = F.filter(pairs, lambda p: ~starts(p, "mailto:") & ~starts(p, "tel:"))
