@@ -66,3 +66,47 @@ def test_sql_of_the_corpus_queries(spark):
         names = [d[0] for d in found.description]
         assert sorted(df.columns) == sorted(names)
         assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(found.fetchall())
+
+
+def five_word_groups(texts):
+    """Least index of each text's group: chains of pairs of at least 0.8 by brute force over five-word shingles."""
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in split]
+    label, pairs = list(range(len(texts))), []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and (both := len(a & b)) >= 0.8 * (len(a) + len(b) - both):
+                pairs.append((j, i))
+                x, y = sorted((label[i], label[j]))
+                label = [x if v == y else v for v in label]
+    return label, pairs
+
+
+def test_near_copies_of_the_stage(spark):
+    """Near copies far beyond two bits go, and groups are those of brute force."""
+    import random
+
+    r = random.Random(3)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for k in range(1, 30):
+        w = base[:]
+        for p in r.sample(range(300), k % 12):
+            w[p] = f"changed{k}x{p}"
+        texts.append(" ".join(w))
+    passage = base[:60]
+    texts += [" ".join(passage + [f"own{k}x{r.randrange(9000)}" for _ in range(60)]) for k in range(20)] + [None, "", "a b", "A  b"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "a", "b") for i, t in enumerate(texts)], SCHEMA)
+    label, pairs = five_word_groups(texts)
+    assert len(pairs) > 100 and label[1] == 0
+    assert {x["doc_id"] for x in corpus_pipeline.simhash_neardup(spark, docs, SF).collect()} == set(label)
+
+
+def test_near_copies_of_a_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
+    from leadmill.llm import similar
+
+    label, pairs = five_word_groups([x["text"] for x in rows])
+    found = {x["doc_id"]: x["component_id"] for x in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert pairs and [found[x["doc_id"]] for x in rows] == [rows[k]["doc_id"] for k in label]
