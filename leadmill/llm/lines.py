@@ -7,10 +7,12 @@ long as at least four fifths of the line's tokens stay constant. The leaf holds
 the rest of the tokens, which have to be equal. A template is recurring if it
 stands in at least min_classes classes of documents, and its lines are dropped.
 
-Copies of one document share their longest line and count as one class. A
-document that consists mostly of recurring lines, five or more of them, is a
-copy and no carrier of boilerplate: it keeps its lines, for near-duplicate
-removal to judge.
+Equal masked texts are one class, and so are near copies that share their longest
+line: documents with five or more repeated lines that make up at least 8/9 of
+their words, which is what a similarity of 0.8 leaves. Every other document is a
+class of its own, whichever of its lines is the longest. A document that
+consists mostly of recurring lines, five or more of them, keeps its lines, for
+near-duplicate removal to judge.
 
 Lines move as hashes; a frequent line is counted by partial aggregation and
 joined as a stream. The text is shuffled once.
@@ -30,7 +32,7 @@ WILD = "<*>"
 
 
 def parse(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per line with a word: k, h, pos, n (tokens), one, two (leading tokens), tail, tail2, klass."""
+    """One row per line with a word: k, h, pos, n (tokens), one, two (leading tokens), tail, tail2, klass (its longest line), whole (all its masked lines)."""
     whole = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     single = lambda x: F.when(x.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x)
     # each step is a column of its own, so that no line is masked twice
@@ -41,12 +43,12 @@ def parse(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = plain.select("k", "h", F.zip_with("plain", "typed", lambda p, t: F.when(t.rlike(r"\p{L}"), t).otherwise(p)).alias("parts"))
     longest = F.array_max(F.transform("parts", lambda x: F.named_struct(F.lit("len"), F.length(x), F.lit("x"), F.xxhash64(x))))
     # before the explode, once per document
-    parts = parts.select("k", "h", "parts", longest["x"].alias("klass"))
-    rows = parts.select("k", "h", "klass", F.posexplode("parts").alias("pos", "line")).where("line <> ''")
+    parts = parts.select("k", "h", "parts", longest["x"].alias("klass"), F.xxhash64("parts").alias("whole"))
+    rows = parts.select("k", "h", "klass", "whole", F.posexplode("parts").alias("pos", "line")).where("line <> ''")
     tokens = F.split("line", " ", 3)
     tail = F.coalesce(F.get(tokens, F.lit(2)), F.lit(""))
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return rows.select("k", "h", "klass", "pos", count.alias("n"), F.get(tokens, F.lit(0)).alias("one"), F.coalesce(F.get(tokens, F.lit(1)), F.lit("")).alias("two"), F.xxhash64(tail).alias("tail"), F.crc32(F.encode(tail, "utf-8")).alias("tail2"))
+    return rows.select("k", "h", "klass", "whole", "pos", count.alias("n"), F.get(tokens, F.lit(0)).alias("one"), F.coalesce(F.get(tokens, F.lit(1)), F.lit("")).alias("two"), F.xxhash64(tail).alias("tail"), F.crc32(F.encode(tail, "utf-8")).alias("tail2"))
 
 
 def grow(lines: DataFrame, max_children: int) -> DataFrame:
@@ -55,14 +57,24 @@ def grow(lines: DataFrame, max_children: int) -> DataFrame:
     lines = lines.join(small(first, "open_first"), "n", "left").withColumn("one", F.when(F.col("open"), WILD).otherwise(F.col("one"))).drop("open")
     second = lines.where("n >= 10").select("n", "one", "two").distinct().groupBy("n", "one").count().where(F.col("count") > max_children).select("n", "one", F.lit(True).alias("open"))
     lines = lines.join(small(second, "open_second"), ["n", "one"], "left").withColumn("two", F.when(F.col("open"), WILD).otherwise(F.col("two"))).drop("open")
-    return lines.select("k", "h", "klass", "pos", "n", F.xxhash64("n", "one", "two", "tail").alias("template"), F.hash("tail2", "two", "one", "n").alias("check"))
+    return lines.select("k", "h", "klass", "whole", "pos", "n", F.xxhash64("n", "one", "two", "tail").alias("template"), F.hash("tail2", "two", "one", "n").alias("check"))
 
 
 def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min_classes: int = 8, max_children: int = 100) -> DataFrame:
     """docs with text without its recurring lines, and n_lines and n_dropped."""
     lines = materialise(parse(docs, key, text), "lines")
     grown = materialise(grow(lines, max_children), "templates")
-    support = grown.select("template", "check", "klass").distinct().groupBy("template", "check").count()
+    repeated = grown.select("template", "check", "whole").distinct().groupBy("template", "check").count()
+    repeated = repeated.where(F.col("count") >= min_classes).select("template", "check")
+    met = grown.join(repeated.withColumn("met", F.lit(True)), ["template", "check"], "left")
+    met = met.select(*grown.columns, F.coalesce("met", F.lit(False)).alias("met"))
+    met = materialise(met, "repeated_lines")
+    shares = met.groupBy("k", "h").agg(F.countDistinct(F.when(F.col("met"), F.col("pos"))).alias("places"), F.sum(F.when(F.col("met"), F.col("n"))).alias("words"), F.sum("n").alias("all_words"))
+    copies = shares.where((F.col("places") >= 5) & (9 * F.col("words") >= 8 * F.col("all_words"))).select(F.col("k").alias("__k"), F.col("h").alias("__h"), F.lit(True).alias("copy"))
+    copies = small(copies, "copies")
+    classes = met.where("met").join(copies, F.col("k").eqNullSafe(F.col("__k")) & (F.col("h") == F.col("__h")), "left")
+    classes = classes.select("template", "check", F.coalesce("copy", F.lit(False)).alias("copy"), F.when(F.col("copy"), F.col("klass")).otherwise(F.col("whole")).alias("class"))
+    support = classes.distinct().groupBy("template", "check").count()
     recurring = support.where(F.col("count") >= min_classes).select("template", "check")
     flagged = grown.join(recurring.withColumn("hit", F.lit(True)), ["template", "check"], "left")
     hits = flagged.groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(

@@ -237,6 +237,18 @@ def test_lines_generalise_a_leading_field(spark):
     assert out == 200
 
 
+def test_lines_that_are_the_longest(spark):
+    """A notice that is the longest line of its carriers goes, alone or beside another; copies still count once."""
+    one, two = " ".join(words(60, 71)), " ".join(words(55, 72))
+    own = [" ".join(words(10, 7000 + k)) for k in range(60)]
+    rows = [f"{own[k]}\n{one}" for k in range(30)] + [f"{one}\n{own[k]}\n{two}" for k in range(30, 60)]
+    long = [" ".join(words(12, 7500 + k)) for k in range(40)]
+    near = ["\n".join([*long[:k], " ".join(words(12, 7700 + k)), *long[k + 1 :]]) for k in range(20)]
+    out = {r["doc_id"]: r["text"] for r in lines.drop_recurring(docs_of(spark, rows + near)).collect()}
+    assert [out[k] for k in range(60)] == own
+    assert [out[60 + k] for k in range(20)] == near
+
+
 # 7
 
 
