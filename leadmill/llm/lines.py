@@ -10,9 +10,8 @@ stands in at least min_classes classes of documents, and its lines are dropped.
 Equal masked texts are one class, and so are near copies that share their longest
 line: documents with five or more repeated lines that make up at least 8/9 of
 their words, which is what a similarity of 0.8 leaves. Every other document is a
-class of its own, whichever of its lines is the longest. A document that
-consists mostly of recurring lines, five or more of them, keeps its lines, for
-near-duplicate removal to judge.
+class of its own, whichever of its lines is the longest. Copies only count for
+less: a recurring line is dropped in every document, however much of it recurs.
 
 Lines move as hashes; a frequent line is counted by partial aggregation and
 joined as a stream. The text is shuffled once.
@@ -76,12 +75,7 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     classes = classes.select("template", "check", F.coalesce("copy", F.lit(False)).alias("copy"), F.when(F.col("copy"), F.col("klass")).otherwise(F.col("whole")).alias("class"))
     support = classes.distinct().groupBy("template", "check").count()
     recurring = support.where(F.col("count") >= min_classes).select("template", "check")
-    flagged = grown.join(recurring.withColumn("hit", F.lit(True)), ["template", "check"], "left")
-    hits = flagged.groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(
-        F.collect_set(F.when(F.col("hit"), F.col("pos"))).alias("__pos"), F.sum(F.when(F.col("hit"), F.col("n"))).alias("words"), F.sum("n").alias("all_words")
-    )
-    # one row per document; of repeated rows all the lines are counted on both sides
-    hits = hits.where((F.col("words") > 0) & ((F.size("__pos") < 5) | (2 * F.col("words") <= F.col("all_words")))).select("__k", "__h", "__pos")
+    hits = met.where("met").join(recurring, ["template", "check"]).groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(F.collect_set("pos").alias("__pos"))
 
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     met = docs.select(*kept).join(hits, docs[key].eqNullSafe(hits["__k"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == hits["__h"]), "left")

@@ -249,6 +249,17 @@ def test_lines_that_are_the_longest(spark):
     assert [out[60 + k] for k in range(20)] == near
 
 
+def test_lines_of_pages_with_much_furniture(spark):
+    """Six notices of ten words go beside 55 own words as four of them do, and from copies of such pages too."""
+    notices = [" ".join(words(10, 8000 + k)) for k in range(6)]
+    own = [" ".join(words(55, 8100 + k)) for k in range(31)]
+    rows = ["\n".join([*notices[:3], own[k], *notices[3 : 6 if k < 20 else 4]]) for k in range(30)]
+    rows += ["\n".join([own[30], *notices])] * 12
+    out = {r["doc_id"]: r for r in lines.drop_recurring(docs_of(spark, rows)).collect()}
+    assert [out[k]["text"] for k in range(42)] == own[:30] + [own[30]] * 12
+    assert [out[k]["n_dropped"] for k in range(42)] == [6] * 20 + [4] * 10 + [6] * 12
+
+
 # 7
 
 
