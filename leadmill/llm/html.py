@@ -5,8 +5,12 @@
    by a generalised path of tags and classes.
 2. Spark counts the votes per host and path, and keeps for each host the paths
    with at least a fifth of its votes, five at most.
-3. Every page is extracted again by its host's paths; a page that has none of
-   them falls back to its own container.
+3. Every page is extracted again by its host's paths, the first in order of votes
+   that holds a fifth of the page's text, else the first that it has; a page that
+   has none of them falls back to its own container.
+4. The container found is where most of the article stands, not all of it: the
+   text is that of the main or article element around it, or without one of the
+   elements around it that hold text of their own or the page's h1.
 
 The table of paths is broadcast up to max_broadcast hosts and joined by shuffle
 beyond, where Spark splits a hot host's rows. Pages are parsed one at a time.
@@ -60,6 +64,7 @@ class Page:
     def __init__(self, html: str | None):
         self.paths, self.parents = [""], [-1]
         self.blocks: list[tuple[int, str, int]] = []
+        self.titles: list[int] = []  # containers of the h1 blocks
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, left out
         self.parts: list[str] = []
         self.linked = self.links = 0
@@ -78,6 +83,8 @@ class Page:
             text = " ".join("".join(self.parts).split())
             if text:
                 self.blocks.append((self.stack[-1][1], text, self.linked))
+                if self.stack[-1][0] == "h1":
+                    self.titles.append(self.stack[-1][1])
             self.parts = []
         self.linked = 0
 
@@ -145,13 +152,23 @@ class Page:
         self._text(html[at:])
         self._flush()
 
-    def best(self) -> tuple[int, float]:
-        """The deepest container with at least 70 % of the page's unlinked text, and its share."""
+    def own(self) -> list[int]:
+        """Unlinked characters of each container's own blocks."""
         weight = [0] * len(self.paths)
         for container, text, linked in self.blocks:
             weight[container] += max(0, len(text) - 2 * linked)
+        return weight
+
+    def weights(self) -> list[int]:
+        """Unlinked characters of each container with those inside it."""
+        weight = self.own()
         for k in range(len(weight) - 1, 0, -1):
             weight[self.parents[k]] += weight[k]
+        return weight
+
+    def best(self) -> tuple[int, float]:
+        """The deepest container with at least 70 % of the page's unlinked text, and its share."""
+        weight = self.weights()
         total = weight[0]
         if not total:
             return 0, 0.0
@@ -159,16 +176,44 @@ class Page:
         k = max((k for k in range(len(weight)) if weight[k] >= 0.7 * total), key=lambda k: (self.paths[k].count(">"), -k))
         return k, weight[k] / total
 
+    def around(self, k: int, own: list[int], titled: set[int]) -> int:
+        """The container that holds the whole article of which k is a part."""
+        tags, up = {}, k
+        while up > 0:
+            tags[up] = self.paths[up].rsplit(">", 1)[1].split(".")[0]
+            up = self.parents[up]
+        named = [c for kind in ("main", "article") for c, tag in tags.items() if tag == kind]
+        if named:
+            # containers are numbered in page order, so an outer one is less than what it holds
+            return min(c for c in named if tags[c] == tags[named[0]])
+        found = k
+        for up in tags:
+            if own[up] or up in titled and tags[up] not in ("body", "html"):
+                found = up
+        return 0 if own[0] else found
+
     def text(self, paths: list[str]) -> tuple[str, str]:
-        """The text of the first of the paths that the page has, else of its own best container; and that path."""
+        """The text of the article around the first of the paths that the page has, else around its own best container; and that path."""
         known = {p: set() for p in paths}
         for k, p in enumerate(self.paths):
             if p in known:
                 known[p].add(k)
-        chosen, path = next(((known[p], p) for p in paths if known[p]), ({self.best()[0]}, ""))
+        met = [p for p in paths if known[p]]
+        if met:
+            weight = self.weights() if len(met) > 1 else None
+            path = next((p for p in met if weight and 5 * sum(weight[k] for k in known[p]) >= weight[0]), met[0])
+            chosen = known[path]
+        else:
+            path, chosen = "", {self.best()[0]}
+        own, titled = self.own(), set()
+        for k in self.titles:
+            while k > 0 and k not in titled:
+                titled.add(k)
+                k = self.parents[k]
+        whole = {self.around(k, own, titled) for k in chosen}
         inside = [False] * len(self.paths)
         for k in range(len(self.paths)):
-            inside[k] = k in chosen or (self.parents[k] >= 0 and inside[self.parents[k]])
+            inside[k] = k in whole or (self.parents[k] >= 0 and inside[self.parents[k]])
         found = [t for c, t, linked in self.blocks if inside[c]]
         if not found and path:
             return self.text([])

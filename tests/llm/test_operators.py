@@ -192,6 +192,22 @@ def test_html_votes_outweigh_a_page(spark):
     assert out[9] == "the article"
 
 
+def test_html_keeps_what_stands_beside_the_body(spark):
+    """Title and lead outside the box with most of the text stay, with an article, a main or neither around them."""
+    body = "<div class='entry-content'><p>" + "rest " * 200 + "</p></div>"
+    inner = "<h1>Title</h1><p>lead</p>" + body
+    shapes = [f"<article>{inner}</article>", f"<main><h1>Title</h1><article><p>lead</p>{body}</article></main>", f"<div class='post'>{inner}</div>", f"<div class='post'><div class='top'><h1>Title</h1></div><div class='in'><p>lead</p>{body}</div></div>", inner]
+    rows = [(10 * k + j, f"http://h{k}.net/", f"<html><body>{shape}<nav>menu</nav><div class='comments'>said</div></body></html>") for k, shape in enumerate(shapes) for j in range(3)]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 15 and {r["text"] for r in out} == {"Title\nlead\n" + ("rest " * 200).strip()}
+
+
+def test_html_path_with_little_of_the_page():
+    page = html.Page("<body><div class='a'><p>teaser</p></div><div class='b'><p>" + "story " * 100 + "</p></div></body>")
+    a, b = (p for p in page.paths if p.endswith((".a", ".b")))
+    assert page.text([a, b]) == (("story " * 100).strip(), b) and page.text([a]) == ("teaser", a)
+
+
 # 5
 
 
