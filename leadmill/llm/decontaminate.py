@@ -5,6 +5,11 @@ Words are lower-cased and lose their punctuation; words with a digit become
 eight canonical words of the benchmark are hash-joined to those of the documents,
 so a question with other numbers, names or units still meets its template.
 
+A capitalised word that opens a sentence, a line or a quotation may be a name or
+not. Windows over such words are hashed in two forms, with the word itself and
+with <name>; each form is judged by itself, with the windows that have no such
+word in both.
+
 A match is an instance: one document, one item and one alignment (distance of
 positions, within a band of 8 words). It is a leak if its windows are at least
 min_share of the item's windows and its slots are consistent: one value of the
@@ -32,13 +37,14 @@ from leadmill.llm.common import materialise
 WINDOW = 8
 #: Units that become a slot.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "pound", "pounds", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degrees", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilogram", "kilograms")
-_MARK = "\x01"
+_MARK, _FIRST = "\x01", "\x02"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words without punctuation; names inside a sentence carry a mark in front."""
-    named = F.regexp_replace(F.translate(text, "<>" + _MARK, "   "), r"(?<=[^.?!:;\s][ \t])(?=\p{Lu}\p{Ll}++)", _MARK)
-    plain = F.lower(F.regexp_replace(named, r"[^\p{L}\p{M}\p{N}\s\x01]++", ""))
+    """Lower-cased words without punctuation; names inside a sentence carry a mark in front, capitalised words that open one another mark."""
+    named = F.regexp_replace(F.translate(text, "<>" + _MARK + _FIRST, "    "), r"(?<=[^.?!:;\s][ \t])(?=\p{Lu}\p{Ll}++)", _MARK)
+    named = F.regexp_replace(named, r"(?<![^\s\p{Pi}\p{Ps}\"'])(?=\p{Lu}\p{Ll}++)", _FIRST)
+    plain = F.lower(F.regexp_replace(named, r"[^\p{L}\p{M}\p{N}\s\x01\x02]++", ""))
     return F.split(F.trim(F.regexp_replace(plain, r"\s++", " ")), " ")
 
 
@@ -48,31 +54,44 @@ def placeholder(word: Column) -> Column:
 
 
 def windows(texts: DataFrame, keys: list[str], text: str, size: int = WINDOW, short: bool = False) -> DataFrame:
-    """keys, pos, hash and slots (the words of a window with placeholders, else null)."""
+    """keys, pos, hash, kind (0 of both forms, 1 and 2 of one), the text's words and the size."""
     df = texts.select(*keys, words(F.coalesce(F.col(text), F.lit(""))).alias("__w"))
-    df = df.select(*keys, "__w", F.transform("__w", placeholder).alias("__p"))
-    hashes = F.zip_with("__w", "__p", lambda w, p: F.xxhash64(F.coalesce(p, w)))
-    df = df.select(*keys, "__w", F.transform("__p", lambda p: p.isNotNull().cast("int")).alias("__p"), hashes.alias("__h"))
+    hashed = lambda w: F.xxhash64(F.coalesce(placeholder(w), w))
+    first = F.transform("__w", lambda w: F.when(w.startswith(_FIRST), F.xxhash64(F.lit("<name>"))))
+    df = df.select(*keys, "__w", F.transform("__w", lambda w: hashed(F.translate(w, _FIRST, ""))).alias("__h"), first.alias("__f"))
+    df = df.select(*keys, "__w", "__h", "__f", F.zip_with("__h", "__f", lambda h, f: F.coalesce(f, h)).alias("__g"))
     n = F.size("__h")
     last = F.greatest(n - size + 1, F.lit(1)) if short else n - size + 1
-    starts = F.when(n >= (4 if short else size), F.sequence(F.lit(1), last))
-    slots = lambda i: F.when(F.array_max(F.slice("__p", i, size)) == 1, F.concat_ws(" ", F.slice("__w", i, size)))
-    each = F.transform(starts, lambda i: F.named_struct(F.lit("hash"), F.xxhash64(F.slice("__h", i, size)), F.lit("slots"), slots(i)))
-    return df.select(*keys, F.posexplode(each).alias("pos", "w")).select(*keys, "pos", "w.hash", "w.slots")
+    starts = F.coalesce(F.when(n >= (4 if short else size), F.sequence(F.lit(1), last)), F.array().cast("array<int>"))
+    two = lambda i: F.array_max(F.slice("__f", i, size)).isNotNull()
+    window = lambda i, h, kind: F.named_struct(F.lit("pos"), i, F.lit("hash"), F.xxhash64(F.slice(h, i, size)), F.lit("kind"), kind)
+    plain = F.transform(starts, lambda i: window(i, "__h", two(i).cast("int")))
+    named = F.transform(F.filter(starts, two), lambda i: window(i, "__g", F.lit(2)))
+    df = df.select(*keys, "__w", F.explode(F.concat(plain, named)).alias("w"))
+    return df.select(*keys, "w.pos", "w.hash", "w.kind", "__w", F.lit(size).alias("size"))
+
+
+def with_slots(df: DataFrame, kind: str = "kind") -> DataFrame:
+    """The words of a window with placeholders, else null, in place of the text's words."""
+    mine = F.transform(F.slice("__w", F.col("pos"), F.col("size")), lambda w: F.when(F.col(kind) == 2, F.translate(w, _FIRST, _MARK)).otherwise(F.translate(w, _FIRST, "")))
+    df = df.withColumn("slots", mine)
+    return df.withColumn("slots", F.when(F.exists("slots", lambda w: placeholder(w).isNotNull()), F.concat_ws(" ", "slots"))).drop("__w", "size")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_share: float = 0.5, max_broadcast: int = 2_000_000) -> DataFrame:
     """One row per leaked (document, item): key, item_id, first and last word, share, verbatim."""
     items = benchmark.select(F.col(item).alias("item"), F.xxhash64(item_text).alias("of"), F.col(item_text).alias("__t"))
-    ours = windows(items, ["item", "of"], "__t", short=True).withColumnsRenamed({"pos": "at", "slots": "want"})
+    ours = with_slots(windows(items, ["item", "of"], "__t", short=True)).withColumnsRenamed({"pos": "at", "slots": "want", "kind": "form"})
     total = ours.groupBy("item", "of").agg(F.countDistinct("at").alias("total"))
     ours = ours.join(total, ["item", "of"])
-    if ours.limit(max_broadcast + 1).count() <= max_broadcast:
-        ours = F.broadcast(ours)
+    spread = ours.limit(max_broadcast + 1).count() <= max_broadcast
     theirs = windows(docs.select(F.col(key).alias("k"), F.col(text).alias("__t")), ["k"], "__t")
     short = windows_of_short_items(docs, benchmark, key, text, item, item_text)
-    met = (theirs if short is None else theirs.unionByName(short)).join(ours, "hash")
-    instance = ["k", "item", "of", "band"]
+    theirs = theirs if short is None else theirs.unionByName(short)
+    # slots are put together after the join where words don't have to be shuffled for it
+    met = with_slots(theirs.join(F.broadcast(ours), "hash")) if spread else with_slots(theirs).join(ours, "hash")
+    met = met.where("kind + form <> 3").withColumn("form", F.explode(F.when(F.col("kind") + F.col("form") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.greatest("kind", "form")))))
+    instance = ["k", "item", "of", "form", "band"]
     # two bands, half a band apart, so that an alignment that shifts by a word stays in one of them
     shift = F.col("pos") - F.col("at")
     met = met.withColumn("band", F.explode(F.array(F.floor(shift / 8) * 2, F.floor((shift + 4) / 8) * 2 + 1)))

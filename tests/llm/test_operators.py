@@ -297,6 +297,16 @@ def test_templates(spark):
     assert decontaminate.leaks(docs_of(spark, rows), benchmark, max_broadcast=1).count() == len(out)
 
 
+def test_templates_whose_sentences_open_with_a_name(spark):
+    item = "Alice buys 5 apples and 3 pears. Alice gives 2 apples to Bob."
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    changed = "Emma buys 7 apples and 4 pears. Emma gives 3 apples to Tom."
+    rows = [changed, f"Some words before it:\n{changed} And after", changed.replace("Emma gives", "Ann gives"), item, "Nothing of it here but apples and pears to be sold on Monday"]
+    for most in (2_000_000, 1):
+        out = {r["doc_id"]: r["verbatim"] for r in decontaminate.leaks(docs_of(spark, rows), benchmark, max_broadcast=most).collect()}
+        assert out == {0: False, 1: False, 3: True}
+
+
 def test_leaks_of_a_whole_table(spark):
     docs, benchmark = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " ".join(t.split())
