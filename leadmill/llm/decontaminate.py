@@ -12,7 +12,8 @@ word in both.
 
 A match is an instance: one document, one item and one alignment (distance of
 positions, within a band of 8 words). It is a leak if its windows are at least
-min_share of the item's windows and its slots are consistent: one value of the
+min_share of the item's windows, or a run of RUN consecutive windows of the item
+(13 words) whatever its length, and the slots of these are consistent: one value of the
 item always stands for one value of the document. A verbatim copy is consistent
 by itself.
 
@@ -29,12 +30,14 @@ as one item each; other columns of either table are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.llm.common import materialise
 
 WINDOW = 8
+#: Consecutive windows that are a leak by themselves: 13 words.
+RUN = 6
 #: Units that become a slot.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "pound", "pounds", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degrees", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilogram", "kilograms")
 _MARK, _FIRST = "\x01", "\x02"
@@ -96,8 +99,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     shift = F.col("pos") - F.col("at")
     met = met.withColumn("band", F.explode(F.array(F.floor(shift / 8) * 2, F.floor((shift + 4) / 8) * 2 + 1)))
     met = materialise(met, "matches")
+    # each instance is judged as a whole (run -1) and by its runs of consecutive windows
+    run = F.col("at") - F.dense_rank().over(Window.partitionBy(*instance).orderBy("at"))
+    met = met.withColumn("run", run).withColumn("run", F.explode(F.array(F.lit(-1), "run")))
+    instance.append("run")
     share = met.groupBy(*instance).agg(F.countDistinct("at").alias("n"), F.first("total").alias("total"), F.min("pos").alias("first_word"), (F.max("pos") + WINDOW - 1).alias("last_word"), F.count("slots").alias("slotted"))
-    share = share.where(F.col("n") >= F.lit(min_share) * F.col("total"))
+    share = share.where((F.col("n") >= F.lit(min_share) * F.col("total")) | (F.col("run") >= 0) & (F.col("n") >= RUN))
     pairs = met.where("slots is not null").select(*instance, F.explode(F.arrays_zip(F.split("want", " ").alias("a"), F.split("slots", " ").alias("b"), F.transform(F.split("slots", " "), placeholder).alias("c"))).alias("p"))
     pairs = pairs.where(F.col("p.c").isNotNull()).select(*instance, F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
     slots = pairs.groupBy(*instance).agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("values"), F.count_if(F.col("a") != F.col("b")).alias("changed"))

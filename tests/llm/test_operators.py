@@ -307,6 +307,16 @@ def test_templates_whose_sentences_open_with_a_name(spark):
         assert out == {0: False, 1: False, 3: True}
 
 
+def test_leaks_of_a_part_of_a_long_item(spark):
+    """A run of 13 words of an item is a leak, however long the item; 12 are not, nor are 13 in two places."""
+    w = words(300, 31)
+    benchmark = spark.createDataFrame([(0, " ".join(w))], "item_id long, text string")
+    own = words(40, 32)
+    parts = [w[100:200], w[50:63], w[50:62], w[10:19] + own[:20] + w[200:209]]
+    out = decontaminate.leaks(docs_of(spark, [" ".join(own + p + own) for p in parts]), benchmark).collect()
+    assert {r["doc_id"] for r in out} == {0, 1}
+
+
 def test_leaks_of_a_whole_table(spark):
     docs, benchmark = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " ".join(t.split())
