@@ -1,14 +1,13 @@
 """Benchmark decontamination by template canonicalisation, native expressions only.
 
-Words are lower-cased and lose their punctuation; words with a digit become
-<num>, units <unit>, and capitalised words inside a sentence <name>. Windows of
-eight canonical words of the benchmark are hash-joined to those of the documents,
-so a question with other numbers, names or units still meets its template.
+Words lose their punctuation. Those that begin with a digit become <num>, units
+<unit>, and capitalised words <name>. Windows of eight canonical words of the
+benchmark are hash-joined to those of the documents, so a question with other
+numbers, names or units still meets its template.
 
-A capitalised word that opens a sentence, a line or a quotation may be a name or
-not. Windows over such words are hashed in two forms, with the word itself and
-with <name>; each form is judged by itself, with the windows that have no such
-word in both.
+A capitalised word may be a name or not, and case may have been changed. So each
+window is hashed in two forms, in lower case and with <name>; each form is judged
+by itself, with the windows that have no capitalised word in both.
 
 A match is an instance: one document, one item and one alignment (distance of
 positions, within a band of 8 words). It is a leak if its windows are at least
@@ -17,15 +16,17 @@ min_share of the item's windows, or a run of RUN consecutive windows of the item
 item always stands for one value of the document. A verbatim copy is consistent
 by itself.
 
-The windows of the benchmark are broadcast where they number at most
-max_broadcast rows and joined by shuffle beyond that. Documents are read once
-and their windows never shuffled in the first case; nothing is gathered per
-document or item but counts and distinct slot pairs.
-
-Defined results: null or empty texts match nothing; items below eight words have
-one window of all their words if they have at least four, and are otherwise too
-short to tell; repeated rows of one doc_id count once; items that repeat count
-as one item each; other columns of either table are ignored.
+Documents are read once for windows of all sizes. Hashes of windows are built by
+doubling (pairs, fours, eights), and slots only for windows that met. The windows
+of the benchmark are broadcast where their measured bytes are at most most_bytes
+and joined by shuffle beyond that. Nothing is gathered per document or item but
+counts and distinct slot pairs.
+
+Defined results: a document is a key and a text, so different texts under one key,
+null keys included, are judged apart, and rows that repeat both are one; null or
+empty texts match nothing; items below eight words have one window of all their
+words if they have at least four, and are otherwise too short to tell; items that
+repeat count as one item each; other columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -33,93 +34,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import materialise
+from leadmill.llm.common import BROADCAST_BYTES, materialise, row_bytes
 
 WINDOW = 8
 #: Consecutive windows that are a leak by themselves: 13 words.
 RUN = 6
 #: Units that become a slot.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "pound", "pounds", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degrees", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilogram", "kilograms")
-_MARK, _FIRST = "\x01", "\x02"
+_MARK = "\x01"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words without punctuation; names inside a sentence carry a mark in front, capitalised words that open one another mark."""
-    named = F.regexp_replace(F.translate(text, "<>" + _MARK + _FIRST, "    "), r"(?<=[^.?!:;\s][ \t])(?=\p{Lu}\p{Ll}++)", _MARK)
-    named = F.regexp_replace(named, r"(?<![^\s\p{Pi}\p{Ps}\"'])(?=\p{Lu}\p{Ll}++)", _FIRST)
-    plain = F.lower(F.regexp_replace(named, r"[^\p{L}\p{M}\p{N}\s\x01\x02]++", ""))
-    return F.split(F.trim(F.regexp_replace(plain, r"\s++", " ")), " ")
+    """Words as they stand, without punctuation."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}\p{N}\s\xA0]++", "")
+    return F.split(F.btrim(plain, F.lit(" \t\n\x0b\x0c\r\xa0")), r"[\s\xA0]+")
 
 
 def placeholder(word: Column) -> Column:
-    """The typed placeholder of a word, null for other words."""
-    return F.when(word.startswith(_MARK), "<name>").when(F.translate(word, "0123456789", "") != word, "<num>").when(word.isin(*UNITS), "<unit>")
-
-
-def windows(texts: DataFrame, keys: list[str], text: str, size: int = WINDOW, short: bool = False) -> DataFrame:
-    """keys, pos, hash, kind (0 of both forms, 1 and 2 of one), the text's words and the size."""
-    df = texts.select(*keys, words(F.coalesce(F.col(text), F.lit(""))).alias("__w"))
-    hashed = lambda w: F.xxhash64(F.coalesce(placeholder(w), w))
-    first = F.transform("__w", lambda w: F.when(w.startswith(_FIRST), F.xxhash64(F.lit("<name>"))))
-    df = df.select(*keys, "__w", F.transform("__w", lambda w: hashed(F.translate(w, _FIRST, ""))).alias("__h"), first.alias("__f"))
-    df = df.select(*keys, "__w", "__h", "__f", F.zip_with("__h", "__f", lambda h, f: F.coalesce(f, h)).alias("__g"))
-    n = F.size("__h")
-    last = F.greatest(n - size + 1, F.lit(1)) if short else n - size + 1
-    starts = F.coalesce(F.when(n >= (4 if short else size), F.sequence(F.lit(1), last)), F.array().cast("array<int>"))
-    two = lambda i: F.array_max(F.slice("__f", i, size)).isNotNull()
-    window = lambda i, h, kind: F.named_struct(F.lit("pos"), i, F.lit("hash"), F.xxhash64(F.slice(h, i, size)), F.lit("kind"), kind)
-    plain = F.transform(starts, lambda i: window(i, "__h", two(i).cast("int")))
-    named = F.transform(F.filter(starts, two), lambda i: window(i, "__g", F.lit(2)))
-    df = df.select(*keys, "__w", F.explode(F.concat(plain, named)).alias("w"))
-    return df.select(*keys, "w.pos", "w.hash", "w.kind", "__w", F.lit(size).alias("size"))
-
-
-def with_slots(df: DataFrame, kind: str = "kind") -> DataFrame:
-    """The words of a window with placeholders, else null, in place of the text's words."""
-    mine = F.transform(F.slice("__w", F.col("pos"), F.col("size")), lambda w: F.when(F.col(kind) == 2, F.translate(w, _FIRST, _MARK)).otherwise(F.translate(w, _FIRST, "")))
-    df = df.withColumn("slots", mine)
-    return df.withColumn("slots", F.when(F.exists("slots", lambda w: placeholder(w).isNotNull()), F.concat_ws(" ", "slots"))).drop("__w", "size")
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_share: float = 0.5, max_broadcast: int = 2_000_000) -> DataFrame:
-    """One row per leaked (document, item): key, item_id, first and last word, share, verbatim."""
+    """The typed placeholder of a word in lower case or marked as a name, null for other words."""
+    # what sorts before ":" begins with a digit or the mark, as punctuation is gone
+    return F.when(word.startswith(_MARK), "<name>").when((word >= "0") & (word < ":"), "<num>").when(word.isin(*UNITS), "<unit>")
+
+
+def _joined(a: str, b: str, by: int) -> Column:
+    """Hashes of adjoining windows put together; null where the second lies beyond the text."""
+    return F.zip_with(a, F.slice(b, F.lit(by + 1), F.size("__w")), lambda x, y: F.xxhash64(x).bitwiseXOR(y))
+
+
+def _window(of: str, size: int) -> Column:
+    return {4: lambda: F.col(f"{of}4"), 5: lambda: _joined(f"{of}4", of, 4), 6: lambda: _joined(f"{of}4", f"{of}2", 4), 7: lambda: _joined(f"{of}6", of, 6), 8: lambda: _joined(f"{of}4", f"{of}4", 4)}[size]()
+
+
+def windows(texts: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
+    """keys, hash, __w (the text's words), __at, __n and __all: what place() needs to tell a window that met."""
+    df = texts.select(*keys, words(F.col(text)).alias("__w"))
+    df = df.select(*keys, "__w", F.transform("__w", F.lower).alias("__l"))
+    fixed = {p: F.xxhash64(F.lit(p)) for p in ("<num>", "<unit>", "<name>")}
+    hashed = F.transform("__l", lambda x: F.when((x >= "0") & (x < ":"), fixed["<num>"]).when(x.isin(*UNITS), fixed["<unit>"]).otherwise(F.xxhash64(x)))
+    df = df.select(*keys, "__w", hashed.alias("__h"), F.zip_with("__w", "__l", lambda x, y: F.when(x != y, fixed["<name>"])).alias("__c"))
+    df = df.select(*keys, "__w", "__h", F.zip_with("__c", "__h", lambda c, h: F.coalesce(c, h)).alias("__g"))
+    df = df.select("*", *[_joined(x, x, 1).alias(f"{x}2") for x in ("__h", "__g")])
+    df = df.select("*", *[_joined(f"{x}2", f"{x}2", 2).alias(f"{x}4") for x in ("__h", "__g")])
+    if 7 in sizes:
+        df = df.select("*", *[_joined(f"{x}4", f"{x}2", 4).alias(f"{x}6") for x in ("__h", "__g")])
+    plain = df.select(*keys, "__w", *[_window(x, s).alias(f"{x}of{s}") for s in sizes for x in ("__h", "__g")])
+    both = [c for s in sizes for c in (F.col(f"__hof{s}"), F.zip_with(f"__hof{s}", f"__gof{s}", lambda h, g: F.nullif(g, h)))]
+    blocks = plain.select(*keys, "__w", F.size("__w").alias("__n"), F.concat(*both).alias("__all"))
+    return blocks.select(*keys, "__w", "__n", "__all", F.posexplode("__all").alias("__at", "hash"))
+
+
+def place(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """pos (from 1), size and kind (0: of both forms, 1: lower case, 2: with names) of windows, and their slots: the words of one with a placeholder, else null."""
+    block = F.expr("int(__at div __n)")
+    df = df.withColumns({"pos": F.col("__at") % F.col("__n") + 1, "size": F.element_at(F.array(*[F.lit(s) for s in sizes]), F.expr("int(__at div __n div 2) + 1")), "kind": F.when(block % 2 == 1, 2).when(F.get("__all", F.col("__at") + F.col("__n")).isNotNull(), 1).otherwise(0)})
+    named = F.transform(F.slice("__w", F.col("pos"), F.col("size")), lambda w: F.when((F.col("kind") == 2) & (F.lower(w) != w), F.concat(F.lit(_MARK), F.lower(w))).otherwise(F.lower(w)))
+    df = df.withColumn("slots", named)
+    return df.withColumn("slots", F.when(F.exists("slots", lambda w: placeholder(w).isNotNull()), F.concat_ws(" ", "slots"))).drop("__w", "__at", "__all")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_share: float = 0.5, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per leaked (document, item): key, text_hash (xxhash64 of the text), item_id, first and last word, share, verbatim."""
     items = benchmark.select(F.col(item).alias("item"), F.xxhash64(item_text).alias("of"), F.col(item_text).alias("__t"))
-    ours = with_slots(windows(items, ["item", "of"], "__t", short=True)).withColumnsRenamed({"pos": "at", "slots": "want", "kind": "form"})
+    lengths = items.select(F.size(words(F.col("__t"))).alias("n")).where("n between 4 and 7").distinct().collect()  # four rows at most
+    sizes = [WINDOW, *sorted(r["n"] for r in lengths)]
+    ours = place(windows(items, ["item", "of"], "__t", sizes).where("hash is not null"), sizes).where(f"size = least(__n, {WINDOW})").drop("__n", "size")
+    ours = materialise(ours.withColumnsRenamed({"pos": "at", "slots": "want", "kind": "form"}).distinct(), "benchmark_windows")
     total = ours.groupBy("item", "of").agg(F.countDistinct("at").alias("total"))
-    ours = ours.join(total, ["item", "of"])
-    spread = ours.limit(max_broadcast + 1).count() <= max_broadcast
-    theirs = windows(docs.select(F.col(key).alias("k"), F.col(text).alias("__t")), ["k"], "__t")
-    short = windows_of_short_items(docs, benchmark, key, text, item, item_text)
-    theirs = theirs if short is None else theirs.unionByName(short)
+    ours = materialise(ours.join(total, ["item", "of"]), "benchmark_templates")
+    spread = (ours.agg(F.sum(row_bytes(ours))).first()[0] or 0) <= most_bytes
+    whole = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("row"), F.col(text).alias("__t"))
+    theirs = windows(whole, ["k", "row"], "__t", sizes)
     # slots are put together after the join where words don't have to be shuffled for it
-    met = with_slots(theirs.join(F.broadcast(ours), "hash")) if spread else with_slots(theirs).join(ours, "hash")
+    met = place(theirs.join(F.broadcast(ours), "hash"), sizes) if spread else place(theirs.where("hash is not null"), sizes).join(ours, "hash")
     met = met.where("kind + form <> 3").withColumn("form", F.explode(F.when(F.col("kind") + F.col("form") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.greatest("kind", "form")))))
-    instance = ["k", "item", "of", "form", "band"]
+    instance = ["k", "row", "item", "of", "form", "band"]
     # two bands, half a band apart, so that an alignment that shifts by a word stays in one of them
     shift = F.col("pos") - F.col("at")
     met = met.withColumn("band", F.explode(F.array(F.floor(shift / 8) * 2, F.floor((shift + 4) / 8) * 2 + 1)))
-    met = materialise(met, "matches")
+    # rows that repeat a key and a text meet here before their windows are numbered
+    met = materialise(met.select(*instance, "pos", "at", "total", "size", "want", "slots").distinct(), "matches")
     # each instance is judged as a whole (run -1) and by its runs of consecutive windows
     run = F.col("at") - F.dense_rank().over(Window.partitionBy(*instance).orderBy("at"))
     met = met.withColumn("run", run).withColumn("run", F.explode(F.array(F.lit(-1), "run")))
     instance.append("run")
-    share = met.groupBy(*instance).agg(F.countDistinct("at").alias("n"), F.first("total").alias("total"), F.min("pos").alias("first_word"), (F.max("pos") + WINDOW - 1).alias("last_word"), F.count("slots").alias("slotted"))
+    share = met.groupBy(*instance).agg(F.countDistinct("at").alias("n"), F.first("total").alias("total"), F.min("pos").alias("first_word"), F.max(F.col("pos") + F.col("size") - 1).alias("last_word"))
     share = share.where((F.col("n") >= F.lit(min_share) * F.col("total")) | (F.col("run") >= 0) & (F.col("n") >= RUN))
     pairs = met.where("slots is not null").select(*instance, F.explode(F.arrays_zip(F.split("want", " ").alias("a"), F.split("slots", " ").alias("b"), F.transform(F.split("slots", " "), placeholder).alias("c"))).alias("p"))
     pairs = pairs.where(F.col("p.c").isNotNull()).select(*instance, F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
     slots = pairs.groupBy(*instance).agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("values"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
-    sound = share.join(slots, instance, "left").where(F.coalesce(F.col("pairs") == F.col("values"), F.lit(True)))
-    return sound.groupBy(F.col("k").alias(key), F.col("item").alias("item_id")).agg(
+    judged, slots = share.alias("s"), slots.alias("t")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in instance]
+    sound = judged.join(slots, same, "left").where(F.coalesce(F.col("pairs") == F.col("values"), F.lit(True)))
+    return sound.groupBy(F.col("s.k").alias(key), F.col("s.row").alias("text_hash"), F.col("s.item").alias("item_id")).agg(
         F.min("first_word").cast("long").alias("first_word"), F.max("last_word").cast("long").alias("last_word"),
         F.max(F.col("n") / F.col("total")).alias("share"), F.max(F.coalesce("changed", F.lit(0)) == 0).alias("verbatim"),
     )
 
 
-def windows_of_short_items(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame | None:
-    """Windows of the sizes 4 to 7 of items that are that short; null where there are none."""
-    lengths = benchmark.select(F.size(words(F.coalesce(F.col(item_text), F.lit("")))).alias("n")).where("n between 4 and 7").distinct().collect()  # four rows at most
-    out = None
-    for r in sorted(lengths):
-        one = windows(docs.select(F.col(key).alias("k"), F.col(text).alias("__t")), ["k"], "__t", size=r["n"])
-        out = one if out is None else out.unionByName(one)
-    return out
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that hold a leaked item; a document is a key and a text, null keys included."""
+    leaked = materialise(leaks(docs, benchmark, key, text).select(F.col(key).alias("__k"), F.col("text_hash").alias("__h")).distinct(), "leaked")
+    return docs.join(leaked, docs[key].eqNullSafe(leaked["__k"]) & (F.xxhash64(docs[text]) == leaked["__h"]), "left_anti")

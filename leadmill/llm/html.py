@@ -12,8 +12,17 @@
    text is that of the main or article element around it, or without one of the
    elements around it that hold text of their own or the page's h1.
 
-The table of paths is broadcast up to max_broadcast hosts and joined by shuffle
-beyond, where Spark splits a hot host's rows. Pages are parsed one at a time.
+Furniture is told by tags and by words of class, id and role. A word counts
+where it is a whole token ("sidebar") or a part of one ("sidebar-left"), but not
+beside a qualifier ("with-sidebar", "no-comments"). It is no veto: an element that
+holds most of the page's unlinked text stays if without it nothing of the page is
+left, or only a fifth and no token names it outright, or the page's only article
+stands in it. Lists of links outside an article are menus.
+
+A page is read in one pass, in time that grows with its length however deep
+elements nest; a path is a 64-bit hash. The table of paths is broadcast where its
+measured bytes allow and joined by shuffle beyond, where Spark splits a hot
+host's rows. Pages are parsed one at a time.
 
 Defined results: null or empty html has empty text; a null URL belongs to the
 host "" ; a page without tags is one block of text; pages cut off inside a tag
@@ -23,60 +32,87 @@ or an element keep what came before; repeated rows are extracted each for itself
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm import urls
-from leadmill.llm.common import materialise
+from leadmill.llm.common import small
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
-CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: A comment, a tag with its attributes (a quote opens a value only after "="), another declaration, or a tag that the page's end cuts off.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
+NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
-LEFT_OUT = frozenset("nav footer aside form button menu dialog label input head".split())
-NEVER_OUT = frozenset("html body main article".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
+LEFT_OUT = frozenset("nav footer aside form button menu dialog label head select svg math object canvas".split())
+NEVER_OUT = frozenset("html body main".split())
 CONTAINERS = frozenset("html body main article section div td center blockquote".split())
-HINTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+LISTS = frozenset("ul ol dl table".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table td th div article section main body html ul ol dl aside nav header footer form blockquote figure".split())
+#: Words that name furniture (a whole word, or what a word begins with), reader comments among them, and words beside which they name nothing.
+EXACT = frozenset("ad ads header masthead menu menus nav navbar navigation notice notices pager related replies respond responses share shares sharing skip".split())
+STARTS = ("advert", "banner", "breadcrumb", "comment", "consent", "cookie", "disqus", "footer", "login", "modal", "newsletter", "paginat", "popup", "promo", "sidebar", "signup", "social", "sponsor", "subscri", "toolbar", "widget")
+READERS = ("comment", "disqus", "replies", "respond", "responses")
+QUALIFIERS = frozenset("no not none non without with has have hide hidden show enabled disabled open closed is".split())
+WEAK, STRONG, READER = 1, 2, 3
+
+
+@lru_cache(maxsize=4096)
+def furniture(token: str) -> tuple[int, bool]:
+    """Whether a token of class, id or role names furniture, and whether it is but a header."""
+    parts = [x for x in re.split(r"[^a-z]+", token) if x]
+    if QUALIFIERS.intersection(parts):
+        return 0, False
+    met = [x for x in parts if x in EXACT or x.startswith(STARTS)]
+    if not met:
+        return 0, False
+    if any(x.startswith(READERS) for x in met):
+        return READER, False
+    return (STRONG if len(parts) == 1 else WEAK), all(x in ("header", "masthead") for x in met)
 
 
 def attributes(found: str) -> tuple[list[str], list[str]]:
-    """Words of the class, and of class, id and role."""
-    classes, words = [], []
-    for name, value in CLASS.findall(found):
-        value = value.strip("\"'").lower()
-        words += re.split(r"[^a-z]+", value)
+    """Tokens of the class, and of class, id and role. Single letters run together in camel case are parted."""
+    classes, tokens = [], []
+    for name, value in NAMES.findall(found):
+        value = value.strip("\"'")
+        tokens += re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split()
         if name.lower() == "class":
-            classes = value.split()
-    return classes, words
+            classes = value.lower().split()
+    return classes, tokens
 
 
 class Page:
-    """Blocks of one page in order, each with its text, linked characters and container; containers with their paths."""
+    """Blocks of one page in order, each with its text, linked characters and node; nodes (elements that matter) with their paths."""
 
     def __init__(self, html: str | None):
-        self.paths, self.parents = [""], [-1]
+        self.names, self.tags, self.paths, self.parents, self.depths, self.bad, self.within = [""], [""], [0], [-1], [0], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []
-        self.titles: list[int] = []  # containers of the h1 blocks
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, left out
+        self.titles: list[int] = []  # nodes of the h1 blocks
+        self.links_in: dict[int, int] = defaultdict(int)  # of lists: links
+        self.stack: list[tuple[str, int]] = [("", 0)]  # tag, node
+        self.open: dict[str, list[int]] = defaultdict(list)  # depths of the open elements of each tag
+        self.bounds: dict[frozenset, list[int]] = {SCOPE: [], BLOCKS: [], **{SCOPE - {t}: [] for t in ENDS}, SCOPE - {"td", "th"}: []}
         self.parts: list[str] = []
-        self.linked = self.links = 0
+        self.linked = 0
         self._read(html or "")
+        self._judge()
 
     def _text(self, raw: str) -> None:
-        if not raw or self.stack[-1][2]:
-            return
-        text = unescape(raw) if "&" in raw else raw
-        self.parts.append(text)
-        if self.links:
-            self.linked += len(text.strip())
+        if raw:
+            text = unescape(raw) if "&" in raw else raw
+            self.parts.append(text)
+            if self.open["a"]:
+                self.linked += len(text.strip())
 
     def _flush(self) -> None:
         if self.parts:
@@ -89,22 +125,21 @@ class Page:
         self.linked = 0
 
     def _close_to(self, depth: int) -> None:
-        self._flush()
-        self.links -= sum(1 for x in self.stack[depth:] if x[0] == "a")
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag, _ = self.stack.pop()
+            self.open[tag].pop()
+            for among, at in self.bounds.items():
+                if tag in among:
+                    at.pop()
 
     def _end(self, tag: str, among: frozenset | None = None) -> None:
         """Close the nearest open element of this tag, not beyond an element of `among`."""
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth][0] == tag:
-                if tag in BLOCKS:
-                    self._close_to(depth)
-                else:
-                    self.links -= sum(1 for x in self.stack[depth:] if x[0] == "a")
-                    del self.stack[depth:]
-                return
-            if among and self.stack[depth][0] in among:
-                return
+        at = self.open[tag]
+        if at and not (among and self.bounds[among] and self.bounds[among][-1] > at[-1]):
+            # text of a node of its own must not run into what follows
+            if tag in BLOCKS or self.stack[-1][1] != self.stack[at[-1] - 1][1]:
+                self._flush()
+            self._close_to(at[-1])
 
     def _start(self, tag: str, found: str) -> None:
         if tag in BLOCKS:
@@ -112,116 +147,183 @@ class Page:
             self._end("p", SCOPE)
             for other in ENDS.get(tag, ()):
                 self._end(other, SCOPE - {"td", "th"} if tag == "tr" else SCOPE - {other})
-        elif tag == "a" and self.links:
+        elif tag == "a":
             self._end("a", BLOCKS)
         if tag == "br":
             self._text(" ")
         if tag in VOID:
             return
-        _, container, out = self.stack[-1]
-        classes, words = attributes(found) if "=" in found else ([], [])
-        inside = any(x[0] in ("article", "main") for x in self.stack)
-        if tag not in NEVER_OUT and (tag in LEFT_OUT or tag == "header" and not inside or any(w in HINTS for w in words) or "hidden" in found.split()):
-            out = True
-        if tag in CONTAINERS and not out:
+        node = self.stack[-1][1]
+        classes, tokens = attributes(found) if "=" in found else ([], [])
+        within, bad = self.within[node], 0
+        if tag not in NEVER_OUT:
+            for token in tokens:
+                found_bad, header = furniture(token)
+                # a header inside an article holds its title
+                if found_bad and not (header and within) and not (tag == "article" and found_bad != READER):
+                    bad = max(bad, found_bad)
+            if tag == "form":
+                bad = max(bad, WEAK)
+            elif tag in LEFT_OUT or tag == "header" and not within or re.search(r"(?:^|\s)hidden(?:\s|=|$)", found):
+                bad = max(bad, STRONG)
+        if tag in CONTAINERS or tag in LISTS or bad:
+            if bad and tag not in BLOCKS:
+                self._flush()
             name = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
-            self.paths.append(f"{self.paths[container]}>{name}")
-            self.parents.append(container)
-            container = len(self.paths) - 1
+            self.names.append(name)
+            self.tags.append(tag)
+            self.paths.append(xxhash.xxh64_intdigest(name.encode("utf-8", "replace"), self.paths[node]))
+            self.parents.append(node)
+            self.depths.append(self.depths[node] + 1)
+            self.bad.append(bad)
+            self.within.append(within or tag in ("article", "main") and not bad)
+            node = len(self.names) - 1
         if tag == "a":
-            self.links += 1
-        self.stack.append((tag, container, out))
+            self.links_in[node] += 1
+        self.stack.append((tag, node))
+        self.open[tag].append(len(self.stack) - 1)
+        for among, at in self.bounds.items():
+            if tag in among:
+                at.append(len(self.stack) - 1)
 
     def _read(self, html: str) -> None:
-        at, raw = 0, ""
+        at, unended = 0, set()
         while m := TAG.search(html, at):
             self._text(html[at : m.start()])
             at = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            tag = (m[2] or "").lower()
             if not tag:
                 continue
-            if m[1] or m[4]:
+            if m[1]:
                 # an inline end tag doesn't reach beyond the block it stands in
                 self._end(tag, None if tag in BLOCKS else BLOCKS)
             elif tag in RAW:
-                raw = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I)
-                end = raw.search(html, at)
-                at = end.end() if end else len(html)
+                end = None if tag in unended else re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style", "textarea", "title"):
+                    at = len(html)
+                else:
+                    unended.add(tag)
             else:
-                self._start(tag, m[3] or m[6] or "")
+                self._start(tag, m[3] or "")
         self._text(html[at:])
         self._flush()
 
-    def own(self) -> list[int]:
-        """Unlinked characters of each container's own blocks."""
-        weight = [0] * len(self.paths)
-        for container, text, linked in self.blocks:
-            weight[container] += max(0, len(text) - 2 * linked)
-        return weight
+    def _sums(self, each: list[int]) -> list[int]:
+        """For each node the sum over it and all nodes inside it; nodes are numbered in page order."""
+        out = each[:]
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parents[k]] += out[k]
+        return out
+
+    def _judge(self) -> None:
+        """Which nodes are furniture."""
+        n = len(self.names)
+        plain, length, linked = [0] * n, [0] * n, [0] * n
+        for k, text, links in self.blocks:
+            plain[k] += max(0, len(text) - 2 * links)
+            length[k] += len(text)
+            linked[k] += min(links, len(text))
+        whole = self._sums(plain)
+        if any(t in LISTS for t in self.tags):
+            lengths, links, counts = self._sums(length), self._sums(linked), self._sums([self.links_in.get(k, 0) for k in range(n)])
+            for k in range(n):
+                if self.tags[k] in LISTS and not self.within[k] and counts[k] >= 3 and 10 * links[k] >= 8 * lengths[k]:
+                    self.bad[k] = self.bad[k] or STRONG
+        bad, total = self.bad, whole[0]
+        named = [int(self.tags[k] in ("article", "main") and not bad[k]) for k in range(n)]
+        named_in = self._sums(named)
+        for k in self.titles:
+            named[k] += 1
+        main_in = self._sums(named)
+
+        def marked(spared: set[int]) -> list[bool]:
+            out = [False] * n
+            for k in range(1, n):
+                out[k] = out[self.parents[k]] or bad[k] > 0 and k not in spared
+            return out
+
+        self.out = marked(set())
+        kept = sum(plain[k] for k in range(n) if not self.out[k])
+        large = [k for k in range(1, n) if bad[k] and 2 * whole[k] >= total > 0]
+        if large:
+            main_outside = any(named[k] and not self.out[k] and self.tags[k] in ("article", "main") for k in range(n))
+            spared = {k for k in large if kept == 0 or bad[k] == WEAK and 5 * kept < total or bad[k] != READER and (main_in[k] if kept == 0 else named_in[k]) and not main_outside}
+            if spared:
+                self.out = marked(spared)
 
-    def weights(self) -> list[int]:
-        """Unlinked characters of each container with those inside it."""
-        weight = self.own()
-        for k in range(len(weight) - 1, 0, -1):
-            weight[self.parents[k]] += weight[k]
+    def own(self) -> list[int]:
+        """Unlinked characters of each node's own blocks that are no furniture."""
+        weight = [0] * len(self.names)
+        for k, text, linked in self.blocks:
+            if not self.out[k]:
+                weight[k] += max(0, len(text) - 2 * linked)
         return weight
 
     def best(self) -> tuple[int, float]:
         """The deepest container with at least 70 % of the page's unlinked text, and its share."""
-        weight = self.weights()
+        weight = self._sums(self.own())
         total = weight[0]
         if not total:
             return 0, 0.0
-        # containers are numbered in page order; below one that qualifies at most one other can
-        k = max((k for k in range(len(weight)) if weight[k] >= 0.7 * total), key=lambda k: (self.paths[k].count(">"), -k))
+        # below one that qualifies at most one other can
+        k = max((k for k in range(len(weight)) if 10 * weight[k] >= 7 * total and (not k or self.tags[k] in CONTAINERS)), key=self.depths.__getitem__)
         return k, weight[k] / total
 
-    def around(self, k: int, own: list[int], titled: set[int]) -> int:
-        """The container that holds the whole article of which k is a part."""
-        tags, up = {}, k
-        while up > 0:
-            tags[up] = self.paths[up].rsplit(">", 1)[1].split(".")[0]
-            up = self.parents[up]
-        named = [c for kind in ("main", "article") for c, tag in tags.items() if tag == kind]
-        if named:
-            # containers are numbered in page order, so an outer one is less than what it holds
-            return min(c for c in named if tags[c] == tags[named[0]])
-        found = k
-        for up in tags:
-            if own[up] or up in titled and tags[up] not in ("body", "html"):
-                found = up
-        return 0 if own[0] else found
-
-    def text(self, paths: list[str]) -> tuple[str, str]:
+    def path(self, k: int) -> str:
+        names = []
+        while k > 0:
+            names.append(self.names[k])
+            k = self.parents[k]
+        return ">".join(["", *reversed(names)])
+
+    def around(self, own: list[int]) -> list[int]:
+        """For each node the one that holds the whole article of which it is a part: the outermost main, else article, else the outermost with text or an h1 of its own."""
+        n, titled = len(self.names), set()
+        for k in self.titles:
+            while k > 0 and k not in titled and not self.out[k]:
+                titled.add(k)
+                k = self.parents[k]
+        mains, articles, tops, found = [-1] * n, [-1] * n, [-1] * n, [0] * n
+        for k in range(1, n):
+            up, tag = self.parents[k], self.tags[k]
+            mains[k] = mains[up] if mains[up] >= 0 or tag != "main" else k
+            articles[k] = articles[up] if articles[up] >= 0 or tag != "article" else k
+            tops[k] = tops[up] if tops[up] >= 0 or not (own[k] or k in titled and tag not in ("body", "html")) else k
+            found[k] = next((x for x in (mains[k], articles[k]) if x >= 0), 0 if own[0] else tops[k] if tops[k] >= 0 else k)
+        return found
+
+    def text(self, paths: list[int]) -> tuple[str, str]:
         """The text of the article around the first of the paths that the page has, else around its own best container; and that path."""
         known = {p: set() for p in paths}
         for k, p in enumerate(self.paths):
-            if p in known:
+            if p in known and not self.out[k]:
                 known[p].add(k)
         met = [p for p in paths if known[p]]
+        own = self.own()
         if met:
-            weight = self.weights() if len(met) > 1 else None
-            path = next((p for p in met if weight and 5 * sum(weight[k] for k in known[p]) >= weight[0]), met[0])
-            chosen = known[path]
+            weight = self._sums(own) if len(met) > 1 else None
+            chosen = known[next((p for p in met if weight and 5 * sum(weight[k] for k in known[p]) >= weight[0]), met[0])]
         else:
-            path, chosen = "", {self.best()[0]}
-        own, titled = self.own(), set()
-        for k in self.titles:
-            while k > 0 and k not in titled:
-                titled.add(k)
-                k = self.parents[k]
-        whole = {self.around(k, own, titled) for k in chosen}
-        inside = [False] * len(self.paths)
-        for k in range(len(self.paths)):
-            inside[k] = k in whole or (self.parents[k] >= 0 and inside[self.parents[k]])
-        found = [t for c, t, linked in self.blocks if inside[c]]
-        if not found and path:
+            chosen = {self.best()[0]}
+        around = self.around(own)
+        whole = {around[k] for k in chosen}
+        inside = [False] * len(self.names)
+        for k in range(len(self.names)):
+            inside[k] = not self.out[k] and (k in whole or (self.parents[k] >= 0 and inside[self.parents[k]]))
+        found = [t for c, t, _ in self.blocks if inside[c]]
+        if not found and met:
             return self.text([])
-        return "\n".join(found), path or self.paths[min(chosen)]
+        return "\n".join(found), self.path(min(chosen))
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, score of each page's best container; pages: host, html."""
+    """host, path (a hash), score of each page's best container; pages: host, html."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -230,10 +332,10 @@ def votes(pages: DataFrame) -> DataFrame:
                 page = Page(html)
                 k, share = page.best()
                 if share:
-                    rows.append((host, page.paths[k], share))
+                    rows.append((host, signed(page.paths[k]), share))
             yield pd.DataFrame(rows, columns=["host", "path", "score"])
 
-    return pages.mapInPandas(vote, "host string, path string, score double")
+    return pages.mapInPandas(vote, "host string, path long, score double")
 
 
 def consensus(voted: DataFrame, least: float = 0.2) -> DataFrame:
@@ -245,18 +347,15 @@ def consensus(voted: DataFrame, least: float = 0.2) -> DataFrame:
     return won.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", max_broadcast: int = 200_000) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages without html, with text, n_chars and main_path."""
     named = pages.withColumn("__url", F.coalesce(F.col(url), F.lit("")))
     named = named.withColumn("__host", urls.host_of(F.col("__url"))).drop("__url")
-    won = materialise(consensus(votes(named.select(F.col("__host").alias("host"), F.col(html).alias("html")))), "host_paths")
-    won = won.select(F.col("host").alias("__host"), F.col("paths").alias("__paths"))
-    if won.count() <= max_broadcast:
-        won = F.broadcast(won)
+    won = small(consensus(votes(named.select(F.col("__host").alias("host"), F.col(html).alias("html")))).withColumnsRenamed({"host": "__host", "paths": "__paths"}), "host_paths")
 
     @F.pandas_udf("text string, path string")
     def again(htmls: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([Page(h).text([] if p is None else list(p)) for h, p in zip(htmls, paths)], columns=["text", "path"])
+        return pd.DataFrame([Page(h).text([] if p is None else [int(x) & (1 << 64) - 1 for x in p]) for h, p in zip(htmls, paths)], columns=["text", "path"])
 
     kept = [c for c in pages.columns if c != html and c.lower() not in ("text", "n_chars", "main_path")]
     met = named.join(won, "__host", "left").withColumn("__again", again(F.col(html), F.col("__paths")))
