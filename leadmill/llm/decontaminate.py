@@ -80,7 +80,8 @@ def windows(texts: DataFrame, keys: list[str], text: str, sizes: list[int]) -> D
     plain = df.select(*keys, "__w", *[_window(x, s).alias(f"{x}of{s}") for s in sizes for x in ("__h", "__g")])
     both = [c for s in sizes for c in (F.col(f"__hof{s}"), F.zip_with(f"__hof{s}", f"__gof{s}", lambda h, g: F.nullif(g, h)))]
     blocks = plain.select(*keys, "__w", F.size("__w").alias("__n"), F.concat(*both).alias("__all"))
-    return blocks.select(*keys, "__w", "__n", "__all", F.posexplode("__all").alias("__at", "hash"))
+    # outer, as Spark would else filter by the size of __all below all these steps and take them twice
+    return blocks.select(*keys, "__w", "__n", "__all", F.posexplode_outer("__all").alias("__at", "hash"))
 
 
 def place(df: DataFrame, sizes: list[int]) -> DataFrame:
