@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 #: Bytes up to which a table is joined by broadcast.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +51,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*written: DataFrame) -> None:
-    """Delete tables of materialise() that no later step reads."""
-    for df in written:
-        for file in df.inputFiles()[:1]:
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if re.search(r"-[0-9a-f]{32}$", folder.getName()):
-                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(spark: SparkSession, *written: DataFrame | str) -> None:
+    """Delete folders of fresh_folder(), or the tables of materialise() in them, that no later step reads."""
+    for x in written:
+        for path in [x] if isinstance(x, str) else [f.rpartition("/")[0] for f in x.inputFiles()[:1]]:
+            if re.search(r"-[0-9a-f]{32}$", path):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def row_bytes(df: DataFrame) -> Column:

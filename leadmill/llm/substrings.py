@@ -18,7 +18,8 @@ occurrences are never gathered. Texts move whole.
 
 Defined results: null or empty text has no words and keeps the empty string;
 repeated rows are elsewhere for each other, so all their windows repeat; a text
-below 35 words loses nothing.
+below 35 words loses nothing; keys may be null or large, and different texts may
+share one.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import materialise
+from leadmill.llm.common import discard, materialise, small
 
 WINDOW, GRAM = 35, 8
 #: Odd multipliers of two polynomial hashes modulo 2 ** 64.
@@ -98,7 +99,8 @@ def anchor_counts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    # as text, since pandas turns whole numbers beside a null into floats
+    return docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
 
 
 def _back(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -109,7 +111,6 @@ def _back(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_words, n_removed, removed (spans) and kept (text)."""
     whole = _key(docs, key, text)
-    ktype = whole.schema["k"].dataType.simpleString()
 
     def find_anchors(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -122,11 +123,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     rows.append((k, h, a.view(np.int64), n.astype(np.int32)))
             yield pd.DataFrame(rows, columns=["k", "h", "anchor", "n"])
 
-    found = materialise(whole.select("k", "h", "t").mapInPandas(find_anchors, f"k {ktype}, h long, anchor array<long>, n array<int>"), "anchors")
+    found = materialise(whole.select("k", "h", "t").mapInPandas(find_anchors, "k string, h long, anchor array<long>, n array<int>"), "anchors")
     each = found.select("k", "h", F.inline(F.arrays_zip("anchor", "n")))
-    twice = each.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    # a table of its own, one row for each anchor: broadcast where it is small, else Spark can split the rows of a frequent one
+    twice = small(each.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeated_anchors")
     candidates = each.select("k", "h", "anchor").join(twice, "anchor", "left_semi").groupBy("k", "h").agg(F.collect_set("anchor").alias("anchor"))
     candidates = materialise(candidates.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "anchor"), "candidates")
+    discard(docs.sparkSession, found, twice)
 
     def find_windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -140,11 +143,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pd.DataFrame(rows, columns=["k", "h", "start", "one", "two"])
 
     held = _back(whole, candidates, "inner").select("k", "h", "t", "anchor")
-    windows = materialise(held.mapInPandas(find_windows, f"k {ktype}, h long, start array<int>, one array<long>, two array<int>"), "windows")
+    windows = materialise(held.mapInPandas(find_windows, "k string, h long, start array<int>, one array<long>, two array<int>"), "windows")
     rows = windows.select("k", "h", F.inline(F.arrays_zip("start", "one", "two")))
-    repeated = rows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+    repeated = small(rows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "repeated_windows")
     hit = rows.join(repeated, ["one", "two"], "left_semi").groupBy("k", "h").agg(F.collect_set("start").alias("start"))
     hit = materialise(hit.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "start"), "repeats")
+    discard(docs.sparkSession, windows, repeated, candidates)
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -162,7 +166,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pd.DataFrame(rows, columns=["k", "n_words", "n_removed", "removed", "kept"])
 
     out = _back(whole, hit, "left").select("k", "t", "start")
-    return out.mapInPandas(cut, f"k {ktype}, n_words long, n_removed long, removed array<struct<first: int, after: int>>, kept string").withColumnRenamed("k", key)
+    out = out.mapInPandas(cut, "k string, n_words long, n_removed long, removed array<struct<first: int, after: int>>, kept string")
+    return out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), "n_words", "n_removed", "removed", "kept")
 
 
 class SuffixAutomaton:

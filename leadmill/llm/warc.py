@@ -32,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import fresh_folder, materialise
+from leadmill.llm.common import discard, fresh_folder, materialise, small
 
 #: Fixed values of the seekable format: skippable frame, seek table footer.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = "page_id long, record_id string, bundle string, frame int, offset long, length long"
+#: Page ids pass through pandas as text, since it turns whole numbers beside a null into floats.
+INDEX = "page_id string, record_id string, bundle string, frame int, offset long, length long"
 
 
 class Frame(NamedTuple):
@@ -147,6 +148,7 @@ def plan(pages: DataFrame, key: str, url: str, html: str, min_bytes: int) -> Dat
     digest = F.sha2(F.col("payload"), 256).alias("digest")
     long = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", digest)
     groups = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = small(groups, "repeated_payloads")
     revisits = long.join(groups, "digest").where("page_id <> refers_to or page_id is null and refers_to is not null").distinct()
     revisits = revisits.select(F.col("page_id").alias("p2"), F.col("digest").alias("d2"), "refers_to")
     rows = rows.select("*", digest)
@@ -164,19 +166,19 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             for p, u, payload, digest, refers in zip(b["page_id"], b["url"], b["payload"], b["digest"], b["refers_to"]):
                 if writer is None:
                     writer, n = BundleWriter(f"{stem}-{n:04d}.warc.zst"), n + 1
-                p, refers = None if pd.isna(p) else int(p), None if pd.isna(refers) else int(refers)
                 name, record = make_record(p, u, payload.encode("utf-8", "replace"), digest, refers, date)
                 frame, offset = writer.add(record)
                 rows.append((p, name, writer.path, frame, offset, len(record)))
                 if writer.written > BUNDLE_BYTES:
                     writer.close()
                     writer = None
-            yield pd.DataFrame(rows, columns=["page_id", "record_id", "bundle", "frame", "offset", "length"]).astype({"page_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["page_id", "record_id", "bundle", "frame", "offset", "length"])
         if writer:
             writer.close()
 
     pafs_dir(folder)
-    return materialise(plan(pages, key, url, html, min_bytes).mapInPandas(bundles, INDEX), "warc_index")
+    planned = plan(pages, key, url, html, min_bytes).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return materialise(planned.mapInPandas(bundles, INDEX).withColumn("page_id", F.col("page_id").cast("long")), "warc_index")
 
 
 def pafs_dir(folder: str) -> None:
@@ -200,39 +202,46 @@ def read(spark: SparkSession, index: DataFrame) -> DataFrame:
                     response = head["warc-type"] == "response"
                     if response and head["warc-payload-digest"] != f"sha256:{digest}":
                         raise ValueError(f"damaged record {head['warc-record-id']}")
-                    number = lambda k: int(head[k]) if k in head else None
-                    rows.append((number("page-id"), head["warc-record-id"][1:-1], head["warc-type"], number("page-refers-to"), head.get("warc-refers-to", "<>")[1:-1], payload.decode("utf-8") if response else None, digest if response else None, len(payload) if response else None))
-                yield pd.DataFrame(rows, columns=["page_id", "record_id", "record_type", "refers_to", "target", "payload", "digest", "n"]).astype({"page_id": "Int64", "refers_to": "Int64", "n": "Int64"})
+                    rows.append((head.get("page-id"), head["warc-record-id"][1:-1], head["warc-type"], head.get("page-refers-to"), head.get("warc-refers-to", "<>")[1:-1], payload.decode("utf-8") if response else None, digest if response else None, len(payload)))
+                yield pd.DataFrame(rows, columns=["page_id", "record_id", "record_type", "refers_to", "target", "payload", "digest", "n"])
 
     found = index.select("bundle").distinct().mapInPandas(frames, "bundle string, frame int, start long, packed long, length long")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(tasks, "bundle", "frame").mapInPandas(records, "page_id long, record_id string, record_type string, refers_to long, target string, payload string, digest string, n long")
+    back = found.repartition(tasks, "bundle", "frame").mapInPandas(records, "page_id string, record_id string, record_type string, refers_to string, target string, payload string, digest string, n long")
+    response = F.col("record_type") == "response"
+    return back.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long"), "n": F.when(response, F.col("n"))})
 
 
 def lookup(spark: SparkSession, index: DataFrame, wanted: DataFrame) -> DataFrame:
     """The records of the given page ids (column page_id): one seek for each frame that holds any."""
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, data = None, b""
         for b in batches:
             rows = []
-            for (path, frame), group in b.groupby(["bundle", "frame"]):
-                at = seek_table(path)[frame]
-                data = read_frame(path, at.start, at.packed)
-                for p, offset, length in zip(group["page_id"], group["offset"], group["length"]):
-                    rows.append((p, data[offset : offset + length]))
+            for p, path, frame, offset, length in zip(b["page_id"], b["bundle"], b["frame"], b["offset"], b["length"]):
+                if of != (path, frame):
+                    of, at = (path, frame), seek_table(path)[frame]
+                    data = read_frame(path, at.start, at.packed)
+                rows.append((p, data[offset : offset + length]))
             yield pd.DataFrame(rows, columns=["page_id", "record"])
 
-    return index.join(wanted.select("page_id").distinct(), "page_id", "left_semi").mapInPandas(pick, "page_id long, record binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = index.join(wanted.select("page_id").where("page_id is not null").distinct(), "page_id", "left_semi")
+    met = met.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    return met.mapInPandas(pick, "page_id long, record binary")
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 100) -> DataFrame:
     """Write the pages, read the archives back, and resolve revisits: one row per page."""
     spark = pages.sparkSession
-    index = write(pages, fresh_folder(spark, "warc"), key, url, html, min_bytes)
+    folder = fresh_folder(spark, "warc")
+    index = write(pages, folder, key, url, html, min_bytes)
     back = materialise(read(spark, index).drop("payload"), "warc_records")
     read_whole = back.where("record_type = 'response'")
     # a table of its own, so that Spark can split the revisits of one frequent payload
     full = materialise(read_whole.groupBy(F.col("record_id").alias("target")).agg(F.max("n").alias("full_n"), F.max("digest").alias("full_digest")), "warc_payloads")
+    discard(spark, folder, index)
     revisits = back.where("record_type <> 'response'").join(full, "target").select("page_id", F.col("full_n").alias("n"), F.col("full_digest").alias("digest"), "record_type", "refers_to")
     both = read_whole.select("page_id", "n", "digest", "record_type", "refers_to").unionByName(revisits)
     return both.select(F.col("page_id").alias(key), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
