@@ -5,8 +5,9 @@ maximisation over the counts of vote patterns estimates how each rule votes on
 good and on bad documents, and a document is kept where the posterior
 probability of being good is at least a half. No document has to pass every rule.
 
-The corpus is read twice: once for the counts of vote patterns (at most
-3 ** number of rules rows, whatever the corpus), once to score. No shuffle moves text.
+Each text is counted once and the counts are written beside the document's
+columns; vote patterns (at most 3 ** number of rules rows, whatever the corpus) and
+scores are taken from there. No shuffle moves text.
 
 Defined results: null text counts as empty; a text without words has zero
 counts, fails the base test and is not kept; repeated rows are judged each for
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import SPACE
+from leadmill.llm.common import SPACE, materialise
 
 SYMBOLS = "#*$%&|<>"
 #: Words that a task remembers between texts, which bounds its memory.
@@ -98,8 +99,7 @@ def text_counts(text: Column) -> Column:
         for texts in batches:
             yield pd.DataFrame([count_text(x, known) for x in texts], columns=list(COUNTS), dtype="int64")
 
-    # else a filter on the result would run the function a second time below it
-    return counts.asNondeterministic()(text)
+    return counts(text)
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -150,21 +150,22 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np
     return good, chance, prior
 
 
-def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with the columns of RESULT: base counts, base_failed, posterior and kept."""
+def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """docs, without the text if keep_text is false, with the columns of RESULT: base counts, base_failed, posterior and kept."""
     spark = docs.sparkSession
     rules = votes("__f")
     pattern = F.concat_ws(",", *[v.cast("string") for v in rules.values()])
-    seen = docs.select(text_counts(F.col(text)).alias("__f")).select(pattern.alias("p")).groupBy("p").count().collect()
+    kept = [c for c in docs.columns if c.lower() not in RESULT and (keep_text or c != text)]
+    counted = materialise(docs.select(*kept, text_counts(F.col(text)).alias("__f")), "text_counts").withColumn("__p", pattern)
+    seen = counted.groupBy("__p").count().collect()
     if seen:  # at most 3 ** len(rules) rows
-        table = np.array([[int(x) for x in r["p"].split(",")] for r in seen])
+        table = np.array([[int(x) for x in r["__p"].split(",")] for r in seen])
         posterior, _, _ = fit(table, np.array([r["count"] for r in seen], float))
-    rows = [(r["p"], float(x)) for r, x in zip(seen, posterior)] if seen else []
+    rows = [(r["__p"], float(x)) for r, x in zip(seen, posterior)] if seen else []
     fitted = F.broadcast(spark.createDataFrame(rows, "__p string, __posterior double"))
-    kept = docs.select(*[c for c in docs.columns if c.lower() not in RESULT], text_counts(F.col(text)).alias("__f"))
     failed = (F.col("__f.n_words") < 50) | (100 * F.col("__f.n_repeat_words") > 50 * F.col("__f.n_words"))
-    return kept.withColumn("__p", pattern).join(fitted, "__p", "left").select(
-        *[c for c in kept.columns if c != "__f"],
+    return counted.join(fitted, "__p", "left").select(
+        *kept,
         *[F.col(f"__f.{c}").alias(c) for c in COUNTS[:5]],
         failed.alias("base_failed"),
         F.col("__posterior").alias("posterior"),

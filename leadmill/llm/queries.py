@@ -11,7 +11,7 @@ from leadmill.llm.common import table
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.judge(docs).drop("text")
+    return quality.judge(docs, keep_text=False)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
