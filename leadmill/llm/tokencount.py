@@ -2,9 +2,9 @@
 
 Texts are cut into pre-tokens by a native expression. Every distinct pre-token
 is counted once by the tokenizer library. Those counts are joined to the
-pre-tokens of each document and summed. The commonest pre-tokens, at most
-max_common of them, are joined by broadcast, so that no frequent word becomes a
-hot key; all others are joined by shuffle. Nothing is left out.
+pre-tokens of each document and summed. The commonest pre-tokens, of most_bytes
+at most, are joined by broadcast, so that no frequent word becomes a hot key; all
+others are joined by shuffle. Nothing is left out.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); each row is
 counted for itself, also where a doc_id or a whole row repeats; special token
@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import materialise
+from leadmill.llm.common import materialise, row_bytes
 
 #: Fixed value: the pre-token pattern of byte-level BPE, with Unicode white space.
 PRETOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,19 +52,20 @@ def count_pieces(distinct: DataFrame, path: str) -> DataFrame:
     return distinct.mapInPandas(count, "pretoken string, frequency long, n_pieces long")
 
 
-def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, max_common: int = 400_000) -> DataFrame:
+def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, most_bytes: int = 16 << 20) -> DataFrame:
     """One row for each row of docs: key, n_bytes, n_tokens, over_limit."""
     path = public_tokenizers.path(tokenizer)
     whole = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    distinct = whole.select(F.explode(pretokens(F.col("t"))).alias("pretoken")).groupBy("pretoken").agg(F.count("*").alias("frequency"))
+    # outer here and below, as Spark would else filter by the size of the array and cut each text twice
+    distinct = whole.select(F.explode_outer(pretokens(F.col("t"))).alias("pretoken")).where("pretoken is not null").groupBy("pretoken").agg(F.count("*").alias("frequency"))
     pieces = materialise(count_pieces(distinct, path), "pieces")
-    # the lowest frequency class (eighths of a power of two) from which at most max_common pre-tokens are common
+    # the lowest frequency class (eighths of a power of two) from which the common pre-tokens have at most most_bytes
     step = F.floor(8 * F.log2("frequency"))
-    classes = pieces.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # a few hundred rows
-    least, n = 1 << 30, 0
+    classes = pieces.groupBy(step.alias("step")).agg(F.sum(row_bytes(pieces)).alias("bytes")).orderBy(F.desc("step")).collect()  # a few hundred rows
+    least, size = 1 << 30, 0
     for r in classes:
-        n += r["count"]
-        if n > max_common:
+        size += r["bytes"]
+        if size > most_bytes:
             break
         least = r["step"]
     common = pieces.where(step >= least).select("pretoken", "n_pieces")
@@ -73,10 +74,11 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     # one marker row per document carries its special tokens and counts repeated rows
     # all that needs the text is computed before the explode, once per document
     cut = whole.select("k", F.octet_length("t").cast("long").alias("n_bytes"), F.xxhash64("t").alias("h"), count_specials(F.col("t")).cast("long").alias("s"), F.concat(F.array(F.lit(None).cast("string")), pretokens(F.col("t"))).alias("all"))
-    rows = cut.select("k", "n_bytes", "h", "s", F.explode("all").alias("pretoken"))
+    rows = cut.select("k", "n_bytes", "h", "s", F.explode_outer("all").alias("pretoken"))
     met = rows.join(F.broadcast(common), "pretoken", "left").select(
         "k", "n_bytes", "h",
-        F.when(F.col("n_pieces").isNull(), F.col("pretoken")).alias("rare"),
+        # what needs no join gets a key of its document's, which no pre-token is, so that it doesn't meet in one task
+        F.when(F.col("n_pieces").isNull() & F.col("pretoken").isNotNull(), F.col("pretoken")).otherwise(F.concat(F.lit("\0"), F.col("h").cast("string"))).alias("rare"),
         F.when(F.col("pretoken").isNull(), F.col("s")).otherwise(F.coalesce("n_pieces", F.lit(0))).alias("n"),
         F.when(F.col("pretoken").isNull(), 1).otherwise(0).alias("marker"),
     )

@@ -288,8 +288,8 @@ def test_token_counts(spark, texts):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     mine = [*texts, "I'll we've  two\n\n three\u00a0\u3000x 12,5 ½ ²", "a<|endoftext|>", "<|endoftext", "\r\n\t end "]
     docs = docs_of(spark, mine).unionByName(docs_of(spark, mine).where("doc_id in (6, 14)"))
-    for common in (400_000, 50):
-        out = tokencount.count_tokens(docs, max_common=common).collect()
+    for most in (16 << 20, 2000):
+        out = tokencount.count_tokens(docs, most_bytes=most).collect()
         assert collections.Counter(r["doc_id"] for r in out) == collections.Counter([*range(len(mine)), 6, 14])
         for r in out:
             t = mine[r["doc_id"]] or ""
