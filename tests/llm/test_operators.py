@@ -157,6 +157,26 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_urls_of_hosts_held_out(spark):
+    """Trained without the hosts of two of the unwanted names and a third of the others, the trees find nine tenths of these names and little else."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    featured = urls.prepare(pages)
+    unseen = F.col("__host").contains("casino") | F.col("__host").contains("adult") | ((F.col("__label") == 0) & (F.xxhash64("__host") % 3 == 0))
+    model = urls.train(featured.where(~unseen))
+    tried = model.transform(urls.assembled(featured.where(unseen & F.col("__label").isNotNull()))).select("__label", "prediction").collect()
+    right = sum(r["__label"] == r["prediction"] == 1 for r in tried)
+    assert right >= 0.9 * sum(r["__label"] == 1 for r in tried) > 0
+    assert right >= 0.9 * sum(r["prediction"] == 1 for r in tried)
+
+
+def test_urls_verdicts_of_a_table(spark):
+    """Where no rule speaks, hosts with a seed word are blocked and all but one in fifty of the others allowed."""
+    out = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is null").select("host", "verdict").collect()
+    bad = [r["verdict"] for r in out if any(w in r["host"] for w in urls.SEEDS)]
+    good = [r["verdict"] for r in out if not any(w in r["host"] for w in urls.SEEDS)]
+    assert bad.count("block") >= 0.9 * len(bad) > 0 and good.count("block") <= 0.02 * len(good)
+
+
 # 4
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body class="has-sidebar">
