@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import materialise
+from leadmill.llm.common import discard, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), name)
         stamp = lambda x: tuple(x.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-        same, state = stamp(small) == stamp(state), small
+        same, done, state = stamp(small) == stamp(state), state, small
+        discard(state.sparkSession, done, large)
         if same:
             break
     leaves = state.select(F.col("u").alias("node"), F.col("v").alias("label"))
