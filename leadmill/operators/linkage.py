@@ -1,12 +1,75 @@
-"""Linkage of leads to company registry records: additive evidence, gap to the second, decision."""
+"""Linkage of leads to company registry records: compared fields, additive evidence, gap to the second, decision."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadmill.functions.address import split_address
+from leadmill.functions.text import area_code, blank_to_null, clean_email, domain_of, normalize_text, phone_br, postal_code, present, state_code, strong_variant
+
 #: Thresholds of the decision.
 MATCH, REVIEW, GAP = 80, 50, 10
+#: Words that are no brand, words that show a company, and the least letters of a brand's word.
+NO_BRAND, COMPANY_WORDS, BRAND_LETTERS = ("loja", "shop", "casa", "material", "construcao"), ("ltda", "me", "mei", "eireli", "sa", "s a", "comercio", "servicos", "industria"), 4
+
+
+def brand_tokens(name: Column) -> Column:
+    """The words of a normalised name that tell its brand."""
+    return F.array_distinct(F.filter(F.split(F.coalesce(name, F.lit("")), " "), lambda w: (F.length(w) >= BRAND_LETTERS) & ~w.isin(*NO_BRAND)))
+
+
+def person_like(name: Column) -> Column:
+    """Two to five words of letters alone, none of which a company has."""
+    words = F.split(F.coalesce(normalize_text(name), F.lit("")), " ")
+    return F.size(words).between(2, 5) & F.forall(words, lambda w: w.rlike("^[a-z]+$") & ~w.isin(*COMPANY_WORDS))
+
+
+def _domains(website: Column, domain: Column, email: Column) -> Column:
+    """The domains of a site (its own column where there is no site) and of an address."""
+    return F.array_compact(F.array(F.coalesce(domain_of(website), domain_of(domain)), blank_to_null(F.substring_index(F.when(F.contains(clean_email(email), F.lit("@")), clean_email(email)), "@", -1))))
+
+
+def profiles(leads: DataFrame) -> DataFrame:
+    """The evidence of each lead, normalised: lead_id, and name, tokens, domains, numbers, area, street, number, postal, neighborhood, city, state and category with l_ in front."""
+    own_postal = F.coalesce(postal_code(F.col("postal_code")), postal_code(F.col("address")))
+    located = leads.withColumn("__a", split_address(F.col("address"), F.col("neighborhood"), F.col("city"), F.col("state"), own_postal))
+    name = normalize_text(F.col("business_name"))
+    return located.select(
+        "lead_id", name.alias("l_name"), brand_tokens(name).alias("l_tokens"), _domains(F.col("website"), F.col("domain"), F.col("email")).alias("l_domains"),
+        F.array_compact(F.array(phone_br(F.col("phone")), phone_br(F.col("whatsapp")))).alias("l_numbers"), F.coalesce(area_code(F.col("phone")), area_code(F.col("whatsapp"))).alias("l_area"),
+        normalize_text(F.col("__a.street")).alias("l_street"), F.col("__a.number").alias("l_number"), own_postal.alias("l_postal"), normalize_text(F.col("neighborhood")).alias("l_neighborhood"),
+        normalize_text(F.col("city")).alias("l_city"), state_code(F.col("state")).alias("l_state"), normalize_text(F.col("category")).alias("l_category"),
+    )
+
+
+def compared(leads: DataFrame, records: DataFrame) -> DataFrame:
+    """Each registry record beside its lead, with the compared facts that evidence() reads.
+
+    Both sides are normalised before they are joined by lead, once for each row."""
+    located = records.withColumn("__a", split_address(F.col("address"), F.lit(None).cast("string"), F.col("city"), F.col("state"), F.col("postal_code")))
+    theirs = located.select(
+        "record_id", "lead_id", "candidate_pos", "cnpj", "full_cnpj", normalize_text(F.col("trade_name")).alias("trade"), normalize_text(F.col("legal_name")).alias("legal"),
+        _domains(F.col("website"), F.lit(None).cast("string"), F.col("email")).alias("domains"), phone_br(F.col("phone")).alias("phone"), area_code(F.col("phone")).alias("area"),
+        normalize_text(F.col("__a.street")).alias("street"), F.col("__a.number").alias("number"), postal_code(F.col("postal_code")).alias("postal"), normalize_text(F.col("neighborhood")).alias("neighborhood"),
+        normalize_text(F.col("city")).alias("city"), state_code(F.col("state")).alias("state"), normalize_text(F.col("activity")).alias("activity"), person_like(F.col("legal_name")).alias("person_like"),
+    )
+    met = theirs.join(profiles(leads), "lead_id")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    both = lambda a, b: F.when(F.col(a).isNull() | F.col(b).isNull(), "missing").when(F.col(a) == F.col(b), "equal").otherwise("different")
+    named = lambda other: F.when(same(other, "l_name"), "equal").when(strong_variant(F.col("l_name"), F.col(other)), "strong").otherwise("none")
+    words = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), " ")
+    shared = F.size(F.array_intersect("l_tokens", words("legal")))
+    return met.select(
+        "record_id", "lead_id", "candidate_pos", "cnpj", "full_cnpj", "person_like",
+        F.arrays_overlap("domains", "l_domains").alias("same_domain"), F.coalesce(F.array_contains("l_numbers", F.col("phone")), F.lit(False)).alias("same_phone"), same("area", "l_area").alias("same_area"),
+        named("trade").alias("alias_match"), named("legal").alias("legal_match"),
+        F.when((F.size("l_tokens") > 0) & (shared == F.size("l_tokens")), "all").when(shared > 0, "some").otherwise("none").alias("brand_in_legal"),
+        F.arrays_overlap("l_tokens", words("trade")).alias("brand_in_alias"),
+        same("street", "l_street").alias("same_street"), both("number", "l_number").alias("number_match"), same("postal", "l_postal").alias("same_postal"), same("neighborhood", "l_neighborhood").alias("same_neighborhood"),
+        both("city", "l_city").alias("city_match"), both("state", "l_state").alias("state_match"),
+        (present(F.col("l_category")) & F.coalesce(F.contains(F.col("activity"), F.col("l_category")), F.lit(False))).alias("same_activity"),
+    )
 
 
 def evidence(records: DataFrame) -> DataFrame:
@@ -15,6 +78,8 @@ def evidence(records: DataFrame) -> DataFrame:
     number_match, city_match, state_match (equal, different, missing)."""
     c, when = F.col, F.when
     alias, legal = c("alias_match") != "none", (c("alias_match") == "none") & (c("legal_match") != "none")
+    # a brand's words in the legal name are a match of names too
+    by_legal = legal | (c("brand_in_legal") != "none")
     parts = {
         "p_domain": when(c("same_domain"), 40).otherwise(0),
         "p_phone": when(c("same_phone"), 35).when(c("same_area"), 5).otherwise(0),
@@ -28,13 +93,13 @@ def evidence(records: DataFrame) -> DataFrame:
         "p_city": when(c("city_match") == "equal", 15).when(c("city_match") == "different", -30).otherwise(0),
         "p_state": when(c("state_match") == "equal", 10).when(c("state_match") == "different", -40).otherwise(0),
         "p_activity": when(c("same_activity"), 8).otherwise(0),
-        "p_brand_alias": when(~alias & ~legal & c("brand_in_alias"), 15).otherwise(0),
+        "p_brand_alias": when(~alias & ~by_legal & c("brand_in_alias"), 15).otherwise(0),
     }
     support = sum((x.cast("int") for x in (c("same_domain"), c("same_phone"), c("same_street"), c("number_match") == "equal", c("same_postal"), c("same_neighborhood"))), F.lit(0))
     return records.select(
         "record_id", "lead_id", "candidate_pos", "cnpj", "full_cnpj",
         F.greatest(F.lit(0), sum(parts.values(), F.lit(0))).alias("score"), support.alias("support"),
-        (alias | legal | c("same_domain") | c("same_phone")).alias("identity"),
+        (alias | by_legal | c("brand_in_alias") | c("same_domain") | c("same_phone")).alias("identity"),
         ((c("city_match") == "different") | (c("state_match") == "different")).alias("conflict"),
     )
 

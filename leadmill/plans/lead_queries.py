@@ -162,23 +162,48 @@ s AS (SELECT lead_id, lead_score + 3 * ({_FULL}) + coalesce((SELECT sum(confiden
 SELECT lead_a, lead_b, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN x.priority >= y.priority THEN lead_a ELSE lead_b END AS survivor FROM q JOIN s x ON lead_a = x.lead_id JOIN s y ON lead_b = y.lead_id"""
 add("m1_fill_missing", lambda s, d: matching.merge_missing(table(s, d, "leads"), table(s, d, "candidates").select("item_pos", "domain", "phone", "google_place_id"), matching.existing_lead(table(s, d, "candidates"), table(s, d, "leads")), ["domain", "phone", "google_place_id"]))
 
-_EV = """sc AS (SELECT record_id, lead_id, candidate_pos, cnpj, full_cnpj, greatest(0, CASE WHEN same_domain THEN 40 ELSE 0 END + CASE WHEN same_phone THEN 35 WHEN same_area THEN 5 ELSE 0 END + CASE alias_match WHEN 'equal' THEN 25 WHEN 'strong' THEN 20 ELSE 0 END
+# compared fields of each record and its lead, then their points
+_DIGITS = lambda c: f"nullif(regexp_replace({c}, '[^0-9]', '', 'g'), '')"
+_HOST_OF = lambda c: f"nullif(regexp_replace(split_part(regexp_replace(lower({c}), '^[a-z]+://', ''), '/', 1), '^www\\.', ''), '')"
+_MAIL_OF = lambda c: f"nullif(split_part(lower({c}), '@', 2), '')"
+_NAMED = lambda c: f"CASE WHEN {c} = l_name THEN 'equal' WHEN length({c}) >= 10 AND length(l_name) >= 10 AND (contains({c}, l_name) OR contains(l_name, {c})) THEN 'strong' ELSE 'none' END"
+_BOTH = lambda a, b: f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 'missing' WHEN {a} = {b} THEN 'equal' ELSE 'different' END"
+_EV = f"""lp AS (SELECT lead_id, {_N1('business_name')} AS l_name, list_filter(string_split({_N1('business_name')}, ' '), lambda w: length(w) >= 4 AND w NOT IN ('loja', 'shop', 'casa', 'material', 'construcao')) AS l_tokens,
+  coalesce({_HOST_OF('website')}, nullif(domain, '')) AS l_site, {_MAIL_OF('email')} AS l_mail, phone AS l_phone, whatsapp AS l_whatsapp, substr(coalesce({_DIGITS('phone')}, {_DIGITS('whatsapp')}), -10, 2) AS l_area,
+  {_N1("split_part(address, ', ', 1)")} AS l_street, nullif(split_part(address, ', ', 2), '') AS l_number, {_DIGITS('postal_code')} AS l_postal, {_N1('neighborhood')} AS l_neighborhood, {_N1('city')} AS l_city, state AS l_state, {_N1('category')} AS l_category FROM leads),
+rp AS (SELECT *, {_N1('trade_name')} AS trade, {_N1('legal_name')} AS legal, {_HOST_OF('website')} AS site, {_MAIL_OF('email')} AS mail, '+55' || {_DIGITS('phone')} AS number_of, substr({_DIGITS('phone')}, -10, 2) AS area,
+  {_N1("split_part(address, ', ', 1)")} AS street, nullif(split_part(address, ', ', 2), '') AS house, {_DIGITS('postal_code')} AS postal, {_N1('city')} AS c_city, CASE state WHEN 'São Paulo' THEN 'SP' ELSE state END AS c_state FROM registry),
+cmp AS (SELECT record_id, r.lead_id, candidate_pos, cnpj, full_cnpj, coalesce(site IN (l_site, l_mail), false) OR coalesce(mail IN (l_site, l_mail), false) AS same_domain, coalesce(number_of = l_phone, false) OR coalesce(number_of = l_whatsapp, false) AS same_phone, coalesce(area = l_area, false) AS same_area,
+  {_NAMED('trade')} AS alias_match, {_NAMED('legal')} AS legal_match, CASE WHEN list_has_all(string_split(coalesce(legal, ''), ' '), l_tokens) THEN 'all' WHEN list_has_any(string_split(coalesce(legal, ''), ' '), l_tokens) THEN 'some' ELSE 'none' END AS brand_in_legal,
+  list_has_any(string_split(coalesce(trade, ''), ' '), l_tokens) AS brand_in_alias, coalesce(street = l_street, false) AS same_street, {_BOTH('house', 'l_number')} AS number_match, coalesce(postal = l_postal, false) AS same_postal,
+  coalesce({_N1('neighborhood')} = l_neighborhood, false) AS same_neighborhood, {_BOTH('c_city', 'l_city')} AS city_match, {_BOTH('c_state', 'l_state')} AS state_match, coalesce(contains({_N1('activity')}, l_category), false) AS same_activity
+  FROM rp r JOIN lp ON r.lead_id = lp.lead_id),
+sc AS (SELECT record_id, lead_id, candidate_pos, cnpj, full_cnpj, greatest(0, CASE WHEN same_domain THEN 40 ELSE 0 END + CASE WHEN same_phone THEN 35 WHEN same_area THEN 5 ELSE 0 END + CASE alias_match WHEN 'equal' THEN 25 WHEN 'strong' THEN 20 ELSE 0 END
  + CASE brand_in_legal WHEN 'all' THEN 15 WHEN 'some' THEN 10 ELSE 0 END + CASE WHEN alias_match <> 'none' THEN 0 WHEN legal_match = 'equal' THEN 15 WHEN legal_match = 'strong' THEN 12 ELSE 0 END + CASE WHEN same_street THEN 15 ELSE 0 END
  + CASE number_match WHEN 'equal' THEN 10 WHEN 'different' THEN -10 ELSE 0 END + CASE WHEN same_postal THEN 25 ELSE 0 END + CASE WHEN same_neighborhood THEN 10 ELSE 0 END + CASE city_match WHEN 'equal' THEN 15 WHEN 'different' THEN -30 ELSE 0 END
- + CASE state_match WHEN 'equal' THEN 10 WHEN 'different' THEN -40 ELSE 0 END + CASE WHEN same_activity THEN 8 ELSE 0 END + CASE WHEN alias_match = 'none' AND legal_match = 'none' AND brand_in_alias THEN 15 ELSE 0 END) AS score,
+ + CASE state_match WHEN 'equal' THEN 10 WHEN 'different' THEN -40 ELSE 0 END + CASE WHEN same_activity THEN 8 ELSE 0 END + CASE WHEN alias_match = 'none' AND legal_match = 'none' AND brand_in_legal = 'none' AND brand_in_alias THEN 15 ELSE 0 END) AS score,
  CAST(same_domain AS INT) + CAST(same_phone AS INT) + CAST(same_street AS INT) + CAST(number_match = 'equal' AS INT) + CAST(same_postal AS INT) + CAST(same_neighborhood AS INT) AS support,
- alias_match <> 'none' OR legal_match <> 'none' OR same_domain OR same_phone AS identity, city_match = 'different' OR state_match = 'different' AS conflict FROM registry)"""
-add("e5_evidence", lambda s, d: linkage.evidence(table(s, d, "registry")))
-ORACLE_SQL["e5_evidence"] = oracle("", "registry").rstrip() + ",\n" + _EV + " SELECT * FROM sc"
-add("e5_decision", lambda s, d: linkage.decide(linkage.evidence(table(s, d, "registry"))))
-ORACLE_SQL["e5_decision"] = oracle("", "registry").rstrip() + ",\n" + _EV + """,
+ alias_match <> 'none' OR legal_match <> 'none' OR brand_in_legal <> 'none' OR brand_in_alias OR same_domain OR same_phone AS identity, city_match = 'different' OR state_match = 'different' AS conflict FROM cmp)"""
+_registry = lambda s, d: linkage.compared(table(s, d, "leads"), table(s, d, "registry"))
+_evidence = lambda s, d: linkage.evidence(_registry(s, d))
+add("j11_compared_records", lambda s, d: _registry(s, d).drop("person_like"))
+ORACLE_SQL["j11_compared_records"] = oracle("", "leads", "registry").rstrip() + ",\n" + _EV + " SELECT * FROM cmp"
+add("e5_evidence", _evidence)
+ORACLE_SQL["e5_evidence"] = oracle("", "leads", "registry").rstrip() + ",\n" + _EV + " SELECT * FROM sc"
+add("e5_decision", lambda s, d: linkage.decide(_evidence(s, d)))
+ORACLE_SQL["e5_decision"] = oracle("", "leads", "registry").rstrip() + ",\n" + _EV + """,
 b AS (SELECT *, coalesce(score - lead(score) OVER w, 10) AS gap, row_number() OVER w AS rank FROM sc WINDOW w AS (PARTITION BY lead_id ORDER BY score DESC, candidate_pos, record_id)),
 d AS (SELECT *, CASE WHEN conflict THEN 'location_conflict' WHEN gap < 10 THEN 'close_second' WHEN support < 1 THEN 'no_support' WHEN NOT full_cnpj THEN 'not_confirmable' END AS reason FROM b WHERE rank = 1),
 t AS (SELECT *, score >= 80 AND reason IS NULL AND identity AS m, (score >= 80 AND reason IS NOT NULL) OR (score >= 50 AND NOT conflict AND full_cnpj) AS v FROM d)
 SELECT lead_id, record_id, score, gap, CASE WHEN m THEN 'matched' WHEN v THEN 'needs_review' ELSE 'not_found' END AS status, reason,
   CAST(CASE WHEN NOT m AND v AND reason IS NULL THEN least(least(score, 100) / 100.0, 0.79) ELSE least(score, 100) / 100.0 END AS DOUBLE) AS confidence FROM t"""
-add("w10_review_list", lambda s, d: linkage.review_list(linkage.evidence(table(s, d, "registry"))))
-ORACLE_SQL["w10_review_list"] = oracle("", "registry").rstrip() + ",\n" + _EV + " SELECT lead_id, record_id, score, CAST(row_number() OVER (PARTITION BY lead_id ORDER BY score DESC, candidate_pos, record_id) AS INT) AS rank FROM sc WHERE score >= 50 AND NOT conflict QUALIFY rank <= 5"
+add("w10_review_list", lambda s, d: linkage.review_list(_evidence(s, d)))
+ORACLE_SQL["w10_review_list"] = oracle("", "leads", "registry").rstrip() + ",\n" + _EV + " SELECT lead_id, record_id, score, CAST(row_number() OVER (PARTITION BY lead_id ORDER BY score DESC, candidate_pos, record_id) AS INT) AS rank FROM sc WHERE score >= 50 AND NOT conflict QUALIFY rank <= 5"
+# M1: of the candidates matched to a lead the first with a value fills what is empty
+_M1 = ("domain", "phone", "google_place_id")
+ORACLE_SQL["m1_fill_missing"] = ORACLE_SQL["e1_existing_lead"].rsplit("\nSELECT item_pos, lead_id AS existing_lead_id", 1)[0] + ",\nx AS (SELECT item_pos, lead_id AS existing_lead_id" + ORACLE_SQL["e1_existing_lead"].rsplit("\nSELECT item_pos, lead_id AS existing_lead_id", 1)[1] + f"""),
+f AS (SELECT existing_lead_id, {', '.join(f"first({c} ORDER BY c.item_pos) FILTER ({_has('c.' + c)}) AS new_{c}" for c in _M1)} FROM x JOIN candidates c ON x.item_pos = c.item_pos GROUP BY existing_lead_id)
+SELECT lead_id, {', '.join(f"CASE WHEN {_has(c)} THEN {c} ELSE coalesce(new_{c}, {c}) END AS {c}" for c in _M1)} FROM leads LEFT JOIN f ON lead_id = existing_lead_id"""
 
 
 def texts(name: str, column: Callable[[], dict], sql: str | None) -> None:
@@ -186,10 +211,10 @@ def texts(name: str, column: Callable[[], dict], sql: str | None) -> None:
 
 
 texts("n1_normalize_text", lambda: {"normalized": text.normalize_text(F.col("text"))}, f"SELECT doc_id, {_N1('text')} AS normalized FROM documents")
-texts("n11_emails", lambda: {"emails": F.array_join(F.array_sort(text.emails(F.col("text"))), "|")}, "SELECT doc_id, coalesce((SELECT string_agg(DISTINCT trim(lower(e), '<>()[]{}\"''.,;:'), '|' ORDER BY trim(lower(e), '<>()[]{}\"''.,;:')) FROM unnest(regexp_extract_all(text, '(?i)[A-Z0-9._%+\\-]+@[A-Z0-9.\\-]+\\.[A-Z]{2,}')) t(e)), '') AS emails FROM documents")
+texts("n11_emails", lambda: {"emails": F.array_join(F.array_sort(text.emails(F.col("text"))), "|")}, "SELECT doc_id, coalesce((SELECT string_agg(DISTINCT trim(lower(e), '<>()[]{}\"''.,;:'), '|' ORDER BY trim(lower(e), '<>()[]{}\"''.,;:')) FROM unnest(regexp_extract_all(text, '(?i)[a-z0-9][a-z0-9._%+-]*@([a-z0-9-]+[.])+[a-z]{2,}')) t(e)), '') AS emails FROM documents")
 _PH = "regexp_replace(p, '[^0-9]', '', 'g')"
 _LOCAL = f"CASE WHEN starts_with({_PH}, '55') AND length({_PH}) BETWEEN 12 AND 13 THEN substr({_PH}, 3) ELSE regexp_replace({_PH}, '^0+', '') END"
-texts("n14_phones", lambda: {"phones": F.array_join(F.array_sort(text.phones(F.col("text"))), "|")}, f"SELECT doc_id, coalesce((SELECT string_agg(DISTINCT '+55' || {_LOCAL}, '|' ORDER BY '+55' || {_LOCAL}) FROM unnest(regexp_extract_all(text, '(?:(?:\\+?55)\\s*)?(?:\\(?\\d{{2}}\\)?\\s*)?(?:9?\\d{{4}})[\\s\\-]?\\d{{4}}')) t(p) WHERE length({_LOCAL}) BETWEEN 8 AND 11), '') AS phones FROM documents")
+texts("n14_phones", lambda: {"phones": F.array_join(F.array_sort(text.phones(F.col("text"))), "|")}, f"SELECT doc_id, coalesce((SELECT string_agg(DISTINCT '+55' || {_LOCAL}, '|' ORDER BY '+55' || {_LOCAL}) FROM unnest(regexp_extract_all(text, '(?:55[\\s(]*)?(?:[0-9]{{2}}[\\s)]*)?(?:9[0-9]{{4}}|[0-9]{{4}})[\\s-]?[0-9]{{4}}')) t(p) WHERE length({_LOCAL}) BETWEEN 8 AND 11), '') AS phones FROM documents")
 add("n17_signals", lambda s, d: table(s, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("t")).select("doc_id", *[F.size(c).alias(k) for k, c in text.signals(F.col("t")).items()]), "SELECT doc_id, " + ", ".join("CAST(" + " + ".join(f"CAST(contains(coalesce({_N1('text')}, ''), strip_accents('{w}')) AS INT)" for w in ws) + f" AS INT) AS {k}" for k, ws in text.SIGNALS.items()) + " FROM documents")
 add("n4_page_domains", lambda s, d: table(s, d, "pages").select("page_id", text.domain_of(F.col("url")).alias("domain"), text.own_website(F.col("url")).alias("own")), "SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') AS domain, true AS own FROM pages")
 leads_query("n24_postal_and_area", lambda df: df.select("lead_id", text.postal_code(F.col("postal_code")).alias("postal"), text.area_code(F.col("phone")).alias("area"), text.state_code(F.col("state")).alias("state_code")), "SELECT lead_id, nullif(replace(postal_code, '-', ''), '') AS postal, substr(phone, -10, 2) AS area, state AS state_code FROM leads")

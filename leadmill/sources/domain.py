@@ -92,19 +92,27 @@ FROM {orders}
 """
 
 TABLES["registry"] = """
-SELECT l_orderkey * 8 + l_linenumber AS record_id, (l_orderkey * 7 + l_linenumber) % 1500 + 1 AS lead_id, l_linenumber AS candidate_pos,
+SELECT l_orderkey * 8 + l_linenumber AS record_id, o_custkey AS lead_id, l_linenumber AS candidate_pos,
   lpad(CAST(l_partkey AS VARCHAR(20)), 14, '0') AS cnpj, l_linestatus = 'F' AS full_cnpj,
-  l_quantity > 20 AS same_domain, l_tax > 0.04 AS same_phone, l_linenumber % 2 = 0 AS same_area,
-  CASE WHEN l_discount > 0.07 THEN 'equal' WHEN l_discount > 0.04 THEN 'strong' ELSE 'none' END AS alias_match,
-  CASE WHEN l_quantity > 40 THEN 'all' WHEN l_quantity > 30 THEN 'some' ELSE 'none' END AS brand_in_legal,
-  CASE WHEN l_partkey % 3 = 0 THEN 'equal' WHEN l_partkey % 3 = 1 THEN 'strong' ELSE 'none' END AS legal_match,
-  l_partkey % 2 = 0 AS brand_in_alias, l_suppkey % 3 = 0 AS same_street,
-  CASE l_suppkey % 4 WHEN 0 THEN 'equal' WHEN 1 THEN 'different' ELSE 'missing' END AS number_match,
-  l_partkey % 5 = 0 AS same_postal, l_partkey % 7 = 0 AS same_neighborhood,
-  CASE l_suppkey % 5 WHEN 0 THEN 'different' WHEN 1 THEN 'missing' ELSE 'equal' END AS city_match,
-  CASE l_suppkey % 7 WHEN 0 THEN 'different' WHEN 1 THEN 'missing' ELSE 'equal' END AS state_match,
-  l_orderkey % 2 = 0 AS same_activity
-FROM {lineitem}
+  CASE l_partkey % 5 WHEN 0 THEN concat('Oficina Mecânica São José ', CAST(o_custkey - o_custkey % 4 AS VARCHAR(20))) WHEN 1 THEN concat('OFICINA MECANICA SAO JOSE ', CAST(o_custkey - o_custkey % 4 AS VARCHAR(20)), ' - Centro')
+    WHEN 2 THEN concat('Mecânica José ', CAST(o_custkey % 4 AS VARCHAR(20))) WHEN 3 THEN NULL ELSE 'Padaria Bela Vista' END AS trade_name,
+  CASE l_partkey % 6 WHEN 0 THEN concat('Oficina Mecanica Sao Jose ', CAST(o_custkey - o_custkey % 4 AS VARCHAR(20))) WHEN 1 THEN concat('Oficina Mecânica São José ', CAST(o_custkey - o_custkey % 4 AS VARCHAR(20)), ' Ltda')
+    WHEN 2 THEN 'Jose Oficina Mecanica ME' WHEN 3 THEN 'Maria da Silva' WHEN 4 THEN 'Comercio de Pecas Jose Ltda' ELSE NULL END AS legal_name,
+  CASE WHEN l_quantity > 25 THEN concat('http://WWW.loja', CAST(o_custkey - o_custkey % 3 AS VARCHAR(20)), '.com.br/') WHEN l_quantity > 15 THEN 'contabil.com.br' ELSE NULL END AS website,
+  CASE WHEN l_quantity < 10 THEN concat('Fiscal@Loja', CAST(o_custkey AS VARCHAR(20)), '.com.br') ELSE NULL END AS email,
+  CASE l_suppkey % 4 WHEN 0 THEN concat('(11) 9', lpad(CAST(o_custkey - o_custkey % 2 AS VARCHAR(20)), 8, '0')) WHEN 1 THEN '(11) 98888-0000' WHEN 2 THEN '(21) 3333-0000' ELSE NULL END AS phone,
+  CASE l_suppkey % 5 WHEN 0 THEN concat('RUA ', n_name, ', ', CAST(o_custkey % 50 AS VARCHAR(20))) WHEN 1 THEN concat('Rua ', n_name, ', ', CAST(o_custkey % 50 + 1 AS VARCHAR(20))) WHEN 2 THEN 'Av. Central, 10' WHEN 3 THEN concat('Rua ', n_name) ELSE NULL END AS address,
+  CASE WHEN l_partkey % 3 = 0 THEN concat('BAIRRO ', CAST(o_custkey % 5 AS VARCHAR(20))) ELSE NULL END AS neighborhood,
+  CASE l_suppkey % 9 WHEN 0 THEN 'Outra Cidade' WHEN 1 THEN NULL ELSE lower(n_name) END AS city, CASE l_suppkey % 11 WHEN 0 THEN 'São Paulo' WHEN 1 THEN NULL ELSE r_name END AS state,
+  CASE WHEN l_tax > 0.03 THEN concat(lpad(CAST(o_custkey % 97 AS VARCHAR(20)), 5, '0'), lpad(CAST(o_custkey % 13 AS VARCHAR(20)), 3, '0')) ELSE '01310-100' END AS postal_code,
+  CASE l_orderkey % 3 WHEN 0 THEN 'Comércio de AUTOMOBILE e peças' WHEN 1 THEN 'Machinery' ELSE NULL END AS activity
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+"""
+
+TABLES["taxonomy"] = """
+SELECT DISTINCT dense_rank() OVER (ORDER BY p_type) AS subsegment_id, dense_rank() OVER (ORDER BY p_type) % 7 AS segment_id, lower(p_type) AS name, CAST(dense_rank() OVER (ORDER BY p_type) % 10 AS INT) AS sort_order,
+  CASE dense_rank() OVER (ORDER BY p_type) % 6 WHEN 0 THEN 'Building|loja' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN concat('José ', CAST(dense_rank() OVER (ORDER BY p_type) AS VARCHAR(20))) WHEN 3 THEN 'loja9|hold' WHEN 4 THEN 'automobile|mecânica' ELSE '' END AS keywords
+FROM {part}
 """
 
 TABLES["exclusion_rules"] = """
