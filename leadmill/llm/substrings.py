@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import discard, materialise, small
+from leadmill.llm.common import discard, forget_shuffles, materialise, small
 
 WINDOW, GRAM = 35, 8
 #: Odd multipliers of two polynomial hashes modulo 2 ** 64.
@@ -130,6 +130,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     candidates = each.select("k", "h", "anchor").join(twice, "anchor", "left_semi").groupBy("k", "h").agg(F.collect_set("anchor").alias("anchor"))
     candidates = materialise(candidates.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "anchor"), "candidates")
     discard(docs.sparkSession, found, twice)
+    del each, twice, found
+    forget_shuffles(docs.sparkSession)
 
     def find_windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -143,12 +145,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pd.DataFrame(rows, columns=["k", "h", "start", "one", "two"])
 
     held = _back(whole, candidates, "inner").select("k", "h", "t", "anchor")
+    # the texts were shuffled for this step
     windows = materialise(held.mapInPandas(find_windows, "k string, h long, start array<int>, one array<long>, two array<int>"), "windows")
+    forget_shuffles(docs.sparkSession)
     rows = windows.select("k", "h", F.inline(F.arrays_zip("start", "one", "two")))
     repeated = small(rows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "repeated_windows")
     hit = rows.join(repeated, ["one", "two"], "left_semi").groupBy("k", "h").agg(F.collect_set("start").alias("start"))
     hit = materialise(hit.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "start"), "repeats")
     discard(docs.sparkSession, windows, repeated, candidates)
+    del held, rows, windows, repeated, candidates
+    forget_shuffles(docs.sparkSession)
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
