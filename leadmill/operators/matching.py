@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,10 +62,14 @@ def existing_lead(candidates: DataFrame, leads: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which the driver and all executors share; in a temporary one only in a session of one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        import tempfile
-
+        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = jvm.get() if jvm.isDefined() else None
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/groups-{uuid.uuid4().hex}"
@@ -130,6 +136,11 @@ def duplicate_pairs(leads: DataFrame) -> DataFrame:
     return out.withColumn("confidence", table[F.col("mask")])
 
 
+def pair_order() -> list[Column]:
+    """The surest pairs first, then those with more reasons, then by their leads."""
+    return [F.desc("confidence"), F.desc(F.bit_count("mask")), F.col("lead_a"), F.col("lead_b")]
+
+
 def priorities(leads: DataFrame, contacts: DataFrame) -> DataFrame:
     """lead_id and its priority as a survivor: score, three for each populated field, confidence of its contacts."""
     sums = contacts.groupBy("lead_id").agg(F.sum("confidence").alias("trust"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadmill.functions.address import joined, split_address
 from leadmill.functions.text import client_email, own_website, present
-from leadmill.operators.filters import any_contact, follow_up_due
+from leadmill.operators.filters import LeadFilters, any_contact, condition, follow_up_due
 
 
 def overview(leads: DataFrame) -> DataFrame:
@@ -15,6 +16,35 @@ def overview(leads: DataFrame) -> DataFrame:
     return leads.agg(F.count("*").alias("leads"), has("email").alias("with_email"), has("whatsapp").alias("with_whatsapp"), F.count_if("do_not_contact").alias("do_not_contact"))
 
 
+def count_with(leads: DataFrame, f: LeadFilters) -> DataFrame:
+    """A1: the number of leads that the filters leave, before any page is cut."""
+    return leads.where(condition(f)).agg(F.count("*").alias("leads"))
+
+
+def filter_options(leads: DataFrame, columns: tuple[str, ...] = ("city", "state", "category", "status")) -> DataFrame:
+    """Field, value and leads of each value that a filter can offer, in one pass of grouping sets."""
+    shown = leads.where(~F.col("is_blocked")).groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(F.count("*").alias("leads"), *[F.grouping(c).alias(f"no_{c}") for c in columns])
+    field = F.coalesce(*[F.when(F.col(f"no_{c}") == 0, c) for c in columns])
+    return shown.select(field.alias("field"), F.coalesce(*columns).alias("value"), "leads").where(present(F.col("value")))
+
+
+def most_common(counts: DataFrame, key: str, n: str, most: int = 5) -> DataFrame:
+    """A10: the most frequent keys, ties by key."""
+    return counts.orderBy(F.desc(n), key).limit(most)
+
+
+def raw_history(raw: DataFrame, leads: DataFrame) -> DataFrame:
+    """The raw records of each lead in order of time."""
+    place = F.row_number().over(Window.partitionBy("lead_id").orderBy("created_at", "raw_id"))
+    return raw.join(leads.select("lead_id"), "lead_id", "left_semi").select("lead_id", "raw_id", "batch_id", place.alias("place"))
+
+
+def batches_with_leads(batches: DataFrame, raw: DataFrame, leads: DataFrame) -> DataFrame:
+    """Completed batches that brought a lead which is there, latest first."""
+    met = raw.join(leads.select("lead_id"), "lead_id", "left_semi")
+    return batches.where("status = 'completed'").join(met, "batch_id", "left_semi").orderBy(F.desc("completed_at"), F.desc("batch_id"))
+
+
 def by_organization(leads: DataFrame) -> DataFrame:
     """A3."""
     return leads.groupBy("organization_id").agg(F.count("*").alias("leads"))
@@ -62,11 +92,12 @@ def export_email(leads: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 def crm_rows(leads: DataFrame) -> DataFrame:
-    """The columns of the export sheet that come from the lead alone."""
+    """The columns of the export sheet that come from the lead alone; street and number are split by N7 and joined by N6."""
+    leads = leads.withColumn("__a", split_address(*[F.col(c) for c in ("address", "neighborhood", "city", "state", "postal_code")]))
     matched = F.col("cnpj_match_status") == "matched"
     return leads.select(
         "lead_id", "business_name", "category", F.when(matched, F.col("cnpj")).alias("cnpj"), F.when(matched, F.col("legal_name")).alias("legal_name"),
-        F.substring_index("address", ", ", 1).alias("street"), F.when(F.instr("address", ", ") > 0, F.substring_index("address", ", ", -1)).alias("number"),
+        F.col("__a.street").alias("street"), F.col("__a.number").alias("number"), joined(F.col("__a.street"), F.col("__a.number")).alias("street_address"),
         "neighborhood", "city", "state", "postal_code", F.lit("Brasil").alias("country"), "phone", "whatsapp",
         F.when(own_website(F.col("website")), F.col("website")).alias("site"), F.replace(F.col("lead_source_type"), F.lit("_"), F.lit(" ")).alias("source"),
         F.coalesce("owner", F.when(F.col("assigned_sales_rep_id").isNotNull(), F.concat(F.lit("id:"), F.col("assigned_sales_rep_id").cast("string")))).alias("owner"),

@@ -8,16 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions.text import normalize_text, present
-
-#: Rules of the kind "name contains" are tested one by one on each lead; beyond this number they are refused.
-MOST_CONTAINS = 10_000
+from leadmill.operators.containment import contained
 
 
 def exclusion_matches(leads: DataFrame, rules: DataFrame) -> DataFrame:
     """lead_id and the least rule id that fits: exact name, name contains, domain or sub-domain, category.
 
-    Equalities are hash joins (a domain is entered with all its parents); only
-    "contains" needs a test per rule, over a checked number of rules."""
+    Equalities are hash joins (a domain is entered with all its parents), and
+    "contains" is one over runs of three characters, whatever the number of rules."""
     name = F.coalesce("normalized_business_name", normalize_text(F.col("business_name")))
     base = leads.select("lead_id", name.alias("name"), normalize_text(F.col("category")).alias("cat"), "domain")
     of = lambda kind: rules.where(F.col("rule_type") == kind).select("rule_id", F.col("normalized_pattern").alias("pattern"))
@@ -29,13 +27,9 @@ def exclusion_matches(leads: DataFrame, rules: DataFrame) -> DataFrame:
         base.select("lead_id", F.col("cat").alias("pattern")).join(of("provider_category"), "pattern"),
         domains.join(of("domain"), "pattern"),
     ]
-    contains = of("business_name_contains").where(present(F.col("pattern"))).limit(MOST_CONTAINS + 1).collect()
-    if len(contains) > MOST_CONTAINS:
-        raise ValueError("too many rules of the kind business_name_contains")
-    if contains:
-        listed = F.array(*[F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["pattern"]).alias("pattern")) for r in contains])
-        fits = base.select("lead_id", F.explode(F.filter(listed, lambda r: F.contains(F.col("name"), r["pattern"]))).alias("r"))
-        found.append(fits.select(F.col("r.pattern").alias("pattern"), "lead_id", F.col("r.rule_id").alias("rule_id")))
+    contains = of("business_name_contains")
+    pairs = contained(base, "name", contains, "pattern").withColumnRenamed("text", "name")
+    found.append(base.select("lead_id", "name").join(pairs, "name").join(contains, "pattern").select("pattern", "lead_id", "rule_id"))
     both = reduce(lambda a, b: a.unionByName(b), found)
     return both.groupBy("lead_id").agg(F.min("rule_id").alias("rule_id"))
 

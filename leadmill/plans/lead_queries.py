@@ -90,7 +90,7 @@ SELECT l.lead_id, coalesce(b.v, CASE WHEN {_OK('l.email')} THEN l.email END) AS
   QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY is_primary DESC, confidence DESC, updated_at DESC, contact_id DESC) = 1) b ON l.lead_id = b.lead_id""", "leads", "contacts")
 leads_query("p1_crm_rows", reports.crm_rows, """
 SELECT lead_id, business_name, category, CASE WHEN cnpj_match_status = 'matched' THEN cnpj END AS cnpj, CASE WHEN cnpj_match_status = 'matched' THEN legal_name END AS legal_name,
-  split_part(address, ', ', 1) AS street, split_part(address, ', ', 2) AS number, neighborhood, city, state, postal_code, 'Brasil' AS country, phone, whatsapp,
+  nullif(split_part(address, ', ', 1), '') AS street, nullif(split_part(address, ', ', 2), '') AS number, nullif(address, '') AS street_address, neighborhood, city, state, postal_code, 'Brasil' AS country, phone, whatsapp,
   website AS site, replace(lead_source_type, '_', ' ') AS source, coalesce(owner, 'id:' || CAST(assigned_sales_rep_id AS VARCHAR)) AS owner, status, lead_score FROM leads""")
 add("j7_nested_contacts", lambda s, d: reports.nested_contacts(table(s, d, "leads"), table(s, d, "contacts")), "SELECT l.lead_id, CAST(count(contact_id) AS INT) AS n_contacts, coalesce(string_agg(CAST(contact_id AS VARCHAR), '|' ORDER BY is_primary DESC, contact_type, confidence DESC, contact_id), '') AS contact_ids FROM leads l LEFT JOIN contacts c ON l.lead_id = c.lead_id GROUP BY l.lead_id", "leads", "contacts")
 

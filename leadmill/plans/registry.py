@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadmill.plans import more_queries
+from leadmill.plans import assignment_queries, more_queries
 
-QUERIES = dict(more_queries.QUERIES)
-ORACLE_SQL = dict(more_queries.ORACLE_SQL)
+QUERIES = {**more_queries.QUERIES, **assignment_queries.QUERIES}
+ORACLE_SQL = {**more_queries.ORACLE_SQL, **assignment_queries.ORACLE_SQL}
