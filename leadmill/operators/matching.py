@@ -105,8 +105,29 @@ def _mask(a: str, b: str) -> Column:
     return sum((F.when(same(c), 1 << k).otherwise(0) for k, c in enumerate(REASONS)), F.lit(0))
 
 
+def _blocks() -> list[tuple[str, ...]]:
+    """The sets of keys that make leads that share all of them duplicates: the place id, or any two of the others."""
+    others = [c for c in REASONS if c != "google_place_id"]
+    return [("google_place_id",)] + [(x, y) for k, x in enumerate(others) for y in others[k + 1 :]]
+
+
+def duplicate_links(leads: DataFrame) -> DataFrame:
+    """E3 without its pairs: lead_a and lead_b (the least lead of the block) for each lead of each block.
+
+    All leads of a block are duplicates of each other, so these links have the components
+    of the pairs, and there are at most seven for each lead, however many share a key."""
+    rows = leads.where(~F.col("is_duplicate") & ~F.col("is_blocked")).select("lead_id", *REASONS)
+    out = None
+    for block in _blocks():
+        kept = rows.where(sum((present(F.col(c)).cast("int") for c in block), F.lit(0)) == len(block)).select("lead_id", *block)
+        least = kept.groupBy(*block).agg(F.min("lead_id").alias("lead_b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        found = kept.join(least, list(block)).where("lead_id <> lead_b").select(F.col("lead_id").alias("lead_a"), "lead_b")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
 def duplicate_pairs(leads: DataFrame) -> DataFrame:
-    """lead_a, lead_b (a later in list order loses), mask and confidence.
+    """lead_a, lead_b (a later in list order loses), mask and confidence; every pair, so use duplicate_links() for clusters.
 
     A pair needs one place id or two reasons, so it is looked for by place id and by
     each two of the other four keys together: a key that a whole franchise shares
@@ -114,9 +135,7 @@ def duplicate_pairs(leads: DataFrame) -> DataFrame:
     first block that holds for them.
     """
     rows = leads.where(~F.col("is_duplicate") & ~F.col("is_blocked")).select("lead_id", "updated_at", *REASONS)
-    others = [c for c in REASONS if c != "google_place_id"]
-    blocks = [("google_place_id",)] + [(x, y) for k, x in enumerate(others) for y in others[k + 1 :]]
-    out = None
+    blocks, out = _blocks(), None
     for block in blocks:
         kept = rows
         for c in block:

@@ -26,13 +26,13 @@ add("a12_host_signals", lambda s, d: extraction.merged_signals(table(s, d, "page
 _REACH = """e AS (SELECT lead_a AS a, lead_b AS b FROM q UNION SELECT lead_b, lead_a FROM q), reach AS (SELECT a AS lead_id, a AS other FROM e UNION SELECT r.lead_id, e.b FROM reach r JOIN e ON r.other = e.a),
 cl AS (SELECT lead_id, min(other) AS cluster FROM reach GROUP BY lead_id)"""
 _RECURSIVE = "WITH RECURSIVE " + oracle("", "leads", "contacts").removeprefix("WITH ").rstrip() + ",\n" + _PAIRS + ",\n" + _REACH
-add("e4_clusters", lambda s, d: merging.clusters(matching.duplicate_pairs(table(s, d, "leads"))))
+add("e4_clusters", lambda s, d: merging.clusters(matching.duplicate_links(table(s, d, "leads"))))
 ORACLE_SQL["e4_clusters"] = _RECURSIVE + " SELECT lead_id, cluster FROM cl"
 
 
 def _merged(s, d):
     leads = table(s, d, "leads")
-    return merging.merge_clusters(leads, merging.clusters(matching.duplicate_pairs(leads)), matching.priorities(leads, table(s, d, "contacts")))
+    return merging.merge_clusters(leads, merging.clusters(matching.duplicate_links(leads)), matching.priorities(leads, table(s, d, "contacts")))
 
 
 _FULL = " + ".join(f"CAST({_has(c)} AS INT)" for c in matching.POPULATED)
