@@ -221,8 +221,11 @@ def fallback(model: Model, text: str) -> list[int]:
 class Encoder:
     """Encodes texts; remembers up to KNOWN units, with the pieces of all of them in one pool."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, segmentation: str = "model"):
+        if segmentation not in ("model", "viterbi"):
+            raise ValueError("segmentation is model or viterbi")
         self.model = load(path)
+        self.by_path = self.model.unigram or segmentation == "viterbi"
         usable = np.isin(self.model.kinds, (NORMAL, USER))
         self.rank = {p: k for k, p in enumerate(self.model.pieces) if usable[k]}
         self._forget()
@@ -238,7 +241,7 @@ class Encoder:
             by_size.setdefault(len(u), []).append(u)
         pools, sizes = [self.pool], [self.sizes]
         for size, same in by_size.items():
-            long = size > LONG and not self.model.unigram
+            long = size > LONG and not self.by_path
             step = max(1, 400_000 // (size * min(size, self.model.longest)))
             for lo in range(0, len(same), step):
                 part = same[lo : lo + step]
@@ -257,7 +260,7 @@ class Encoder:
         m = self.model
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(units), size)
         found = lattice(m, codes)
-        heads = viterbi(m, found) if m.unigram else merges(m, found)
+        heads = viterbi(m, found) if self.by_path else merges(m, found)
         row, start = np.nonzero(heads)
         stop = np.append(start[1:], size)
         stop[np.append(row[1:] != row[:-1], True)] = size
@@ -315,13 +318,15 @@ def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield part
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.model", check: bool = False) -> DataFrame:
-    """docs with piece_ids and n_pieces; with check also round_trip: whether they decode to the text."""
+def encode(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.model", check: bool = False, segmentation: str = "model") -> DataFrame:
+    """docs with piece_ids and n_pieces; with check also round_trip: whether they decode to the text.
+
+    segmentation: "model" gives the library's pieces, "viterbi" the path of best scores."""
     path = public_tokenizers.path(model)
 
     @F.pandas_udf("piece_ids array<int>, n_pieces int, round_trip boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, segmentation)
         decoder = Decoder(encoder.model)
         for texts in batches:
             for values in groups(texts.tolist()):

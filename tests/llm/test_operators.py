@@ -84,6 +84,36 @@ def test_viterbi_is_the_best_path():
         assert sum(vocabulary[unit[x:y]] for x, y in zip(cuts, cuts[1:])) == pytest.approx(best(unit))
 
 
+def test_viterbi_on_the_model(spark, texts):
+    """The path of best scores over the whole vocabulary, against a plain recurrence, and its round trip."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoder = pieces.Encoder(path, "viterbi")
+    m = encoder.model
+    low = m.scores.min() - 10
+    units = ["▁" + w for w in [*words(60, 61), "international", "naïve", "日本語", "x" * 70, "unbelievably"]]
+
+    def best(unit):
+        scores = [0.0]
+        for end in range(1, len(unit) + 1):
+            scores.append(max(scores[at] + (m.scores[encoder.rank[unit[at:end]]] if unit[at:end] in encoder.rank else low if end - at == 1 else -np.inf) for at in range(max(0, end - m.longest), end)))
+        return scores[-1]
+
+    for unit in units:
+        ids = [int(k) for k in encoder.encode([unit.replace("▁", "")])[0]]
+        mine, run = 0.0, b""
+        for k in ids:
+            run = run + bytes([int(m.pieces[k][3:5], 16)]) if m.kinds[k] == pieces.BYTE else b""
+            mine += m.scores[k] if not run else 0.0
+            try:
+                done = bool(run) and run.decode()
+            except UnicodeDecodeError:
+                done = False
+            mine, run = (mine + low, b"") if done else (mine, run)
+        assert mine == pytest.approx(best(unit)), unit
+    out = pieces.decode(pieces.encode(docs_of(spark, texts), check=True, segmentation="viterbi")).collect()
+    assert all(r["decoded"] == (texts[r["doc_id"]] or "") and r["round_trip"] for r in out) and len(out) == len(texts)
+
+
 def test_pieces_round_trip(spark, texts):
     out = pieces.decode(pieces.encode(docs_of(spark, texts), check=True)).collect()
     assert all(r["decoded"] == (texts[r["doc_id"]] or "") and r["round_trip"] for r in out) and len(out) == len(texts)
