@@ -45,21 +45,27 @@ def apply_exclusion(leads: DataFrame, rules: DataFrame) -> DataFrame:
 def matching_region(leads: DataFrame, regions: DataFrame) -> DataFrame:
     """E8, first part: lead_id and region_id by postal prefix, neighbourhood keyword or city, in this order.
 
-    States have to agree where both are given. Regions are joined by state, a small
-    dimension, and the first by (pass, type, name, id) wins."""
-    r = regions.select(*[F.col(c).alias(f"r_{c}") for c in regions.columns])
-    digits = F.regexp_replace(F.coalesce("postal_code", F.lit("")), r"\D", "")
+    States have to agree where both are given, and for the first two so do cities. Each
+    way is a join of its own, on the prefix, on the keyword that stands in the lead's
+    place and on the city; the first region by (pass, type, name, id) wins."""
+    r = regions.select(*[F.col(c).alias(f"r_{c}") for c in regions.columns]).withColumns({"r_city": normalize_text(F.col("r_city")), "r_state": normalize_text(F.col("r_state"))})
+    digits = F.regexp_replace(F.coalesce("postal_code", F.lit("")), "[^0-9]", "")
     place = normalize_text(F.concat_ws(" ", "neighborhood", "address"))
-    base = leads.select("lead_id", "state", normalize_text(F.col("city")).alias("city"), digits.alias("digits"), place.alias("place"))
-    city = normalize_text(F.col("r_city"))
-    cities_agree = F.col("city").isNull() | city.isNull() | (F.col("city") == city)
-    postal = F.col("r_postal_prefix").isNotNull() & F.col("digits").startswith(F.col("r_postal_prefix")) & cities_agree
-    near = F.col("r_neighborhood_keyword").isNotNull() & F.contains(F.col("place"), F.col("r_neighborhood_keyword")) & cities_agree
-    same = ~F.col("r_requires_neighborhood") & (F.col("city") == city)
-    step = F.when(postal, 1).when(near, 2).when(same, 3)
-    met = base.join(r, F.col("state") == F.col("r_state"))
-    ranked = met.select("lead_id", step.alias("step"), "r_region_type", "r_name", F.col("r_region_id").alias("region_id")).where("step is not null")
-    return ranked.groupBy("lead_id").agg(F.min_by("region_id", F.struct("step", "r_region_type", "r_name", "region_id")).alias("region_id"), F.min("step").alias("step"))
+    base = leads.select("lead_id", normalize_text(F.col("state")).alias("state"), normalize_text(F.col("city")).alias("city"), digits.alias("digits"), place.alias("place"))
+    agree = lambda c: F.col(c).isNull() | F.col(f"r_{c}").isNull() | (F.col(c) == F.col(f"r_{c}"))
+    prefixed = r.where(present(F.col("r_postal_prefix")))
+    sizes = [x[0] for x in prefixed.select(F.length("r_postal_prefix")).distinct().collect()]  # eight at most
+    prefixes = base.select("*", F.explode(F.array(*[F.when(F.length("digits") >= n, F.substring("digits", 1, n)) for n in sizes] or [F.lit(None).cast("string")])).alias("r_postal_prefix")).where("r_postal_prefix is not null")
+    near = r.where(present(F.col("r_neighborhood_keyword")))
+    keywords = contained(base, "place", near, "r_neighborhood_keyword").withColumnsRenamed({"text": "place", "pattern": "r_neighborhood_keyword"})
+    of_city = r.where(~F.col("r_requires_neighborhood") & F.col("r_city").isNotNull()).withColumn("city", F.col("r_city"))
+    ways = [
+        prefixes.join(prefixed, "r_postal_prefix").where(agree("state") & agree("city")).withColumn("step", F.lit(1)),
+        base.join(keywords, "place").join(near, "r_neighborhood_keyword").where(agree("state") & agree("city")).withColumn("step", F.lit(2)),
+        base.join(of_city, "city").where(agree("state")).withColumn("step", F.lit(3)),
+    ]
+    met = reduce(lambda a, b: a.unionByName(b), [w.select("lead_id", "step", "r_region_type", "r_name", F.col("r_region_id").alias("region_id")) for w in ways])
+    return met.groupBy("lead_id").agg(F.min_by("region_id", F.struct("step", "r_region_type", "r_name", "region_id")).alias("region_id"), F.min("step").alias("step"))
 
 
 def matching_rule(leads: DataFrame, rules: DataFrame) -> DataFrame:
