@@ -17,7 +17,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     """
     forward = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     state = materialise(forward, name)
-    while True:
+    stamp = lambda x: tuple(x.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+    last = stamp(state)
+    while last[0]:
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -27,11 +29,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), name)
-        stamp = lambda x: tuple(x.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-        same, done, state = stamp(small) == stamp(state), state, small
-        discard(state.sparkSession, done, large)
-        if same:
+        now = stamp(small)
+        discard(state.sparkSession, state, large)
+        state = small
+        if now == last:
             break
+        last = now
     leaves = state.select(F.col("u").alias("node"), F.col("v").alias("label"))
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return leaves.unionByName(roots)
