@@ -115,3 +115,41 @@ def test_activity_stream(spark, tmp_path):
     activity.append_batches(log, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
     copied = spark.read.parquet(f"{tmp_path}/out")
     assert activity.activity_counts(copied).collect()[0]["n"] == 2
+
+
+def test_contained_finds_every_pattern(spark):
+    """Against all pairs: patterns of any length, repeated, empty and null, and texts without them."""
+    from leadmill.operators.containment import contained
+
+    texts = ["oficina mecanica", "oficina", "padaria bela vista", "a", "", None, "oficina", "ab", "mecanica a"]
+    patterns = ["oficina", "mec", "a", "el", "", None, "zzz", "nica a", "oficina", "padaria bela vista e mais"]
+    found = contained(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame([(p,) for p in patterns], "p string"), "p").collect()
+    assert {tuple(r) for r in found} == {(t, p) for t in texts for p in patterns if t and p and p in t} and len(found) == len({tuple(r) for r in found})
+
+
+def test_records_compared_by_their_fields(spark):
+    """A record with the lead's mail domain, phone, name, street and place; one that shares nothing; one without fields."""
+    names = "lead_id long, business_name string, category string, website string, domain string, email string, phone string, whatsapp string, address string, neighborhood string, city string, state string, postal_code string"
+    lead = (1, "Padaria Bela Vista", "padaria", None, None, "Ana@BelaVista.com.br", "(11) 98765-4321", None, "Rua A, 10 - Centro", "Centro", "Porto Alegre", "RS", None)
+    fields = "record_id long, lead_id long, candidate_pos int, cnpj string, full_cnpj boolean, trade_name string, legal_name string, website string, email string, phone string, address string, neighborhood string, city string, state string, postal_code string, activity string"
+    records = [
+        (1, 1, 1, "1", True, "PADARIA BELA VISTA", "Bela Vista Paes Ltda", "https://www.belavista.com.br/x", None, "+55 11 98765 4321", "Rua A, 10", "CENTRO", "porto alegre", "Rio Grande do Sul", "90650-001", "Padaria e confeitaria"),
+        (2, 1, 2, "2", True, "Outra", "Maria da Silva", None, "x@y.com", "(21) 3333-0000", "Av. B, 12", None, "Rio", "RJ", None, None),
+        (3, 1, 3, "3", False, *[None] * 11),
+    ]
+    out = {r["record_id"]: r.asDict() for r in linkage.compared(spark.createDataFrame([lead], names), spark.createDataFrame(records, fields)).collect()}
+    assert [out[1][k] for k in ("same_domain", "same_phone", "same_street", "same_neighborhood", "same_activity")] == [True] * 5
+    assert (out[1]["alias_match"], out[1]["number_match"], out[1]["city_match"], out[1]["state_match"], out[1]["brand_in_legal"]) == ("equal", "equal", "equal", "equal", "some")
+    assert (out[2]["same_domain"], out[2]["alias_match"], out[2]["city_match"], out[2]["state_match"], out[2]["person_like"]) == (False, "none", "different", "different", True)
+    assert (out[3]["alias_match"], out[3]["number_match"], out[3]["city_match"], out[3]["person_like"]) == ("none", "missing", "missing", False)
+    scored = {r["record_id"]: r for r in linkage.evidence(linkage.compared(spark.createDataFrame([lead], names), spark.createDataFrame(records, fields))).collect()}
+    assert scored[1]["score"] == 40 + 35 + 25 + 10 + 15 + 10 + 10 + 15 + 10 + 8 and scored[2]["score"] == 0 and scored[3]["score"] == 0
+
+
+def test_subsegment_takes_the_first_with_a_keyword(spark):
+    from leadmill.operators import assignment
+
+    taxonomy = spark.createDataFrame([(1, 9, "b", 2, ["padaria"]), (2, 9, "a", 1, ["Pão", "VISTA", "bela"]), (3, 8, "c", 0, [None, "", "zz"])], "subsegment_id long, segment_id long, name string, sort_order int, keywords array<string>")
+    rows = spark.createDataFrame([(1, "Padaria Bela Vista", None, None, None, None), (2, "Padaria", None, None, None, None), (3, None, None, None, None, None)], "lead_id long, business_name string, normalized_business_name string, category string, website string, domain string")
+    out = {r["lead_id"]: (r["subsegment_id"], r["keywords"]) for r in assignment.matching_subsegment(rows, taxonomy).collect()}
+    assert out == {1: (2, ["VISTA", "bela"]), 2: (1, ["padaria"])}
