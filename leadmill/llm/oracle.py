@@ -16,3 +16,9 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(t.n,
        sha256(coalesce(t.text, '')) AS kept_sha256
 FROM w LEFT JOIN t USING (r)
 """
+
+SQL["op10_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least, n >= 100 AND page_id <> min(page_id) OVER (PARTITION BY digest) AS again FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN least END AS refers_to FROM f
+"""
