@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -61,12 +60,6 @@ def discard(spark: SparkSession, *written: DataFrame | str) -> None:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so once the driver's JVM has collected them, which may be long after."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row: the lengths of texts and arrays, and 16 for each column."""
     total = F.lit(16 * len(df.columns)).cast("long")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import discard, forget_shuffles, materialise, small
+from leadmill.llm.common import discard, materialise, small
 
 WINDOW, GRAM = 35, 8
 #: Odd multipliers of two polynomial hashes modulo 2 ** 64.
@@ -99,13 +99,14 @@ def anchor_counts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key(docs: DataFrame, key: str, text: str) -> DataFrame:
-    # as text, since pandas turns whole numbers beside a null into floats
-    return docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    """k (the key as text, since pandas turns whole numbers beside a null into floats), t, and g and h, which name the document in 16 bytes wherever its text isn't needed."""
+    whole = docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return whole.select("k", "t", F.xxhash64(F.lit(1), "k", "t").alias("g"), F.xxhash64("t").alias("h"))
 
 
 def _back(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """left joined to right, which has one row for each document (k2, h2)."""
-    return left.join(right, (left.h == right.h2) & left.k.eqNullSafe(right.k2), how).drop("h2", "k2")
+    """left joined to right, which has one row for each document (g2, h2)."""
+    return left.join(right, (left.h == right.h2) & (left.g == right.g2), how).drop("h2", "g2")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,45 +117,39 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         known = WordHashes()
         for b in batches:
             rows = []
-            for k, h, t in zip(b["k"], b["h"], b["t"]):
+            for g, h, t in zip(b["g"], b["h"], b["t"]):
                 words = t.encode("utf-8", "replace").split()
                 if len(words) >= WINDOW:
                     a, n = anchor_counts(known.of(words))
-                    rows.append((k, h, a.view(np.int64), n.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["k", "h", "anchor", "n"])
+                    rows.append((g, h, a.view(np.int64), n.astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["g", "h", "anchor", "n"])
 
-    found = materialise(whole.select("k", "h", "t").mapInPandas(find_anchors, "k string, h long, anchor array<long>, n array<int>"), "anchors")
-    each = found.select("k", "h", F.inline(F.arrays_zip("anchor", "n")))
+    found = materialise(whole.select("g", "h", "t").mapInPandas(find_anchors, "g long, h long, anchor array<long>, n array<int>"), "anchors")
+    each = found.select("g", "h", F.inline(F.arrays_zip("anchor", "n")))
     # a table of its own, one row for each anchor: broadcast where it is small, else Spark can split the rows of a frequent one
     twice = small(each.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeated_anchors")
-    candidates = each.select("k", "h", "anchor").join(twice, "anchor", "left_semi").groupBy("k", "h").agg(F.collect_set("anchor").alias("anchor"))
-    candidates = materialise(candidates.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "anchor"), "candidates")
+    candidates = each.select("g", "h", "anchor").join(twice, "anchor", "left_semi").groupBy("g", "h").agg(F.collect_set("anchor").alias("anchor"))
+    candidates = materialise(candidates.select(F.col("g").alias("g2"), F.col("h").alias("h2"), "anchor"), "candidates")
     discard(docs.sparkSession, found, twice)
-    del each, twice, found
-    forget_shuffles(docs.sparkSession)
 
     def find_windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for b in batches:
             rows = []
-            for k, h, t, wanted in zip(b["k"], b["h"], b["t"], b["anchor"]):
+            for g, h, t, wanted in zip(b["g"], b["h"], b["t"], b["anchor"]):
                 words = known.of(t.encode("utf-8", "replace").split())
                 starts = np.flatnonzero(np.isin(anchors(words)[0].view(np.int64), np.asarray(wanted, np.int64)))
                 one, two = window_hashes(words, WINDOW, BASES[0]), window_hashes(mixed(words), WINDOW, BASES[1])
-                rows.append((k, h, starts.astype(np.int32), one[starts].view(np.int64), (two[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pd.DataFrame(rows, columns=["k", "h", "start", "one", "two"])
-
-    held = _back(whole, candidates, "inner").select("k", "h", "t", "anchor")
-    # the texts were shuffled for this step
-    windows = materialise(held.mapInPandas(find_windows, "k string, h long, start array<int>, one array<long>, two array<int>"), "windows")
-    forget_shuffles(docs.sparkSession)
-    rows = windows.select("k", "h", F.inline(F.arrays_zip("start", "one", "two")))
+                rows.append((g, h, starts.astype(np.int32), one[starts].view(np.int64), (two[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pd.DataFrame(rows, columns=["g", "h", "start", "one", "two"])
+
+    held = _back(whole.drop("k"), candidates, "inner").select("g", "h", "t", "anchor")
+    windows = materialise(held.mapInPandas(find_windows, "g long, h long, start array<int>, one array<long>, two array<int>"), "windows")
+    rows = windows.select("g", "h", F.inline(F.arrays_zip("start", "one", "two")))
     repeated = small(rows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "repeated_windows")
-    hit = rows.join(repeated, ["one", "two"], "left_semi").groupBy("k", "h").agg(F.collect_set("start").alias("start"))
-    hit = materialise(hit.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "start"), "repeats")
+    hit = rows.join(repeated, ["one", "two"], "left_semi").groupBy("g", "h").agg(F.collect_set("start").alias("start"))
+    hit = materialise(hit.select(F.col("g").alias("g2"), F.col("h").alias("h2"), "start"), "repeats")
     discard(docs.sparkSession, windows, repeated, candidates)
-    del held, rows, windows, repeated, candidates
-    forget_shuffles(docs.sparkSession)
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
