@@ -22,3 +22,25 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html
 f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least, n >= 100 AND page_id <> min(page_id) OVER (PARTITION BY digest) AS again FROM p)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN least END AS refers_to FROM f
 """
+
+
+def _clusters(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Assignments and means, one pair of steps for each round."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS c, x FROM v WHERE vec_id IS NOT NULL ORDER BY c LIMIT {k})",
+    ]
+    assign = lambda j: f"a{j} AS MATERIALIZED (SELECT r, vec_id, vx, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.r, v.vec_id, v.x AS vx, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c{j} AS c) GROUP BY r, vec_id, vx)"
+    for j in range(rounds):
+        steps.append(assign(j))
+        steps.append(f"m{j} AS (SELECT c, list(y ORDER BY i) AS x FROM (SELECT c, i, CAST(floor(sum(vx[i]) / count(*)) AS BIGINT) AS y FROM a{j}, range(1, {dims + 1}) AS t(i) GROUP BY c, i) GROUP BY c)")
+        steps.append(f"c{j + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{j} AS c LEFT JOIN m{j} AS m USING (c))")
+    steps.append(assign(rounds))
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN c{rounds} AS c USING (c)
+"""
+
+
+SQL["op11_centroid_clusters"] = _clusters()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import decontaminate, html, lines, pieces, quality, simhash, substrings, tokencount, urls, warc
+from leadmill.llm import centroids, decontaminate, html, lines, pieces, quality, simhash, substrings, tokencount, urls, warc
 from leadmill.llm.common import table
 
 
@@ -51,3 +51,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
