@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import centroids, decontaminate, html, lines, pieces, quality, simhash, substrings, tokencount, urls, warc
+from leadmill.llm import centroids, decontaminate, html, lines, pieces, quality, repair, simhash, substrings, tokencount, urls, warc
 from leadmill.llm.common import table
 
 
@@ -55,3 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
