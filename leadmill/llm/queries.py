@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import centroids, decontaminate, html, lines, pieces, quality, repair, simhash, substrings, tokencount, urls, warc
+from leadmill.llm import centroids, decontaminate, html, lines, pieces, quality, repair, simhash, substrings, tokencount, toxicity, urls, warc
 from leadmill.llm.common import table
 
 
@@ -59,3 +59,8 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep_text=False)
