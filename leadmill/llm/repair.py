@@ -203,6 +203,11 @@ def led(seen: DataFrame) -> DataFrame:
     return a.join(b, same).select("a.*", (place(F.col("a.turn")) == F.col("b.least")).alias("leads"))
 
 
+def partitions(df: DataFrame) -> int:
+    """As many as shuffles have: rows are few bytes here and much work, so tasks are not to be joined by bytes."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
 def listed(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
@@ -262,7 +267,7 @@ class Runs:
 
 def decide(runs: DataFrame) -> DataFrame:
     """conv, the number of each fault, illegal neighbours, cost and audit."""
-    dealt = runs.repartition(F.col("conv")).sortWithinPartitions("conv", "part", "place").select("conv", "symbol", "length")
+    dealt = runs.repartition(partitions(runs), F.col("conv")).sortWithinPartitions("conv", "part", "place").select("conv", "symbol", "length")
     kinds = {"conv": pa.string(), "blank": pa.int64(), "duplicate": pa.int64(), "truncated": pa.int64(), "illegal": pa.int64(), "cost": pa.int64(), "audit": pa.string()}
 
     def each(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +292,8 @@ def walked(rows: DataFrame, audits: DataFrame) -> DataFrame:
     told = F.when(F.col("turn").isNull(), 0).otherwise(1)
     texts = damaged(rows).select(F.col("conv_id").cast("string").alias("conv"), told.alias("told"), F.col("turn").cast("long").alias("turn"), "role", F.sha2("text", 256).alias("digest"), "text", "copies", F.lit(None).cast("string").alias("audit"))
     heads = audits.select("conv", F.lit(-1).alias("told"), F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.lit("").alias("digest"), F.lit("").alias("text"), F.lit(0).cast("long").alias("copies"), "audit")
-    both = texts.unionByName(heads).repartition(F.col("conv"))
+    both = texts.unionByName(heads)
+    both = both.repartition(partitions(both), F.col("conv"))
     return both.sortWithinPartitions("conv", "told", "turn", "role", "digest").select("conv", "told", "role", "text", "copies", "audit")
 
 
@@ -376,7 +382,7 @@ def audit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = rows.sparkSession
     seen = materialise(turns(rows), "turns")
     told = materialise(led(seen), "led")
-    found = materialise(decide(in_runs(told, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))), "audits")
+    found = materialise(decide(in_runs(told, partitions(told))), "audits")
     missing = materialise(gaps(seen), "gaps")
     discard(spark, seen, told)
     return found, missing
