@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions.address import split_address
-from leadmill.functions.text import area_code, blank_to_null, clean_email, domain_of, normalize_text, phone_br, postal_code, present, state_code, strong_variant
+from leadmill.functions.text import area_code, blank_to_null, clean_email, domain_of, normalize_text, phone_br, postal_code, state_code, strong_variant
+from leadmill.operators.activities import activity_hint, kind_matches
+from leadmill.operators.name_variants import with_variants
 
 #: Thresholds of the decision.
 MATCH, REVIEW, GAP = 80, 50, 10
@@ -25,50 +27,82 @@ def person_like(name: Column) -> Column:
     return F.size(words).between(2, 5) & F.forall(words, lambda w: w.rlike("^[a-z]+$") & ~w.isin(*COMPANY_WORDS))
 
 
-def _domains(website: Column, domain: Column, email: Column) -> Column:
-    """The domains of a site (its own column where there is no site) and of an address."""
-    return F.array_compact(F.array(F.coalesce(domain_of(website), domain_of(domain)), blank_to_null(F.substring_index(F.when(F.contains(clean_email(email), F.lit("@")), clean_email(email)), "@", -1))))
+def _mail_domain(mail: Column) -> Column:
+    """The domain of a clean address."""
+    return blank_to_null(F.substring_index(F.when(F.contains(mail, F.lit("@")), mail), "@", -1))
+
+
+def located(rows: DataFrame, *address: str) -> DataFrame:
+    """rows with `street` and `number` of their columns address, neighborhood (or none), city, state and postal: each
+    distinct address is taken apart once."""
+    column = lambda c: F.col(c) if c else F.lit(None).cast("string")
+    kept = [c for c in address if c]
+    once = rows.select(*kept).where(F.col(kept[0]).isNotNull()).distinct().select(*kept, split_address(*map(column, address)).alias("split"))
+    once = once.select(*[F.col(c).alias(f"of_{c}") for c in kept], normalize_text(F.col("split.street")).alias("street"), F.col("split.number").alias("number"))
+    same = F.lit(True)
+    for c in kept:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return rows.join(once, same, "left").drop(*[f"of_{c}" for c in kept])
 
 
 def profiles(leads: DataFrame) -> DataFrame:
-    """The evidence of each lead, normalised: lead_id, and name, tokens, domains, numbers, area, street, number, postal, neighborhood, city, state and category with l_ in front."""
-    own_postal = F.coalesce(postal_code(F.col("postal_code")), postal_code(F.col("address")))
-    located = leads.withColumn("__a", split_address(F.col("address"), F.col("neighborhood"), F.col("city"), F.col("state"), own_postal))
-    name = normalize_text(F.col("business_name"))
-    return located.select(
-        "lead_id", name.alias("l_name"), brand_tokens(name).alias("l_tokens"), _domains(F.col("website"), F.col("domain"), F.col("email")).alias("l_domains"),
-        F.array_compact(F.array(phone_br(F.col("phone")), phone_br(F.col("whatsapp")))).alias("l_numbers"), F.coalesce(area_code(F.col("phone")), area_code(F.col("whatsapp"))).alias("l_area"),
-        normalize_text(F.col("__a.street")).alias("l_street"), F.col("__a.number").alias("l_number"), own_postal.alias("l_postal"), normalize_text(F.col("neighborhood")).alias("l_neighborhood"),
+    """The evidence of each lead, normalised: lead_id, and name, aliases (N28), tokens, domains, numbers, area, street,
+    number, postal, neighborhood, city, state, category and kind with l_ in front."""
+    raw = leads.select(
+        "lead_id", "business_name", "category", "address", "neighborhood", "city", "state", "website", "domain", "email", "phone", "whatsapp",
+        F.coalesce(postal_code(F.col("postal_code")), postal_code(F.col("address"))).alias("own_postal"),
+    )
+    named = with_variants(located(raw, "address", "neighborhood", "city", "state", "own_postal"))
+    clean = named.select(
+        "lead_id", normalize_text(F.col("business_name")).alias("l_name"), F.transform("alias", F.lower).alias("l_aliases"),
+        F.coalesce(domain_of(F.col("website")), domain_of(F.col("domain"))).alias("site"), clean_email(F.col("email")).alias("mail"),
+        phone_br(F.col("phone")).alias("phone"), phone_br(F.col("whatsapp")).alias("whatsapp"), F.coalesce(area_code(F.col("phone")), area_code(F.col("whatsapp"))).alias("l_area"),
+        F.col("street").alias("l_street"), F.col("number").alias("l_number"), F.col("own_postal").alias("l_postal"), normalize_text(F.col("neighborhood")).alias("l_neighborhood"),
         normalize_text(F.col("city")).alias("l_city"), state_code(F.col("state")).alias("l_state"), normalize_text(F.col("category")).alias("l_category"),
     )
+    short = F.filter("l_aliases", lambda v: F.size(F.split(v, " ")) <= 3)
+    # the brand's words are those of its short aliases; without any, of the first two, and then of the name itself
+    brand = F.when(F.size(short) > 0, short).otherwise(F.slice("l_aliases", 1, 2))
+    brand = F.array_join(F.when(F.size("l_aliases") > 0, brand).otherwise(F.array("l_name")), " ")
+    return clean.select(
+        "lead_id", "l_name", "l_aliases", brand_tokens(brand).alias("l_tokens"), F.array_compact(F.array("site", _mail_domain(F.col("mail")))).alias("l_domains"), F.array_compact(F.array("phone", "whatsapp")).alias("l_numbers"), "l_area",
+        "l_street", "l_number", "l_postal", "l_neighborhood", "l_city", "l_state", "l_category", activity_hint(F.col("l_category")).alias("l_kind"),
+    )
+
+
+def cleaned_records(records: DataFrame) -> DataFrame:
+    """Registry records with the facts that are compared, normalised; dealt by lead first, as a source of few files gives few tasks."""
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    raw = records.select("record_id", "lead_id", "candidate_pos", "cnpj", "full_cnpj", "trade_name", "legal_name", "website", "email", "phone", "address", "neighborhood", "city", "state", "postal_code", "activity").repartition(tasks, "lead_id")
+    clean = located(raw, "address", "", "city", "state", "postal_code").select(
+        "record_id", "lead_id", "candidate_pos", "cnpj", "full_cnpj", normalize_text(F.col("trade_name")).alias("trade"), normalize_text(F.col("legal_name")).alias("legal"), person_like(F.col("legal_name")).alias("person_like"),
+        domain_of(F.col("website")).alias("site"), clean_email(F.col("email")).alias("mail"), phone_br(F.col("phone")).alias("phone"), area_code(F.col("phone")).alias("area"),
+        "street", "number", postal_code(F.col("postal_code")).alias("postal"), normalize_text(F.col("neighborhood")).alias("neighborhood"), normalize_text(F.col("city")).alias("city"), state_code(F.col("state")).alias("state"), normalize_text(F.col("activity")).alias("activity"),
+    )
+    return clean.withColumn("domains", F.array_compact(F.array("site", _mail_domain(F.col("mail"))))).drop("site", "mail")
 
 
 def compared(leads: DataFrame, records: DataFrame) -> DataFrame:
     """Each registry record beside its lead, with the compared facts that evidence() reads.
 
-    Both sides are normalised before they are joined by lead, once for each row."""
-    located = records.withColumn("__a", split_address(F.col("address"), F.lit(None).cast("string"), F.col("city"), F.col("state"), F.col("postal_code")))
-    theirs = located.select(
-        "record_id", "lead_id", "candidate_pos", "cnpj", "full_cnpj", normalize_text(F.col("trade_name")).alias("trade"), normalize_text(F.col("legal_name")).alias("legal"),
-        _domains(F.col("website"), F.lit(None).cast("string"), F.col("email")).alias("domains"), phone_br(F.col("phone")).alias("phone"), area_code(F.col("phone")).alias("area"),
-        normalize_text(F.col("__a.street")).alias("street"), F.col("__a.number").alias("number"), postal_code(F.col("postal_code")).alias("postal"), normalize_text(F.col("neighborhood")).alias("neighborhood"),
-        normalize_text(F.col("city")).alias("city"), state_code(F.col("state")).alias("state"), normalize_text(F.col("activity")).alias("activity"), person_like(F.col("legal_name")).alias("person_like"),
-    )
-    met = theirs.join(profiles(leads), "lead_id")
+    Both sides are normalised before they are joined by lead, once for each row; addresses
+    and names once for each distinct value."""
+    met = cleaned_records(records).join(profiles(leads), "lead_id")
     same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     both = lambda a, b: F.when(F.col(a).isNull() | F.col(b).isNull(), "missing").when(F.col(a) == F.col(b), "equal").otherwise("different")
-    named = lambda other: F.when(same(other, "l_name"), "equal").when(strong_variant(F.col("l_name"), F.col(other)), "strong").otherwise("none")
     words = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), " ")
     shared = F.size(F.array_intersect("l_tokens", words("legal")))
+    alias = F.when(F.coalesce(F.array_contains("l_aliases", F.col("trade")), F.lit(False)), "equal").when(F.exists("l_aliases", lambda v: strong_variant(v, F.col("trade"))), "strong").otherwise("none")
+    legal = F.when(same("legal", "l_name"), "equal").when(strong_variant(F.col("l_name"), F.col("legal")), "strong").otherwise("none")
     return met.select(
         "record_id", "lead_id", "candidate_pos", "cnpj", "full_cnpj", "person_like",
         F.arrays_overlap("domains", "l_domains").alias("same_domain"), F.coalesce(F.array_contains("l_numbers", F.col("phone")), F.lit(False)).alias("same_phone"), same("area", "l_area").alias("same_area"),
-        named("trade").alias("alias_match"), named("legal").alias("legal_match"),
+        alias.alias("alias_match"), legal.alias("legal_match"),
         F.when((F.size("l_tokens") > 0) & (shared == F.size("l_tokens")), "all").when(shared > 0, "some").otherwise("none").alias("brand_in_legal"),
         F.arrays_overlap("l_tokens", words("trade")).alias("brand_in_alias"),
         same("street", "l_street").alias("same_street"), both("number", "l_number").alias("number_match"), same("postal", "l_postal").alias("same_postal"), same("neighborhood", "l_neighborhood").alias("same_neighborhood"),
         both("city", "l_city").alias("city_match"), both("state", "l_state").alias("state_match"),
-        (present(F.col("l_category")) & F.coalesce(F.contains(F.col("activity"), F.col("l_category")), F.lit(False))).alias("same_activity"),
+        kind_matches(F.col("l_kind"), F.col("activity")).alias("same_activity"),
     )
 
 

@@ -15,14 +15,6 @@ SHARED_DOMAINS = (
     "aol.com", "bit.ly", "blogspot.com", "bol.com.br", "facebook.com", "gmail.com", "instagram.com", "icloud.com", "linktree.com", "linktr.ee", "live.com", "mercadolivre.com.br", "google.com", "googleusercontent.com",
     "hotmail.com", "outlook.com", "proton.me", "protonmail.com", "terra.com.br", "uol.com.br", "whatsapp.com", "wa.me", "wixsite.com", "wordpress.com", "yahoo.com",
 )
-#: Kinds of business by the words of their category, with the activity ids and words that a registry has for them.
-ACTIVITIES = (
-    ("pet_shop", ("pet shop", "petshop", "banho e tosa", "pet", "clinica veterinaria"), ("4789004", "9609208"), ("pet shop", "racoes", "banho e tosa", "produtos para animais")),
-    ("furniture_retail", ("moveis", "movel", "moveleira", "marcenaria"), ("4754701",), ("moveis", "colchoes", "decoracao", "planejados")),
-    ("construction_materials", ("material de construcao", "materiais de construcao", "construcao", "ferragens"), ("4744099",), ("materiais de construcao", "cimento", "acabamentos", "hidraulica", "ferragens")),
-    ("electronics_repair", ("assistencia tecnica", "celular", "eletronica", "reparo", "conserto"), ("9512600",), ("assistencia tecnica", "reparo", "manutencao", "celular", "eletronicos")),
-    ("automotive_repair", ("oficina", "mecanica", "reparo automotivo", "auto center", "centro automotivo"), ("4520001",), ("oficina mecanica", "manutencao automotiva", "auto center", "centro automotivo")),
-)
 #: Outcomes of a search after which an equal one is not sent again for some hours, and the confidence for approval in bulk.
 REPEATABLE = ("company_search_no_candidates", "cnpja_zero_candidates", "company_search_low_confidence", "company_search_needs_review", "company_search_preview_only")
 REPEAT_HOURS, BULK_CONFIDENCE = 24, 0.5
@@ -51,31 +43,6 @@ def phone_area(area: Column, expected: Column, allow_unmapped: bool = False) ->
     return F.struct(agreed.alias("area"), F.coalesce(area != expected, F.lit(False)).alias("conflict"))
 
 
-def activity_hint(category: Column) -> Column:
-    """The first kind of business with a word in the category."""
-    text = normalize_text(category)
-    out = F.lit(None).cast("string")
-    for kind, terms, _, _ in reversed(ACTIVITIES):
-        out = F.when(_holds(text, terms), kind).otherwise(out)
-    return out
-
-
-def activity_matches(category: Column, activity: Column, activity_id: Column | None = None) -> Column:
-    """A registry's activity fits the category's kind by a word or by its id."""
-    kind, text, out = activity_hint(category), normalize_text(activity), F.lit(False)
-    digits = F.regexp_replace(activity_id, "[^0-9]", "") if activity_id is not None else F.lit(None).cast("string")
-    for name, _, ids, words in ACTIVITIES:
-        out = out | ((kind == name) & (_holds(text, words) | F.coalesce(digits.isin(*ids), F.lit(False))))
-    return F.coalesce(out, F.lit(False))
-
-
-def _holds(text: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.coalesce(F.contains(text, F.lit(w)), F.lit(False))
-    return out
-
-
 def rejection_reason(score: Column, blocked: Column) -> Column:
     """Why the best candidate was not taken: its block, else the threshold it misses."""
     return F.coalesce(blocked, F.when(score < REVIEW, "below_review_threshold").when(score < MATCH, "below_autofill_threshold"))

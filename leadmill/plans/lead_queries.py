@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.functions import text
-from leadmill.operators import filters, linkage, matching, reports, rules, scoring
+from leadmill.operators import activities, filters, linkage, matching, reports, rules, scoring
 from leadmill.operators.filters import LeadFilters
+from leadmill.plans.variant_queries import variant_steps
 from leadmill.sources.domain import oracle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,15 +169,22 @@ _HOST_OF = lambda c: f"nullif(regexp_replace(split_part(regexp_replace(lower({c}
 _MAIL_OF = lambda c: f"nullif(split_part(lower({c}), '@', 2), '')"
 _NAMED = lambda c: f"CASE WHEN {c} = l_name THEN 'equal' WHEN length({c}) >= 10 AND length(l_name) >= 10 AND (contains({c}, l_name) OR contains(l_name, {c})) THEN 'strong' ELSE 'none' END"
 _BOTH = lambda a, b: f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 'missing' WHEN {a} = {b} THEN 'equal' ELSE 'different' END"
-_EV = f"""lp AS (SELECT lead_id, {_N1('business_name')} AS l_name, list_filter(string_split({_N1('business_name')}, ' '), lambda w: length(w) >= 4 AND w NOT IN ('loja', 'shop', 'casa', 'material', 'construcao')) AS l_tokens,
+_ANY_OF = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
+_KIND = "CASE " + " ".join(f"WHEN {_ANY_OF(_N1('category'), terms)} THEN '{kind}'" for kind, terms, _, _ in activities.ACTIVITIES) + " END"
+_FITS = "coalesce(" + " OR ".join(f"(l_kind = '{kind}' AND {_ANY_OF(_N1('activity'), held)})" for kind, _, _, held in activities.ACTIVITIES) + ", false)"
+_ALIAS = "CASE WHEN list_contains(l_aliases, trade) THEN 'equal' WHEN len(list_filter(l_aliases, lambda v: v = trade OR (least(length(v), length(trade)) >= 10 AND (contains(v, trade) OR contains(trade, v))))) > 0 THEN 'strong' ELSE 'none' END"
+_SHORT = "list_filter(alias, lambda v: len(string_split(v, ' ')) <= 3)"
+_BRAND = f"array_to_string(CASE WHEN len(alias) = 0 THEN [{_N1('leads.business_name')}] WHEN len({_SHORT}) > 0 THEN {_SHORT} ELSE alias[1:2] END, ' ')"
+_EV = variant_steps("SELECT business_name, category FROM leads") + f""",
+lp AS (SELECT lead_id, alias AS l_aliases, {_KIND.replace('category', 'leads.category')} AS l_kind, {_N1('leads.business_name')} AS l_name, list_distinct(list_filter(string_split({_BRAND}, ' '), lambda w: length(w) >= 4 AND w NOT IN ('loja', 'shop', 'casa', 'material', 'construcao'))) AS l_tokens,
   coalesce({_HOST_OF('website')}, nullif(domain, '')) AS l_site, {_MAIL_OF('email')} AS l_mail, phone AS l_phone, whatsapp AS l_whatsapp, substr(coalesce({_DIGITS('phone')}, {_DIGITS('whatsapp')}), -10, 2) AS l_area,
-  {_N1("split_part(address, ', ', 1)")} AS l_street, nullif(split_part(address, ', ', 2), '') AS l_number, {_DIGITS('postal_code')} AS l_postal, {_N1('neighborhood')} AS l_neighborhood, {_N1('city')} AS l_city, state AS l_state, {_N1('category')} AS l_category FROM leads),
+  {_N1("split_part(address, ', ', 1)")} AS l_street, nullif(split_part(address, ', ', 2), '') AS l_number, {_DIGITS('postal_code')} AS l_postal, {_N1('neighborhood')} AS l_neighborhood, {_N1('city')} AS l_city, state AS l_state FROM leads JOIN nv ON leads.business_name = nv.business_name AND leads.category = nv.category),
 rp AS (SELECT *, {_N1('trade_name')} AS trade, {_N1('legal_name')} AS legal, {_HOST_OF('website')} AS site, {_MAIL_OF('email')} AS mail, '+55' || {_DIGITS('phone')} AS number_of, substr({_DIGITS('phone')}, -10, 2) AS area,
   {_N1("split_part(address, ', ', 1)")} AS street, nullif(split_part(address, ', ', 2), '') AS house, {_DIGITS('postal_code')} AS postal, {_N1('city')} AS c_city, CASE state WHEN 'São Paulo' THEN 'SP' ELSE state END AS c_state FROM registry),
 cmp AS (SELECT record_id, r.lead_id, candidate_pos, cnpj, full_cnpj, coalesce(site IN (l_site, l_mail), false) OR coalesce(mail IN (l_site, l_mail), false) AS same_domain, coalesce(number_of = l_phone, false) OR coalesce(number_of = l_whatsapp, false) AS same_phone, coalesce(area = l_area, false) AS same_area,
-  {_NAMED('trade')} AS alias_match, {_NAMED('legal')} AS legal_match, CASE WHEN list_has_all(string_split(coalesce(legal, ''), ' '), l_tokens) THEN 'all' WHEN list_has_any(string_split(coalesce(legal, ''), ' '), l_tokens) THEN 'some' ELSE 'none' END AS brand_in_legal,
+  {_ALIAS} AS alias_match, {_NAMED('legal')} AS legal_match, CASE WHEN len(l_tokens) > 0 AND list_has_all(string_split(coalesce(legal, ''), ' '), l_tokens) THEN 'all' WHEN list_has_any(string_split(coalesce(legal, ''), ' '), l_tokens) THEN 'some' ELSE 'none' END AS brand_in_legal,
   list_has_any(string_split(coalesce(trade, ''), ' '), l_tokens) AS brand_in_alias, coalesce(street = l_street, false) AS same_street, {_BOTH('house', 'l_number')} AS number_match, coalesce(postal = l_postal, false) AS same_postal,
-  coalesce({_N1('neighborhood')} = l_neighborhood, false) AS same_neighborhood, {_BOTH('c_city', 'l_city')} AS city_match, {_BOTH('c_state', 'l_state')} AS state_match, coalesce(contains({_N1('activity')}, l_category), false) AS same_activity
+  coalesce({_N1('neighborhood')} = l_neighborhood, false) AS same_neighborhood, {_BOTH('c_city', 'l_city')} AS city_match, {_BOTH('c_state', 'l_state')} AS state_match, {_FITS} AS same_activity
   FROM rp r JOIN lp ON r.lead_id = lp.lead_id),
 sc AS (SELECT record_id, lead_id, candidate_pos, cnpj, full_cnpj, greatest(0, CASE WHEN same_domain THEN 40 ELSE 0 END + CASE WHEN same_phone THEN 35 WHEN same_area THEN 5 ELSE 0 END + CASE alias_match WHEN 'equal' THEN 25 WHEN 'strong' THEN 20 ELSE 0 END
  + CASE brand_in_legal WHEN 'all' THEN 15 WHEN 'some' THEN 10 ELSE 0 END + CASE WHEN alias_match <> 'none' THEN 0 WHEN legal_match = 'equal' THEN 15 WHEN legal_match = 'strong' THEN 12 ELSE 0 END + CASE WHEN same_street THEN 15 ELSE 0 END

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from leadmill.functions import text
-from leadmill.operators import importing, linkage, previews, registry_search
+from leadmill.operators import activities, importing, linkage, previews, registry_search
 from leadmill.plans.lead_queries import _EV, _N1, BATCH, NOW, ORACLE_SQL, QUERIES, _evidence, add, leads_query
 from leadmill.sources.domain import oracle, table
 
@@ -23,9 +23,9 @@ _CATEGORY = "CASE lead_id % 7 WHEN 0 THEN 'Pet Shop' WHEN 1 THEN 'Loja de MÓVEI
 _ACTIVITY = "CASE lead_id % 5 WHEN 0 THEN 'Comércio de rações' WHEN 1 THEN 'Comércio de móveis e colchões' WHEN 2 THEN 'Manutenção automotiva' WHEN 3 THEN 'Ferragens e cimento' END"
 _ACTIVITY_ID = "CASE lead_id % 4 WHEN 0 THEN '47.89-0/04' WHEN 1 THEN '4520001' END"
 _ANY = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
-_HINT = "CASE " + " ".join(f"WHEN {_ANY('c', t)} THEN '{k}'" for k, t, _, _ in registry_search.ACTIVITIES) + " END"
-leads_query("n32_activity", lambda df: df.select("lead_id", registry_search.activity_hint(F.expr(_CATEGORY)).alias("hint"), registry_search.activity_matches(F.expr(_CATEGORY), F.expr(_ACTIVITY), F.expr(_ACTIVITY_ID)).alias("matches")),
-    "SELECT lead_id, hint, coalesce(" + " OR ".join(f"(hint = '{k}' AND (coalesce({_ANY('a', ws)}, false) OR coalesce(i IN ({', '.join(repr(x) for x in ids)}), false)))" for k, _, ids, ws in registry_search.ACTIVITIES) + f", false) AS matches FROM (SELECT *, {_HINT} AS hint FROM (SELECT lead_id, {_N1(_CATEGORY)} AS c, {_N1(_ACTIVITY)} AS a, regexp_replace({_ACTIVITY_ID}, '[^0-9]', '', 'g') AS i FROM leads))")
+_HINT = "CASE " + " ".join(f"WHEN {_ANY('c', t)} THEN '{k}'" for k, t, _, _ in activities.ACTIVITIES) + " END"
+leads_query("n32_activity", lambda df: df.select("lead_id", activities.activity_hint(F.expr(_CATEGORY)).alias("hint"), activities.activity_matches(F.expr(_CATEGORY), F.expr(_ACTIVITY), F.expr(_ACTIVITY_ID)).alias("matches")),
+    "SELECT lead_id, hint, coalesce(" + " OR ".join(f"(hint = '{k}' AND (coalesce({_ANY('a', ws)}, false) OR coalesce(i IN ({', '.join(repr(x) for x in ids)}), false)))" for k, _, ids, ws in activities.ACTIVITIES) + f", false) AS matches FROM (SELECT *, {_HINT} AS hint FROM (SELECT lead_id, {_N1(_CATEGORY)} AS c, {_N1(_ACTIVITY)} AS a, regexp_replace({_ACTIVITY_ID}, '[^0-9]', '', 'g') AS i FROM leads))")
 add("r17_rejections", lambda s, d: linkage.decide(_evidence(s, d)).select("lead_id", registry_search.rejection_reason(F.col("score"), F.col("reason")).alias("rejection")))
 ORACLE_SQL["r17_rejections"] = ORACLE_SQL["e5_decision"].rsplit("\nSELECT lead_id, record_id, score, gap", 1)[0] + " SELECT lead_id, coalesce(reason, CASE WHEN score < 50 THEN 'below_review_threshold' WHEN score < 80 THEN 'below_autofill_threshold' END) AS rejection FROM t"
 _MESSAGE = "concat('Error: ', CASE WHEN o_orderkey % 5 = 0 THEN 'Usage LIMIT reached' WHEN o_orderkey % 5 = 1 THEN 'at most 3 calls' ELSE o_orderpriority END)"

@@ -19,7 +19,7 @@ SELECT c_custkey AS lead_id,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 3 + 1 END AS organization_id,
   concat('Oficina Mecânica São José ', CAST(c_custkey - c_custkey % 4 AS VARCHAR(20)), CASE WHEN c_custkey % 2 = 0 THEN '!' ELSE '' END) AS business_name,
   concat('oficina mecanica sao jose ', CAST(c_custkey - c_custkey % 4 AS VARCHAR(20))) AS normalized_business_name,
-  lower(c_mktsegment) AS category,
+  CASE WHEN c_custkey % 6 = 1 THEN 'Oficina mecânica' ELSE lower(c_mktsegment) END AS category,
   CASE c_custkey % 5 WHEN 0 THEN 'google_places' WHEN 1 THEN 'website' WHEN 2 THEN 'manual_import' WHEN 3 THEN 'demo_seed' ELSE 'merged' END AS lead_source_type,
   CASE WHEN c_custkey % 10 = 9 THEN NULL ELSE concat('Rua ', n_name, ', ', CAST(c_custkey % 50 AS VARCHAR(20))) END AS address,
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE concat('Bairro ', CAST(c_custkey % 5 AS VARCHAR(20))) END AS neighborhood,
@@ -92,7 +92,7 @@ FROM {orders}
 """
 
 TABLES["registry"] = """
-SELECT l_orderkey * 8 + l_linenumber AS record_id, o_custkey AS lead_id, l_linenumber AS candidate_pos,
+SELECT (l_orderkey * 8 + l_linenumber) * 100 + nth AS record_id, o_custkey AS lead_id, l_linenumber AS candidate_pos,
   lpad(CAST(l_partkey AS VARCHAR(20)), 14, '0') AS cnpj, l_linestatus = 'F' AS full_cnpj,
   CASE l_partkey % 5 WHEN 0 THEN concat('Oficina Mecânica São José ', CAST(o_custkey - o_custkey % 4 AS VARCHAR(20))) WHEN 1 THEN concat('OFICINA MECANICA SAO JOSE ', CAST(o_custkey - o_custkey % 4 AS VARCHAR(20)), ' - Centro')
     WHEN 2 THEN concat('Mecânica José ', CAST(o_custkey % 4 AS VARCHAR(20))) WHEN 3 THEN NULL ELSE 'Padaria Bela Vista' END AS trade_name,
@@ -105,8 +105,9 @@ SELECT l_orderkey * 8 + l_linenumber AS record_id, o_custkey AS lead_id, l_linen
   CASE WHEN l_partkey % 3 = 0 THEN concat('BAIRRO ', CAST(o_custkey % 5 AS VARCHAR(20))) ELSE NULL END AS neighborhood,
   CASE l_suppkey % 9 WHEN 0 THEN 'Outra Cidade' WHEN 1 THEN NULL ELSE lower(n_name) END AS city, CASE l_suppkey % 11 WHEN 0 THEN 'São Paulo' WHEN 1 THEN NULL ELSE r_name END AS state,
   CASE WHEN l_tax > 0.03 THEN concat(lpad(CAST(o_custkey % 97 AS VARCHAR(20)), 5, '0'), lpad(CAST(o_custkey % 13 AS VARCHAR(20)), 3, '0')) ELSE '01310-100' END AS postal_code,
-  CASE l_orderkey % 3 WHEN 0 THEN 'Comércio de AUTOMOBILE e peças' WHEN 1 THEN 'Machinery' ELSE NULL END AS activity
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+  CASE l_orderkey % 4 WHEN 0 THEN 'Comércio de AUTOMOBILE e peças' WHEN 1 THEN 'Machinery' WHEN 2 THEN 'Serviços de MANUTENÇÃO automotiva' ELSE NULL END AS activity
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, l_shipdate) AS nth FROM {lineitem}) lines
+  JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 """
 
 TABLES["taxonomy"] = """
