@@ -34,7 +34,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -52,7 +51,8 @@ NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style noscript template textarea title iframe".split())
-LEFT_OUT = frozenset("nav footer aside form button menu dialog label head select svg math object canvas".split())
+LEFT_OUT = frozenset("nav footer aside form menu dialog head".split())
+MUTED = ("button", "select", "svg")  # inline: their text goes, the line around them goes on
 NEVER_OUT = frozenset("html body main".split())
 CONTAINERS = frozenset("html body main article section div td center blockquote".split())
 LISTS = frozenset("ul ol dl table".split())
@@ -66,18 +66,34 @@ QUALIFIERS = frozenset("no not none non without with has have hide hidden show e
 WEAK, STRONG, READER = 1, 2, 3
 
 
-@lru_cache(maxsize=4096)
-def furniture(token: str) -> tuple[int, bool]:
-    """Whether a token of class, id or role names furniture, and whether it is but a header."""
+#: Whole words of furniture beyond those above, and words beside which these still name furniture.
+WHOLE = EXACT | frozenset(STARTS) | frozenset("adverts advertisement advertisements advertising banners breadcrumbs comments cookies footers modals newsletters pagination paginator popups promos sidebars sponsors sponsored subscribe subscription toolbars widgets".split())
+BESIDE = frozenset("area article articles bar block bottom box button buttons container content entry form inner item items js left link links list main outer panel post posts right section site slot thread top unit wrap wrapper".split())
+_known: dict[str, tuple[int, bool, bool]] = {}  # travels with the functions that use it, unlike a cache object
+
+
+def furniture(token: str) -> tuple[int, bool, bool]:
+    """Whether a token of class, id or role names furniture, whether it is but a header, and whether no word of it says anything else."""
+    found = _known.get(token)
+    if found is None:
+        if len(_known) >= 4096:
+            _known.clear()
+        found = _known[token] = _furniture(token)
+    return found
+
+
+def _furniture(token: str) -> tuple[int, bool, bool]:
     parts = [x for x in re.split(r"[^a-z]+", token) if x]
     if QUALIFIERS.intersection(parts):
-        return 0, False
+        return 0, False, False
     met = [x for x in parts if x in EXACT or x.startswith(STARTS)]
     if not met:
-        return 0, False
+        return 0, False, False
+    own = [x in WHOLE or any(x.startswith(w) and x[len(w) :].removeprefix("s") in BESIDE for w in STARTS) for x in parts]
+    whole = any(own) and all(o or x in BESIDE for o, x in zip(own, parts))
     if any(x.startswith(READERS) for x in met):
-        return READER, False
-    return (STRONG if len(parts) == 1 else WEAK), all(x in ("header", "masthead") for x in met)
+        return READER, False, whole
+    return (STRONG if len(parts) == 1 else WEAK), all(x in ("header", "masthead") for x in met), whole
 
 
 def attributes(found: str) -> tuple[list[str], list[str]]:
@@ -97,7 +113,10 @@ class Page:
     def __init__(self, html: str | None):
         self.names, self.tags, self.paths, self.parents, self.depths, self.bad, self.within = [""], [""], [0], [-1], [0], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []
+        self.lines: list[tuple[int, bool]] = []  # of each block: its line, as an inline element may cut one, and whether a space comes before
+        self.line, self.spaced = 0, False
         self.titles: list[int] = []  # nodes of the h1 blocks
+        self.title_blocks: list[int] = []
         self.links_in: dict[int, int] = defaultdict(int)  # of lists: links
         self.stack: list[tuple[str, int]] = [("", 0)]  # tag, node
         self.open: dict[str, list[int]] = defaultdict(list)  # depths of the open elements of each tag
@@ -108,21 +127,27 @@ class Page:
         self._judge()
 
     def _text(self, raw: str) -> None:
-        if raw:
+        if raw and not any(map(self.open.get, MUTED)):
             text = unescape(raw) if "&" in raw else raw
             self.parts.append(text)
             if self.open["a"]:
                 self.linked += len(text.strip())
 
-    def _flush(self) -> None:
+    def _flush(self, line_ends: bool = True) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
+            raw = "".join(self.parts)
+            text = " ".join(raw.split())
             if text:
                 self.blocks.append((self.stack[-1][1], text, self.linked))
+                self.lines.append((self.line, raw[0].isspace() or self.spaced))
                 if self.stack[-1][0] == "h1":
                     self.titles.append(self.stack[-1][1])
+                    self.title_blocks.append(len(self.blocks) - 1)
+            self.spaced = raw[-1].isspace() or not text and self.spaced
             self.parts = []
         self.linked = 0
+        if line_ends:
+            self.line, self.spaced = self.line + 1, False
 
     def _close_to(self, depth: int) -> None:
         while len(self.stack) > depth:
@@ -136,9 +161,9 @@ class Page:
         """Close the nearest open element of this tag, not beyond an element of `among`."""
         at = self.open[tag]
         if at and not (among and self.bounds[among] and self.bounds[among][-1] > at[-1]):
-            # text of a node of its own must not run into what follows
+            # text of a node of its own is judged by itself
             if tag in BLOCKS or self.stack[-1][1] != self.stack[at[-1] - 1][1]:
-                self._flush()
+                self._flush(line_ends=tag in BLOCKS)
             self._close_to(at[-1])
 
     def _start(self, tag: str, found: str) -> None:
@@ -158,9 +183,9 @@ class Page:
         within, bad = self.within[node], 0
         if tag not in NEVER_OUT:
             for token in tokens:
-                found_bad, header = furniture(token)
-                # a header inside an article holds its title
-                if found_bad and not (header and within) and not (tag == "article" and found_bad != READER):
+                found_bad, header, whole = furniture(token)
+                # a header inside an article holds its title, and its sections may be called by more than furniture
+                if found_bad and not (within and (header or not whole)) and not (tag == "article" and found_bad != READER):
                     bad = max(bad, found_bad)
             if tag == "form":
                 bad = max(bad, WEAK)
@@ -168,7 +193,7 @@ class Page:
                 bad = max(bad, STRONG)
         if tag in CONTAINERS or tag in LISTS or bad:
             if bad and tag not in BLOCKS:
-                self._flush()
+                self._flush(line_ends=False)
             name = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
             self.names.append(name)
             self.tags.append(tag)
@@ -312,10 +337,37 @@ class Page:
         inside = [False] * len(self.names)
         for k in range(len(self.names)):
             inside[k] = not self.out[k] and (k in whole or (self.parents[k] >= 0 and inside[self.parents[k]]))
-        found = [t for c, t, _ in self.blocks if inside[c]]
-        if not found and met:
+        kept = {k for k, (c, _, _) in enumerate(self.blocks) if inside[c]}
+        if not kept and met:
             return self.text([])
-        return "\n".join(found), self.path(min(chosen))
+        kept |= self._title(whole, kept)
+        out, last = [], -1
+        for k in sorted(kept):
+            line, spaced = self.lines[k]
+            out.append(("" if last < 0 else "\n" if line != last else " " if spaced else "") + self.blocks[k][1])
+            last = line
+        return "".join(out), self.path(min(chosen))
+
+    def _title(self, whole: set[int], kept: set[int]) -> set[int]:
+        """Blocks of the page's one h1 where it stands outside the article: with all of the element beside the article that
+        holds it, or alone where that element holds the article too."""
+        titles = [k for k in self.title_blocks if not self.out[self.blocks[k][0]]]
+        if len(titles) != 1 or kept.intersection(titles) or not kept:
+            return set()
+        above = set()
+        for k in whole:
+            while k >= 0 and k not in above:
+                above.add(k)
+                k = self.parents[k]
+        at, top = self.blocks[titles[0]][0], -1
+        while at not in above:
+            at, top = self.parents[at], at
+        if top < 0:
+            return set(titles)
+        held = [False] * len(self.names)
+        for k in range(top, len(self.names)):
+            held[k] = not self.out[k] and (k == top or held[self.parents[k]])
+        return {k for k, (c, _, _) in enumerate(self.blocks) if held[c]}
 
 
 def signed(h: int) -> int:
@@ -349,14 +401,14 @@ def consensus(voted: DataFrame, least: float = 0.2) -> DataFrame:
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages without html, with text, n_chars and main_path."""
-    named = pages.withColumn("__url", F.coalesce(F.col(url), F.lit("")))
-    named = named.withColumn("__host", urls.host_of(F.col("__url"))).drop("__url")
-    won = small(consensus(votes(named.select(F.col("__host").alias("host"), F.col(html).alias("html")))).withColumnsRenamed({"host": "__host", "paths": "__paths"}), "host_paths")
+    kept = [c for c in pages.columns if c != html and c.lower() not in ("text", "n_chars", "main_path")]
+    named = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(url), F.lit("")).alias("__url"), F.col(html).alias("html"))
+    named = named.select("row", urls.host_of(F.col("__url")).alias("host"), "html")
+    won = small(consensus(votes(named.select("host", "html"))), "host_paths")
 
     @F.pandas_udf("text string, path string")
     def again(htmls: pd.Series, paths: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([Page(h).text([] if p is None else [int(x) & (1 << 64) - 1 for x in p]) for h, p in zip(htmls, paths)], columns=["text", "path"])
 
-    kept = [c for c in pages.columns if c != html and c.lower() not in ("text", "n_chars", "main_path")]
-    met = named.join(won, "__host", "left").withColumn("__again", again(F.col(html), F.col("__paths")))
-    return met.select(*kept, F.col("__again.text").alias("text"), F.length("__again.text").cast("long").alias("n_chars"), F.col("__again.path").alias("main_path"))
+    met = named.join(won, "host", "left").select("row", again("html", "paths").alias("main"))
+    return met.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("main.text").alias("text"), F.length("main.text").cast("long").alias("n_chars"), F.col("main.path").alias("main_path"))
