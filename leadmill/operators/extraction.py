@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import text as T
+from leadmill.operators.folds import ordered_union
 
 EVIDENCE = "struct<type: string, value: string, raw: string, confidence: double, label: string>"
 #: Words in a path that tell a page's type, in order.
@@ -96,3 +97,11 @@ def merged_signals(pages: DataFrame, host: Column, html: str = "html") -> DataFr
     each = plain.select("host", *[c.alias(k) for k, c in T.signals(F.col("t")).items()])
     rows = each.select("host", F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.size(k).alias("n"), T.signal_confidence(F.col(k)).alias("confidence")) for k in T.SIGNALS])).alias("s"))
     return rows.groupBy("host", "s.signal").agg(F.max(F.col("s.n") > 0).alias("relevant"), F.max("s.confidence").alias("confidence"), F.count_if(F.col("s.n") > 0).alias("pages"))
+
+
+def merged_signal_words(pages: DataFrame, host: Column, place: Column, html: str = "html") -> DataFrame:
+    """For each host and signal that any page shows, its words as an ordered union over the pages in order of place."""
+    plain = pages.select(host.alias("host"), place.alias("page_place"), T.normalize_text(visible_text(F.col(html))).alias("t"))
+    each = plain.select("host", "page_place", *[c.alias(k) for k, c in T.signals(F.col("t")).items()])
+    rows = each.select("page_place", F.explode(F.array(*[F.struct(F.struct("host", F.lit(k).alias("signal")).alias("of"), F.col(k).alias("words")) for k in T.SIGNALS])).alias("s")).select("page_place", "s.*")
+    return ordered_union(rows, "of", F.col("page_place"), F.col("words"), "words").select("of.host", "of.signal", "words")

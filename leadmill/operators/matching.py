@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions.text import blank_to_null, domain_of, normalize_text, present
+from leadmill.operators.shared import discard, materialise
 
 #: Reasons for a pair to be one business and their weights.
 REASONS = {"google_place_id": 1.0, "phone": 0.9, "whatsapp": 0.9, "domain": 0.85, "normalized_business_name": 0.75}
@@ -61,20 +58,6 @@ def existing_lead(candidates: DataFrame, leads: DataFrame) -> DataFrame:
     return best.select("item_pos", "existing_lead_id", F.element_at(F.array(*[F.lit(r) for r in RUNGS]), F.col("rung") + 1).alias("matched_by"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, which the driver and all executors share; in a temporary one only in a session of one machine."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm.get() if jvm.isDefined() else None
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/groups-{uuid.uuid4().hex}"
-
-
 def preview_groups(candidates: DataFrame) -> DataFrame:
     """item_pos and group_pos, the least item reachable through shared keys.
 
@@ -83,8 +66,7 @@ def preview_groups(candidates: DataFrame) -> DataFrame:
     """
     spark = candidates.sparkSession
     edges = candidate_keys(candidates).select("item_pos", F.concat_ws("=", "rung", "key").alias("key"))
-    folder, k = _folder(spark), 0
-    labels = candidates.select("item_pos", F.col("item_pos").alias("label"))
+    labels, written = candidates.select("item_pos").distinct().select("item_pos", F.col("item_pos").alias("label")), None
     total = None
     while True:
         by_key = edges.join(labels, "item_pos").groupBy("key").agg(F.min("label").alias("label"))
@@ -92,9 +74,11 @@ def preview_groups(candidates: DataFrame) -> DataFrame:
         step = labels.join(near, "item_pos", "left").select("item_pos", F.least("label", F.coalesce("near", "label")).alias("label"))
         over = step.select(F.col("item_pos").alias("label"), F.col("label").alias("further"))
         step = step.join(over, "label", "left").select("item_pos", F.coalesce("further", "label").alias("label"))
-        step.write.parquet(f"{folder}/{k}")
-        labels = spark.read.parquet(f"{folder}/{k}")
-        now, k = labels.agg(F.sum("label")).first()[0], k + 1
+        labels = materialise(step, "labels")
+        if written:
+            discard(spark, written)
+        written = labels
+        now = labels.agg(F.sum("label")).first()[0]
         if now == total:
             return labels.select("item_pos", F.col("label").alias("group_pos"))
         total = now

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions.text import present
-from leadmill.operators.matching import _folder
+from leadmill.operators.folds import folded, ordered_union
+from leadmill.operators.shared import discard, materialise
 
 #: Lead columns filled from duplicates, and words in a key whose value isn't logged.
 MERGED = ("category", "address", "neighborhood", "city", "state", "postal_code", "website", "domain", "instagram", "google_maps_url", "google_place_id", "owner")
@@ -20,19 +19,20 @@ def clusters(pairs: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     both = pairs.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    folder = f"{_folder(spark)}-{uuid.uuid4().hex[:8]}"
-    both.write.parquet(f"{folder}/edges")
-    both = spark.read.parquet(f"{folder}/edges")
-    labels, total, k = both.select(F.col("a").alias("lead_id"), F.col("a").alias("cluster")).distinct(), None, 0
+    both, written = materialise(both, "edges"), None
+    labels, total = both.select(F.col("a").alias("lead_id"), F.col("a").alias("cluster")).distinct(), None
     while True:
         near = both.join(labels, both.b == labels.lead_id).groupBy("a").agg(F.min("cluster").alias("near"))
         step = labels.join(near, labels.lead_id == near.a).select("lead_id", F.least("cluster", "near").alias("cluster"))
         jump = step.select(F.col("lead_id").alias("cluster"), F.col("cluster").alias("further"))
         step = step.join(jump, "cluster").select("lead_id", F.col("further").alias("cluster"))
-        step.write.parquet(f"{folder}/{k}")
-        labels = spark.read.parquet(f"{folder}/{k}")
-        now, k = labels.agg(F.sum("cluster")).first()[0], k + 1
+        labels = materialise(step, "labels")
+        if written:
+            discard(spark, written)
+        written = labels
+        now = labels.agg(F.sum("cluster")).first()[0]
         if now == total:
+            discard(spark, both)
             return labels
         total = now
 
@@ -46,11 +46,39 @@ def merge_clusters(leads: DataFrame, members: DataFrame, priority: DataFrame) ->
     rank = F.struct((-F.col("priority")).alias("p"), "lead_id")
     return rows.groupBy("cluster").agg(
         F.min_by("lead_id", rank).alias("survivor"), F.count("*").alias("members"),
-        *[F.min_by(c, F.when(present(F.col(c)), rank)).alias(c) for c in MERGED],
+        *[F.min_by(c, F.when(present(F.col(c)), rank)).alias(c) for c in MERGED if c in leads.columns],
         F.min("follow_up_date").alias("follow_up_date"), F.max("last_contacted_at").alias("last_contacted_at"), F.max("last_enriched_at").alias("last_enriched_at"), F.max("do_not_contact").alias("do_not_contact"),
     )
 
 
+def merged_tags(leads: DataFrame, members: DataFrame, priority: DataFrame) -> DataFrame:
+    """M3: cluster and tags, the survivor's first, then what others add in their order."""
+    rows = leads.join(members, "lead_id").join(priority, "lead_id")
+    return ordered_union(rows, "cluster", F.struct((-F.col("priority")).alias("p"), "lead_id"), F.col("tags"), "tags")
+
+
+def merged_notes(leads: DataFrame, members: DataFrame, priority: DataFrame) -> DataFrame:
+    """M3: cluster and notes: the survivor's, and below them those of others that they don't hold yet, under the other's id."""
+    mark = "\x1f"
+    rows = leads.join(members, "lead_id").join(priority, "lead_id").withColumn("notes", F.when(present(F.col("notes")), F.concat(F.col("lead_id").cast("string"), F.lit(mark), F.col("notes"))))
+
+    def below(state: tuple, incoming: tuple) -> tuple:
+        held, (lead, note) = state[0], incoming[0].split(mark, 1)
+        return state if note in held.split(mark, 1)[1] else (f"{held}\n\n[Merged from lead {lead}]\n{note}", None)
+
+    told = folded(rows, "cluster", F.struct((-F.col("priority")).alias("p"), "lead_id"), ["notes"], below)
+    return told.select("cluster", F.get(F.split("notes", mark, 2), F.lit(1)).alias("notes"))
+
+
+def merged_profiles(profiles: DataFrame, members: DataFrame, priority: DataFrame) -> DataFrame:
+    """Cluster, signal, whether it is relevant to any member, the greatest confidence, and its words as an
+    ordered union. profiles: lead_id, signal, relevant, confidence, words."""
+    rows = profiles.join(members, "lead_id").join(priority, "lead_id").withColumn("of", F.struct("cluster", "signal"))
+    totals = rows.groupBy("of").agg(F.max("relevant").alias("relevant"), F.max("confidence").alias("confidence"))
+    words = ordered_union(rows, "of", F.struct((-F.col("priority")).alias("p"), "lead_id"), F.col("words"), "words")
+    return totals.join(words, "of", "left").select("of.cluster", "of.signal", "relevant", "confidence", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+
+
 def new_contacts(contacts: DataFrame, incoming: DataFrame) -> DataFrame:
     """M2: incoming contacts that aren't there yet, by lead, type, value and source record; of repeats the least id."""
     key = lambda: [F.col("lead_id"), F.col("contact_type"), F.coalesce("normalized_value", "raw_value").alias("value"), F.col("source_record_type"), F.col("source_record_id")]
