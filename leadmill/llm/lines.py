@@ -81,8 +81,8 @@ def generalise(lines: DataFrame, min_classes: int) -> DataFrame:
     constant = small(constant.where(F.col("count") >= min_classes).select("leaf", "at", "token"), "constant_tokens")
     stay = tokens.join(constant, ["leaf", "at", "token"], "left_semi")
     line = [*LINE, "leaf", "first", "after"]
-    # a line has few tokens, and only its own are gathered
-    kept = stay.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("stay"))
+    # a line has few tokens, and only its own are gathered; equal rows share them
+    kept = stay.groupBy(*line).agg(F.array_sort(F.collect_set(F.struct("at", "token"))).alias("stay"))
     kept = kept.where(5 * (F.size("stay") + F.col("after") - F.col("first")) >= 4 * F.col("n"))
     found = materialise(kept.select(*LINE, F.xxhash64("leaf", "n", "stay").alias("template"), F.hash("leaf", "stay").alias("check")), "templates")
     repeated = small(recurring(found, F.col("whole"), min_classes), "repeated_templates")
