@@ -130,10 +130,10 @@ def test_contained_finds_every_pattern(spark):
 def test_records_compared_by_their_fields(spark):
     """A record with the lead's mail domain, phone, name, street and place; one that shares nothing; one without fields."""
     names = "lead_id long, business_name string, category string, website string, domain string, email string, phone string, whatsapp string, address string, neighborhood string, city string, state string, postal_code string"
-    lead = (1, "Padaria Bela Vista", "padaria", None, None, "Ana@BelaVista.com.br", "(11) 98765-4321", None, "Rua A, 10 - Centro", "Centro", "Porto Alegre", "RS", None)
+    lead = (1, "Padaria Bela Vista", "Pet shop", None, None, "Ana@BelaVista.com.br", "(11) 98765-4321", None, "Rua A, 10 - Centro", "Centro", "Porto Alegre", "RS", None)
     fields = "record_id long, lead_id long, candidate_pos int, cnpj string, full_cnpj boolean, trade_name string, legal_name string, website string, email string, phone string, address string, neighborhood string, city string, state string, postal_code string, activity string"
     records = [
-        (1, 1, 1, "1", True, "PADARIA BELA VISTA", "Bela Vista Paes Ltda", "https://www.belavista.com.br/x", None, "+55 11 98765 4321", "Rua A, 10", "CENTRO", "porto alegre", "Rio Grande do Sul", "90650-001", "Padaria e confeitaria"),
+        (1, 1, 1, "1", True, "PADARIA BELA VISTA", "Bela Vista Paes Ltda", "https://www.belavista.com.br/x", None, "+55 11 98765 4321", "Rua A, 10", "CENTRO", "porto alegre", "Rio Grande do Sul", "90650-001", "Comércio de rações"),
         (2, 1, 2, "2", True, "Outra", "Maria da Silva", None, "x@y.com", "(21) 3333-0000", "Av. B, 12", None, "Rio", "RJ", None, None),
         (3, 1, 3, "3", False, *[None] * 11),
     ]
