@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions.text import normalize_text
-from leadmill.operators.containment import contained
+from leadmill.operators.containment import with_contained
 from leadmill.operators.rules import matching_region, matching_rule
 
 #: Keywords that fit too many businesses to tell one, and subsegments that one of them is not enough for.
@@ -23,12 +23,12 @@ def matching_subsegment(leads: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """lead_id, and of the first subsegment by (sort_order, name, id) with a keyword in the lead's text
     its id, its segment's, and its keywords that stand there, in the order listed.
 
-    taxonomy: subsegment_id, segment_id, name, sort_order, keywords (array). Texts and
-    keywords are matched once each, however many leads or subsegments share them."""
+    taxonomy: subsegment_id, segment_id, name, sort_order, keywords (array). Each
+    keyword is looked for once, however many subsegments share it."""
     listed = taxonomy.select("subsegment_id", "segment_id", "name", "sort_order", F.posexplode("keywords").alias("place", "keyword"))
     listed = listed.withColumn("pattern", normalize_text(F.col("keyword"))).where("pattern is not null")
     texts = leads.select("lead_id", lead_text().alias("text")).where("text is not null")
-    met = texts.join(contained(texts, "text", listed, "pattern"), "text").join(listed, "pattern")
+    met = with_contained(texts, "text", listed, "pattern").join(listed, "pattern")
     each = met.groupBy("lead_id", "subsegment_id", "segment_id", "name", "sort_order").agg(F.array_sort(F.collect_list(F.struct("place", "keyword"))).alias("found"))
     first = F.struct("sort_order", "name", "subsegment_id")
     best = each.groupBy("lead_id").agg(F.min_by(F.struct("subsegment_id", "segment_id", "name", "found"), first).alias("best"))

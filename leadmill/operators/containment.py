@@ -6,6 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
+#: The most patterns, and the most bytes of them, that go into the plan itself instead of a join.
+FEW, FEW_BYTES = 256, 1 << 18
+
+
+def few_patterns(patterns: DataFrame, pattern: str) -> list[str] | None:
+    """The distinct patterns that are neither null nor empty, or None where they are more than FEW or FEW_BYTES."""
+    wanted = patterns.select(F.col(pattern).alias("pattern")).where("pattern <> ''").distinct()
+    n, held = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern").cast("long")), F.lit(0))).first()
+    return sorted(r[0] for r in wanted.collect()) if n <= FEW and held <= FEW_BYTES else None
+
+
+def with_contained(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """rows, once for each distinct pattern that stands in their text, with it as column `pattern`.
+
+    A measured few patterns are looked for in one pass over the rows, without a shuffle;
+    more of them through contained(). Null and empty texts and patterns give no row."""
+    few = few_patterns(patterns, pattern)
+    if few is None:
+        pairs = contained(rows, text, patterns, pattern).withColumnRenamed("text", "text_met")
+        return rows.join(pairs, F.col(text) == F.col("text_met")).drop("text_met")
+    listed = F.array(*map(F.lit, few)) if few else F.array().cast("array<string>")
+    return rows.withColumn("pattern", F.explode(F.filter(listed, lambda p: F.contains(F.col(text), p))))
 
 
 def grams(c: Column, size: int) -> Column:

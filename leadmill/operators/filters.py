@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions.text import present
+from leadmill.operators.shared import measured
 
 #: Statuses by their place in the workflow, and the score from which a lead is a priority.
 ACTIVE = ("new", "reviewed", "approved", "contacted", "replied", "interested")
 FOLLOW_UP = ("contacted", "replied", "interested")
 UNCONTACTED = ("new", "reviewed", "approved")
 PRIORITY = 70
-SEARCHED = ("business_name", "category", "address", "neighborhood", "city", "state", "postal_code", "website", "domain", "email", "phone", "whatsapp", "instagram", "legal_name", "cnpj", "owner")
-SORTED = ("updated_at", "business_name", "category", "city", "state", "lead_score", "status", "follow_up_date", "lead_id")
+SEARCHED = ("business_name", "normalized_business_name", "category", "city", "state", "email", "phone", "whatsapp", "instagram", "website", "domain", "cnpj", "legal_name", "blocked_reason", "company_size_fit", "trade_type")
+#: Related tables whose names a search reads too: the key of a lead and the key there.
+RELATED = {"sales_regions": ("sales_region_id", "region_id"), "market_segments": ("market_segment_id", "segment_id"), "market_subsegments": ("market_subsegment_id", "subsegment_id"), "sales_reps": ("assigned_sales_rep_id", "sales_rep_id")}
+SORTED = ("lead_id", "business_name", "city", "state", "status", "lead_score", "created_at", "updated_at", "last_enriched_at", "assigned_at", "company_size_fit", "trade_type")
 HAYSTACK = ("business_name", "category", "neighborhood", "city", "state", "website", "email", "phone", "whatsapp", "status", "lead_source_type")
 
 
@@ -88,8 +91,22 @@ def condition(f: LeadFilters, searched: tuple[str, ...] = SEARCHED) -> Column:
     return out
 
 
-def filtered(leads: DataFrame, f: LeadFilters) -> DataFrame:
-    return leads.where(condition(f))
+def filtered(leads: DataFrame, f: LeadFilters, related: dict[str, DataFrame] | None = None) -> DataFrame:
+    """F1 to F8; with `related` (tables by the names of RELATED, each with `name`) a search also finds the
+    leads whose region, segment, subsegment or representative has the text in its name.
+
+    Only ids of matching rows meet the leads, so the leads are read once; a key that is null,
+    or repeats or has no row in its table, finds nothing more and doubles no lead."""
+    search = (f.search or "").strip()
+    if not search or not related:
+        return leads.where(condition(f))
+    met, found = leads.where(condition(replace(f, search=None))), condition(LeadFilters(blocked="include", search=search))
+    for name, (own, key) in RELATED.items():
+        if name in related:
+            hits = related[name].where(like(F.col("name"), f"%{search}%") & F.col(key).isNotNull()).select(F.col(key).alias(f"hit_{own}")).distinct()
+            met = met.join(measured(hits), F.col(own) == F.col(f"hit_{own}"), "left")
+            found |= F.col(f"hit_{own}").isNotNull()
+    return met.where(found).select(*leads.columns)
 
 
 def in_batch(leads: DataFrame, raw: DataFrame, batch_id: int) -> DataFrame:
@@ -169,7 +186,7 @@ def page(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
 def by_ids(leads: DataFrame, ids: list[int], blocked: str = "include", keep_order: bool = False) -> DataFrame:
     """SRC2 and SRC3: leads by id; in id order, or in the order asked for, first place of a repeated id."""
     wanted = leads.sparkSession.createDataFrame([(x, k) for k, x in enumerate(dict.fromkeys(ids))], "lead_id long, pos int")
-    found = leads.where(condition(LeadFilters(blocked=blocked))).join(F.broadcast(wanted), "lead_id")
+    found = leads.where(condition(LeadFilters(blocked=blocked))).join(measured(wanted), "lead_id")
     return found.orderBy("pos" if keep_order else "lead_id").drop("pos")
 
 

@@ -7,29 +7,30 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.functions.text import normalize_text, present
-from leadmill.operators.containment import contained
+from leadmill.functions.text import domain_of, normalize_text, present
+from leadmill.operators.containment import with_contained
 
 
 def exclusion_matches(leads: DataFrame, rules: DataFrame) -> DataFrame:
     """lead_id and the least rule id that fits: exact name, name contains, domain or sub-domain, category.
 
-    Equalities are hash joins (a domain is entered with all its parents), and
-    "contains" is one over runs of three characters, whatever the number of rules."""
+    Equalities are hash joins (the domain and the website's are entered with all their
+    parents); "contains" is a pass over the leads, or beyond a few rules a join over runs
+    of three characters."""
     name = F.coalesce("normalized_business_name", normalize_text(F.col("business_name")))
-    base = leads.select("lead_id", name.alias("name"), normalize_text(F.col("category")).alias("cat"), "domain")
+    site = domain_of(F.col("website")) if "website" in leads.columns else F.lit(None).cast("string")
+    base = leads.select("lead_id", name.alias("name"), normalize_text(F.col("category")).alias("cat"), F.array_distinct(F.array_compact(F.array("domain", site))).alias("hosts"))
     of = lambda kind: rules.where(F.col("rule_type") == kind).select("rule_id", F.col("normalized_pattern").alias("pattern"))
-    labels = F.split("domain", r"\.")
+    labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    domains = base.where(present(F.col("domain"))).select("lead_id", F.explode(parents).alias("pattern"))
+    domains = base.select("lead_id", F.explode("hosts").alias("host")).where("host <> ''").select("lead_id", F.explode(parents).alias("pattern"))
     found = [
         base.select("lead_id", F.col("name").alias("pattern")).join(of("exact_name"), "pattern"),
         base.select("lead_id", F.col("cat").alias("pattern")).join(of("provider_category"), "pattern"),
         domains.join(of("domain"), "pattern"),
     ]
     contains = of("business_name_contains")
-    pairs = contained(base, "name", contains, "pattern").withColumnRenamed("text", "name")
-    found.append(base.select("lead_id", "name").join(pairs, "name").join(contains, "pattern").select("pattern", "lead_id", "rule_id"))
+    found.append(with_contained(base.select("lead_id", "name"), "name", contains, "pattern").join(contains, "pattern").select("pattern", "lead_id", "rule_id"))
     both = reduce(lambda a, b: a.unionByName(b), found)
     return both.groupBy("lead_id").agg(F.min("rule_id").alias("rule_id"))
 
@@ -57,11 +58,11 @@ def matching_region(leads: DataFrame, regions: DataFrame) -> DataFrame:
     sizes = [x[0] for x in prefixed.select(F.length("r_postal_prefix")).distinct().collect()]  # eight at most
     prefixes = base.select("*", F.explode(F.array(*[F.when(F.length("digits") >= n, F.substring("digits", 1, n)) for n in sizes] or [F.lit(None).cast("string")])).alias("r_postal_prefix")).where("r_postal_prefix is not null")
     near = r.where(present(F.col("r_neighborhood_keyword")))
-    keywords = contained(base, "place", near, "r_neighborhood_keyword").withColumnsRenamed({"text": "place", "pattern": "r_neighborhood_keyword"})
+    keywords = with_contained(base, "place", near, "r_neighborhood_keyword").withColumnRenamed("pattern", "r_neighborhood_keyword")
     of_city = r.where(~F.col("r_requires_neighborhood") & F.col("r_city").isNotNull()).withColumn("city", F.col("r_city"))
     ways = [
         prefixes.join(prefixed, "r_postal_prefix").where(agree("state") & agree("city")).withColumn("step", F.lit(1)),
-        base.join(keywords, "place").join(near, "r_neighborhood_keyword").where(agree("state") & agree("city")).withColumn("step", F.lit(2)),
+        keywords.join(near, "r_neighborhood_keyword").where(agree("state") & agree("city")).withColumn("step", F.lit(2)),
         base.join(of_city, "city").where(agree("state")).withColumn("step", F.lit(3)),
     ]
     met = reduce(lambda a, b: a.unionByName(b), [w.select("lead_id", "step", "r_region_type", "r_name", F.col("r_region_id").alias("region_id")) for w in ways])

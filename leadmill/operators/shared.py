@@ -5,8 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The most bytes of a table that an explicit broadcast is made of.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +36,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked to be broadcast where its bytes (lengths of texts, 16 for every other column) are few enough.
+
+    df is counted for that, so it should be cheap to read twice; a larger one is joined by a shuffle."""
+    widths = [F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t == "string" else F.lit(16) for c, t in df.dtypes]
+    held = df.agg(F.coalesce(F.sum(reduce(lambda a, b: a + b, widths).cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= most else df
+
+
 def discard(spark: SparkSession, *written: DataFrame) -> None:
     """Delete tables of materialise() that no later step reads."""
     for df in written:

@@ -48,6 +48,11 @@ filter_query("f2_blocked_only", LeadFilters(blocked="only"), "is_blocked")
 filter_query("f3_city_state", LeadFilters(city="nation_1%", state="AM_RICA"), "NOT is_blocked AND city ILIKE 'nation_1%' AND state ILIKE 'AM_RICA'")
 filter_query("f4_category", LeadFilters(category="MACHIN"), "NOT is_blocked AND category ILIKE '%MACHIN%'")
 filter_query("f5_search", LeadFilters(search=" LOJA12"), "NOT is_blocked AND (" + " OR ".join(f"coalesce({c} ILIKE '%LOJA12%', false)" for c in filters.SEARCHED) + ")")
+_search = lambda term: " OR ".join(f"coalesce({c} ILIKE '%{term}%', false)" for c in filters.SEARCHED)
+_related = lambda s, d: {t: table(s, d, t) for t in filters.RELATED}
+for _n, _t in (("f5_search_related", "ation_2"), ("f5_search_representative", "equipe NATION_1"), ("f5_search_segment", "Segmento A")):
+    add(_n, lambda s, d, t=_t: filters.filtered(table(s, d, "leads"), LeadFilters(search=t), _related(s, d)).select(*IDS.split(", ")),
+        f"SELECT {IDS} FROM leads WHERE NOT is_blocked AND ({_search(_t)} OR " + " OR ".join(f"coalesce({own} IN (SELECT {key} FROM {t} WHERE name ILIKE '%{_t}%'), false)" for t, (own, key) in filters.RELATED.items()) + ")", "leads", *filters.RELATED)
 filter_query("f6_status_registry", LeadFilters(status="approved", cnpj_match_status="unknown", lead_source_type="website", do_not_contact=False), "NOT is_blocked AND status = 'approved' AND cnpj_match_status = 'unknown' AND lead_source_type = 'website' AND NOT do_not_contact")
 filter_query("f6c_assignment", LeadFilters(sales_region_id=2, market_segment_id=1, assigned=True, company_size_fit="possible_sme"), "NOT is_blocked AND sales_region_id = 2 AND market_segment_id = 1 AND assigned_sales_rep_id IS NOT NULL AND company_size_fit = 'possible_sme'")
 filter_query("f7_score_range", LeadFilters(score_min=40, score_max=60), "NOT is_blocked AND lead_score BETWEEN 40 AND 60")
@@ -68,6 +73,8 @@ leads_query("f12_workspace_search", lambda df: df.where(filters.matches(" NATION
 leads_query("f13_queue", lambda df: filters.queue(df, "Action queue", "loja", "highest_priority", TODAY, hide_duplicates=True).select(*IDS.split(", ")), f"SELECT {IDS} FROM leads WHERE {_LANES['action_queue'][1]} AND NOT is_duplicate AND contains(lower({_HAY}), 'loja')")
 leads_query("o1_list_page", lambda df: filters.page(df.where("NOT is_blocked").orderBy(*filters.list_order("lead_score")), 50, 25).select(*IDS.split(", ")), f"SELECT {IDS} FROM leads WHERE NOT is_blocked ORDER BY lead_score DESC, lead_id DESC LIMIT 50 OFFSET 25")
 leads_query("o3_follow_up_order", lambda df: filters.page(df.orderBy(*filters.queue_order("follow_up_date")), 100).select(*IDS.split(", ")), f"SELECT {IDS} FROM leads ORDER BY follow_up_date ASC NULLS LAST, lead_score DESC, lower(business_name), lead_id LIMIT 100")
+for _k in ("created_at", "assigned_at", "trade_type"):
+    leads_query(f"o1_by_{_k}", lambda df, k=_k: filters.page(df.where(F.col(k).isNotNull()).orderBy(*filters.list_order(k, False)), 40, 10).select("lead_id", k), f"SELECT lead_id, {_k} FROM leads WHERE {_k} IS NOT NULL ORDER BY {_k}, lead_id LIMIT 40 OFFSET 10")
 leads_query("o6_recent_leads", lambda df: filters.page(df.orderBy(*filters.list_order("updated_at")), 10).select("lead_id", "updated_at"), "SELECT lead_id, updated_at FROM leads ORDER BY updated_at DESC, lead_id DESC LIMIT 10")
 
 leads_query("a2_overview", reports.overview, f"SELECT count(*) AS leads, count(*) FILTER ({_has('email')}) AS with_email, count(*) FILTER ({_has('whatsapp')}) AS with_whatsapp, count(*) FILTER (do_not_contact) AS do_not_contact FROM leads")

@@ -49,7 +49,10 @@ SELECT c_custkey AS lead_id,
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey % 6 END AS market_subsegment_id,
   CASE WHEN c_custkey % 7 IN (0, 5) THEN NULL ELSE c_custkey % 7 END AS assigned_sales_rep_id,
   CASE c_custkey % 4 WHEN 0 THEN 'ideal_sme' WHEN 1 THEN 'possible_sme' WHEN 2 THEN 'large_enterprise' ELSE 'unknown' END AS company_size_fit,
-  CASE c_custkey % 3 WHEN 0 THEN 'varejo' WHEN 1 THEN 'atacado' ELSE 'unknown' END AS trade_type
+  CASE c_custkey % 3 WHEN 0 THEN 'varejo' WHEN 1 THEN 'atacado' ELSE 'unknown' END AS trade_type,
+  CASE WHEN c_custkey % 11 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Cliente atual' ELSE 'Pedido de saída' END END AS blocked_reason,
+  CAST(DATE '2023-01-01' + CAST(c_custkey % 300 AS INT) AS TIMESTAMP) AS created_at,
+  CASE WHEN c_custkey % 7 IN (0, 5) THEN NULL ELSE CAST(DATE '2023-11-01' + CAST(c_custkey % 90 AS INT) AS TIMESTAMP) END AS assigned_at
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 """
 
@@ -134,6 +137,24 @@ SELECT CAST(n_nationkey AS BIGINT) AS region_id, r_name AS state, n_name AS city
 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 """
 
+TABLES["market_segments"] = """
+SELECT CAST(r_regionkey AS BIGINT) AS segment_id, concat('Segmento ', r_name) AS name FROM {region}
+"""
+
+TABLES["market_subsegments"] = """
+SELECT CAST(n_nationkey AS BIGINT) AS subsegment_id, concat('Ramo ', n_name, ' e ', r_name) AS name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+"""
+
+TABLES["sales_reps"] = """
+SELECT CAST(n_nationkey AS BIGINT) AS sales_rep_id, CASE WHEN n_nationkey % 6 = 4 THEN NULL ELSE concat('Equipe ', n_name) END AS name FROM {nation}
+"""
+
+TABLES["municipalities"] = """
+SELECT n_name AS city, r_name AS state, lpad(CAST(3500000 + n_nationkey * 13 AS VARCHAR(20)), 7, '0') AS municipality,
+  CASE n_nationkey % 3 WHEN 0 THEN '11' WHEN 1 THEN '19' ELSE NULL END AS area
+FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 3
+"""
+
 TABLES["assignment_rules"] = """
 SELECT CAST(n_nationkey + 1 AS BIGINT) AS rule_id, CAST(n_nationkey % 10 AS INT) AS priority,
   CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE CAST(n_nationkey % 5 AS BIGINT) END AS region_id,
