@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +24,8 @@ REPEAT_HOURS, BULK_CONFIDENCE = 24, 0.5
 def shared_domain(c: Column) -> Column:
     """no domain, or one of the shared hosts or below it."""
     host = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    out = host == ""
-    for d in SHARED_DOMAINS:
-        out = out | (host == d) | host.endswith(f".{d}")
-    return out
+    hosts = "|".join(map(re.escape, SHARED_DOMAINS))
+    return (host == "") | host.rlike(rf"(^|\.)({hosts})$")
 
 
 def search_domain(mail_domain: Column, site_domain: Column) -> Column:
