@@ -164,6 +164,33 @@ FROM {nation}
 """
 
 
+_ID = "lpad(CAST(o_orderkey * 37 AS VARCHAR(20)), 14, '0')"
+_PLACE = "concat('\"nome_fantasia\":\"Mecânica ', n_name, '\",\"situacao_cadastral\":', CASE WHEN o_orderkey % 7 = 0 THEN '{{\"descricao\":\"Baixada\"}}' ELSE '\"Ativa\"' END, ',\"cep\":\"13000-', lpad(CAST(o_custkey % 1000 AS VARCHAR(20)), 3, '0'), '\",\"logradouro\":\" Rua ', n_name, ' \",\"numero\":\"', CAST(o_custkey % 50 AS VARCHAR(20)), '\",\"bairro\":\"\",\"email\":\"Fiscal@Loja', CAST(o_custkey AS VARCHAR(20)), '.com.br\",\"ddd1\":\"11\",\"telefone1\":\"3', lpad(CAST(o_custkey AS VARCHAR(20)), 7, '0'), '\",\"telefone2\":\"3', lpad(CAST(o_custkey AS VARCHAR(20)), 7, '0'), '\",\"telefone\":\"3', lpad(CAST(o_custkey AS VARCHAR(20)), 7, '0'), '\"')"
+_CITY = "concat('\"cidade\":', CASE WHEN o_custkey % 3 = 0 THEN concat('{{\"nome\":\"', n_name, '\"}}') ELSE concat('\"', n_name, '\"') END, ',\"estado\":', CASE o_custkey % 4 WHEN 0 THEN '{{\"sigla\":\"sp\"}}' WHEN 1 THEN '\"São Paulo\"' WHEN 2 THEN '35' ELSE concat('\"', r_name, '\"') END)"
+
+TABLES["registry_payloads"] = f"""
+SELECT payload_id, shape, requested_id, CASE WHEN payload_id % 29 = 0 THEN NULL WHEN payload_id % 31 = 0 THEN '{{{{broken' ELSE payload END AS payload FROM (
+SELECT o_orderkey AS payload_id, {_ID} AS requested_id, CASE o_custkey % 4 WHEN 0 THEN 'office' WHEN 1 THEN 'looked_up' WHEN 2 THEN 'establishment' ELSE 'flat' END AS shape,
+  CASE o_custkey % 4 WHEN 0 THEN
+    CASE o_orderkey % 4 WHEN 0 THEN concat('{{{{"office":{{{{"id":"o', CAST(o_orderkey AS VARCHAR(20)), '","taxId":"', {_ID}, '","alias":"Mecânica ', n_name, '","status":{{{{"id":2,"text":"Ativa"}}}},"address":{{{{"street":"Rua ', n_name, '","number":"', CAST(o_custkey % 50 AS VARCHAR(20)), '","district":"Centro","city":"', n_name, '","state":"', r_name, '","zip":"13000000","municipality":{{{{"id":3509502,"code":"3509502"}}}}}}}},"phones":[{{{{"area":"19","number":"3234', CAST(o_custkey AS VARCHAR(20)), '"}}}}," 1130 ",7,{{{{"number":"99"}}}}],"emails":[{{{{"address":"Contato@Loja', CAST(o_custkey AS VARCHAR(20)), '.com.br"}}}},"a@loja.com.br"],"website":"https://www.Loja', CAST(o_custkey AS VARCHAR(20)), '.com.br/contato","mainActivity":{{{{"code":"47.59-8/99","text":"Comércio"}}}}}}}},"company":{{{{"name":"', n_name, ' Ltda"}}}}}}}}')
+      WHEN 1 THEN concat('{{{{"cnpj":"', substring({_ID}, 1, 2), '.', substring({_ID}, 3, 3), '.', substring({_ID}, 6, 3), '/', substring({_ID}, 9, 4), '-', substring({_ID}, 13, 2), '","legalName":"  ","companyName":"', n_name, ' SA","tradeName":"Mecânica","registrationStatus":"Inapta","city":"', n_name, '","state":"sp","postalCode":"13000-000","phones":" 1933 ","emails":[{{{{"value":"sem arroba"}}}}],"url":"loja.com.br","mainActivity":"Oficina","address":{{{{}}}}}}}}')
+      WHEN 2 THEN concat('{{{{"office":{{{{}}}},"company":{{{{"name":"', n_name, '","alias":"Apelido"}}}},"address":{{{{"details":"Av. Central","municipality":"3509502","postalCode":"13000"}}}},"phones":[],"number":12,"number2":"x"}}}}')
+      ELSE concat('{{{{"office":{{{{"taxId":"123","company":{{{{"name":"', n_name, '"}}}},"phones":[]}}}},"phones":["11', CAST(o_custkey AS VARCHAR(20)), '"],"emails":"x@loja.com.br"}}}}') END
+    WHEN 3 THEN
+      concat('{{{{"id":"f', CAST(o_orderkey AS VARCHAR(20)), '","cnpj', CASE WHEN o_orderkey % 3 = 0 THEN concat('_mascarado":"**.', substring({_ID}, 3, 3), '.***/****-', substring({_ID}, 13, 2)) ELSE concat('":"', {_ID}) END, '","razao_social":"', n_name, ' Ltda",', {_PLACE}, ',', {_CITY}, ',"telefones":["1133",{{{{"telefone":"1144"}}}},{{{{"numero":" "}}}}],"emails":[{{{{"email":"b@loja.com.br"}}}}],"cnae_principal_descricao":"Oficina"', CASE WHEN o_orderkey % 5 = 0 THEN ',"endereco":"Rua Solta","address":{{{{"cep":"99999"}}}}' WHEN o_orderkey % 5 = 1 THEN concat(',"endereco":{{{{"street":"Rua Outra","uf":"RJ",', {_CITY}, ',"phones":["1155","1133"]}}}}') ELSE '' END, '}}}}')
+    ELSE CASE WHEN o_orderkey % 6 = 0 THEN concat('{{{{"cnpj_completo":"', {_ID}, '","razao_social":"', n_name, '",', {_PLACE}, ',', {_CITY}, ',"site":"http://loja.com.br"}}}}') WHEN o_orderkey % 6 = 1 THEN concat('{{{{"cnpj":"', {_ID}, '"}}}}')
+      ELSE concat('{{{{"razao_social":"', n_name, ' Ltda","estabelecimento":{{{{"cnpj":"', {_ID}, '",', {_PLACE}, ',', {_CITY}, ',"atividade_principal":{{{{"descricao":"Oficina"}}}}}}}}}}}}') END
+  END AS payload
+FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey) shaped
+"""
+
+TABLES["registry_responses"] = """
+SELECT payload_id, shape, CASE WHEN payload IS NULL OR payload_id % 31 = 0 OR payload_id % 8 = 0 THEN payload WHEN payload_id % 8 = 1 AND shape = 'office' THEN concat('[', payload, ',4,', payload, ']')
+  ELSE concat('{{', CASE WHEN payload_id % 3 = 0 THEN '"items":{{}},' ELSE '' END, '"', CASE shape WHEN 'office' THEN 'records' WHEN 'flat' THEN 'data' ELSE 'resultados' END, '":[', payload, ',"', requested_id, '",null,{{}}],"', CASE shape WHEN 'flat' THEN 'empresas' ELSE 'data' END, '":[{{}}]}}') END AS payload
+FROM (""" + TABLES["registry_payloads"] + """) payloads
+"""
+
+
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
