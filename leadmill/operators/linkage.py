@@ -106,10 +106,10 @@ def compared(leads: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def evidence(records: DataFrame) -> DataFrame:
+def evidence(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """E5: records with score, supportive evidence, identity and conflict. Input columns hold the compared facts:
     same_* booleans, alias_match and legal_match (equal, strong, none), brand_in_legal (all, some, none),
-    number_match, city_match, state_match (equal, different, missing)."""
+    number_match, city_match, state_match (equal, different, missing). Columns named in keep stay."""
     c, when = F.col, F.when
     alias, legal = c("alias_match") != "none", (c("alias_match") == "none") & (c("legal_match") != "none")
     # a brand's words in the legal name are a match of names too
@@ -134,7 +134,7 @@ def evidence(records: DataFrame) -> DataFrame:
         "record_id", "lead_id", "candidate_pos", "cnpj", "full_cnpj",
         F.greatest(F.lit(0), sum(parts.values(), F.lit(0))).alias("score"), support.alias("support"),
         (alias | by_legal | c("brand_in_alias") | c("same_domain") | c("same_phone")).alias("identity"),
-        ((c("city_match") == "different") | (c("state_match") == "different")).alias("conflict"),
+        ((c("city_match") == "different") | (c("state_match") == "different")).alias("conflict"), *keep,
     )
 
 

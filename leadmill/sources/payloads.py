@@ -144,7 +144,7 @@ def member(v: Column, key: str) -> Column:
 
 def text_of(v: Column) -> Column:
     """A text that isn't blank, without white space around it."""
-    return F.when(F.schema_of_variant(v) == "STRING", blank_to_null(F.btrim(F.try_variant_get(v, "$", "string"), F.lit(BLANKS))))
+    return F.when(F.schema_of_variant(v) == "STRING", F.nullif(F.btrim(F.try_variant_get(v, "$", "string"), F.lit(BLANKS)), F.lit("")))
 
 
 def list_of(v: Column) -> Column:
@@ -167,7 +167,7 @@ def _part(paths: str, strict: bool, root: Column, parts: dict[str, Column]) -> C
     if strict:
         filled = F.coalesce(*[F.when(~F.to_json(v).isin("null", '""', "{}", "[]", "false", "0"), v) for v in values])
         return F.when(is_object(filled), filled)
-    return F.coalesce(*[F.when(is_object(v) & (F.schema_of_variant(v) != "OBJECT<>"), v) for v in values])
+    return F.coalesce(*[F.when(F.schema_of_variant(v).rlike("^OBJECT<[^>]"), v) for v in values])
 
 
 def _first(paths: str, root: Column, parts: dict[str, Column]) -> Column:
