@@ -34,6 +34,14 @@ from leadmill.llm.components import components
 SEGMENTS = 32
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed 64-bit integer."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[k : k + 4096, None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint_text(text: str | None) -> int:
     """SimHash of one text as a signed 64-bit integer."""
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -41,11 +49,7 @@ def fingerprint_text(text: str | None) -> int:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
     shingles = zip(words, words[1:], words[2:]) if len(words) > 2 else [words]
-    hashes = np.array([digest(join(x), 42) for x in shingles], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[k : k + 4096, None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    return majority(np.array([digest(join(x), 42) for x in shingles], np.uint64))
 
 
 def fingerprint(text: Column) -> Column:

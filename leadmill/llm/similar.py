@@ -1,16 +1,22 @@
-"""Near-duplicates by the Jaccard similarity of their word shingles.
-
-Candidates come from min-wise hashes: a text's set of shingles has one minimum
-under each of bands x ROWS permutations, and texts that agree in all rows of a
-band share a cell. The number of bands follows from the similarity, so that a
-pair that just reaches it shares no cell with a probability of MISS (1e-8) only.
-Every candidate pair is then checked exactly on its texts.
-
-Pairs of a cell are never listed. Its members are first compared to its least and
-greatest member, which links a group of copies. Texts of cells that are in several
-components after that are compared where they share one of their rarest shingles:
-two sets of this similarity have to meet in the rarest fifth of either, whatever
-passages else they share with many others.
+"""Near-duplicates: SimHash by the segment-popcount embedding, then Jaccard similarity of word shingles.
+
+The first candidates are those of simhash.py: each set of shingles has a 64-bit
+SimHash, sets of one value are compared to its least set, and the least sets of
+values are compared along the links that the embedding's cells give. As an exact
+check follows, every link stands for a similarity that was asked for.
+
+A pair that just reaches a similarity of 0.8 differs in ten of 64 bits, which no
+index over 64 bits reaches. What SimHash leaves apart therefore meets by min-wise
+hashes: a set has one minimum under each of bands x ROWS permutations, and sets
+that agree in all rows of a band share a cell. The number of bands follows from
+the similarity, so that a pair that just reaches it shares no cell with a
+probability of MISS (1e-8) only.
+
+Pairs of a cell are never listed. Its members are first compared to a member of
+its least and of its greatest component, which links a group of copies. Texts of
+cells that are in several components after that are compared where they share one
+of their rarest shingles: two sets of this similarity have to meet in the rarest
+fifth of either, whatever passages else they share with many others.
 
 Defined results: null or empty text, or one without words, has the empty set,
 and all such are alike; texts shorter than a shingle have one of all their words;
@@ -33,6 +39,7 @@ from pyspark.sql import functions as F
 
 from leadmill.llm.common import discard, materialise, small
 from leadmill.llm.components import components
+from leadmill.llm.simhash import links, majority
 
 ROWS = 6
 #: Probability that a pair of just the similarity asked for shares no cell.
@@ -60,9 +67,9 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def mark(docs: DataFrame, key: str, text: str, size: int, bands: int) -> DataFrame:
-    """key, h (hash of the text), fp (of its set of shingles), n (their number) and cells."""
+    """key, h (hash of the text), fp (of its set of shingles), n (their number), bits (their SimHash) and cells."""
 
-    @F.pandas_udf("fp long, n long, cells array<long>")
+    @F.pandas_udf("fp long, n long, bits long, cells array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         r = np.random.default_rng(11)
         times = r.integers(0, 1 << 32, bands * ROWS, np.uint32) | np.uint32(1)
@@ -79,11 +86,27 @@ def mark(docs: DataFrame, key: str, text: str, size: int, bands: int) -> DataFra
             cells = (least.reshape(bands, ROWS).astype(np.uint64) * mix).sum(1, dtype=np.uint64) + band
             cells = (cells ^ cells >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
             fp = xxhash.xxh64_intdigest(found.tobytes())
-            rows.append((fp - (1 << 64) if fp >> 63 else fp, len(found), cells.view(np.int64)))
-        return pd.DataFrame(rows, columns=["fp", "n", "cells"])
+            rows.append((fp - (1 << 64) if fp >> 63 else fp, len(found), majority(found), cells.view(np.int64)))
+        return pd.DataFrame(rows, columns=["fp", "n", "bits", "cells"])
 
     marked = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), of(F.col(text)).alias("m"))
-    return marked.select("k", "h", "m.fp", "m.n", "m.cells")
+    return marked.select("k", "h", "m.fp", "m.n", "m.bits", "m.cells")
+
+
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose SimHash values are equal or linked by two bits at most: each set with the least of its
+    value, and these along the links of values. sets: fp, n, bits, one row for each set."""
+    least = materialise(sets.groupBy("bits").agg(F.min(F.struct("fp", "n")).alias("of")), "simhash_values")
+    own = sets.join(least, "bits").select(F.col("of").alias("x"), F.struct("fp", "n").alias("y"))
+    of = lambda end, name: least.select(F.col("bits").alias(end), F.col("of").alias(name))
+    near = links(least.select(F.col("bits").alias("fp"))).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    return own.unionByName(near)
+
+
+def fitting(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (a, b) of different sets x and y (fp, n) whose sizes allow the similarity, a < b."""
+    fits = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n")
+    return pairs.where((F.col("x.fp") != F.col("y.fp")) & fits).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
 def check(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -143,31 +166,35 @@ def labelled(docs: DataFrame, key: str, text: str, shingle: int, similarity: flo
     """k and h (hash of the text) of each row of docs with fp, and label of each fp: equal where a chain of pairs of at least this similarity links them."""
     bands = math.ceil(math.log(MISS) / math.log1p(-(similarity**ROWS))) if similarity < 1 else 1
     marked = materialise(mark(docs, key, text, shingle, bands), "shingle_sets")
-    entered = marked.select("fp", "n", F.explode("cells").alias("cell"))
-    shared = entered.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
+    sets = materialise(marked.select("fp", "n", "bits").distinct(), "distinct_sets")
+    first = materialise(fitting(simhash_pairs(sets), similarity), "simhash_pairs")
+    entered = marked.select("fp", F.explode("cells").alias("cell"))
+    shared = entered.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("cell")
     members = materialise(entered.join(shared, "cell").distinct(), "members")
 
-    wanted = members.select("fp").distinct()
+    wanted = first.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(members.select("fp")).distinct()
     one = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("k", "h")).alias("of"))
-    one = one.select("fp", F.col("of.k").alias("k"), F.col("of.h").alias("h"))
+    one = small(one.select("fp", F.col("of.k").alias("k"), F.col("of.h").alias("h")), "candidate_rows")
     found = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = found.join(one, F.col("__k").eqNullSafe(F.col("k")) & (F.xxhash64("text") == F.col("h"))).select("fp", "text")
     texts = materialise(found.groupBy("fp").agg(F.first("text").alias("text")), "candidate_texts")
 
-    sizes = members.select("fp", "n").distinct()
-    ends = members.select("fp", "n", F.explode(F.array("a", "z")).alias("end")).where("fp <> end").distinct()
-    ends = ends.join(sizes.select(F.col("fp").alias("end"), F.col("n").alias("m")), "end")
-    fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-    ends = ends.where(fits("n", "m")).select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
-    ends = materialise(ends, "pairs_with_ends")
-    edges = materialise(check(ends, texts, shingle, similarity), "links_with_ends")
+    close = materialise(check(first, texts, shingle, similarity), "simhash_links")
+    known = materialise(components(close).withColumnRenamed("node", "fp"), "simhash_labels")
+    told = sets.select("fp", "n").join(known, "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("label"))
+    placed = materialise(members.join(told, "fp"), "placed_members")
+    this = F.struct("label", "fp", "n")
+    ends = placed.groupBy("cell").agg(F.min(this).alias("s"), F.max(this).alias("z")).where("s.label < z.label")
+    ends = placed.join(ends, "cell").select("label", F.struct("fp", "n").alias("x"), F.explode(F.array("s", "z")).alias("y")).where("label <> y.label")
+    ends = materialise(fitting(ends.select("x", "y"), similarity), "pairs_with_ends")
+    edges = materialise(check(ends.join(first, ["a", "b"], "left_anti"), texts, shingle, similarity).unionByName(close), "links_with_ends")
 
     labels = materialise(components(edges).withColumnRenamed("node", "fp"), "first_labels")
-    placed = members.select("cell", "fp", "n").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    placed = members.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     open_cells = placed.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cell")
     placed = materialise(placed.join(open_cells, "cell", "left_semi"), "open_members")
     rest = rare_pairs(placed.select("fp", "label").distinct().join(texts, "fp"), shingle, similarity)
-    rest = materialise(rest.join(ends, ["a", "b"], "left_anti"), "other_pairs")
+    rest = materialise(rest.join(ends.unionByName(first), ["a", "b"], "left_anti"), "other_pairs")
     more = materialise(check(rest, texts, shingle, similarity), "other_links")
 
     # components that further links join; these are few
@@ -178,7 +205,7 @@ def labelled(docs: DataFrame, key: str, text: str, shingle: int, similarity: flo
     labels = materialise(placed_all.join(joined, "label", "left").select("fp", F.coalesce("least", "label").alias("label")), "labels")
     spark = docs.sparkSession
     rows = materialise(marked.select("k", "h", "fp"), "marked")
-    discard(spark, marked, members, texts, ends, edges, placed, rest, more)
+    discard(spark, marked, sets, first, members, one, texts, close, known, ends, edges, placed, rest, more)
     return rows, labels
 
 
@@ -197,9 +224,11 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rows, labels = labelled(docs, key, text, shingle, similarity)
     order = F.struct(F.col("k").isNull(), "k", "h")
     least = rows.groupBy("fp").agg(F.min(order).alias("of"), F.count("*").alias("n"))
-    of = least.join(labels, "fp").groupBy("label").agg(F.min("of").alias("of")).select(F.col("of.k").alias("__k"), F.col("of.h").alias("__h"))
-    of = materialise(of, "representatives")
-    met = docs.join(of, docs[key].eqNullSafe(of["__k"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == of["__h"]), "left_semi")
+    of = least.join(labels, "fp").groupBy("label").agg(F.min("of").alias("of")).select(F.col("of.k").alias("__of"), F.col("of.h").alias("__with"))
+    # those that go are fewer than those that stay, and the texts need not be shuffled where they can be broadcast
+    gone = rows.select("k", "h").distinct().join(of, F.col("k").eqNullSafe(F.col("__of")) & (F.col("h") == F.col("__with")), "left_anti")
+    gone = small(gone.select(F.col("k").alias("__k"), F.col("h").alias("__h")), "rows_that_go")
+    met = docs.join(gone, docs[key].eqNullSafe(gone["__k"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone["__h"]), "left_anti")
     # rows that repeat a key and a text meet only with each other
     twice = rows.groupBy("k", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("__k"), F.col("h").alias("__h"), F.lit(True).alias("__twice"))
     twice = small(twice, "repeated_rows")
