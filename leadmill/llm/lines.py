@@ -119,7 +119,8 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     counted = counted.withColumn("class", F.when(F.col("copy"), F.col("klass")).otherwise(F.col("whole")))
     lasting = small(recurring(counted, F.col("class"), min_classes), "recurring_lines")
     hits = met.join(lasting, ["template", "check"], "left_semi").groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(F.collect_set("pos").alias("__pos"))
-    hits = materialise(hits, "dropped_lines")
+    # broadcast where it is small, so that the texts stay in place
+    hits = small(hits, "dropped_lines")
     discard(spark, lines, repeated, shaped, met, copies, lasting)
 
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
