@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.operators import review
+from leadmill.operators import linkage, review
 from leadmill.operators.review import AMBIGUOUS, BELOW, IDENTITY, MOST, PENALTIES, PLACES
-from leadmill.plans.lead_queries import _EV, NOW, _registry
+from leadmill.plans.lead_queries import _EV, NOW
 from leadmill.sources.domain import oracle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,16 +17,22 @@ ORACLE_SQL: dict[str, str] = {}
 _SHOWN = ("record_id", "cnpj", "legal_name", "trade_name", "score", "match_confidence", "candidate_count", "blocked_reason", "approvable")
 
 
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    """The summaries of all leads; the records are made and written once, for the comparison and for what a summary shows."""
+    records = linkage.kept_records(table(s, d, "registry"))
+    return review.summaries(linkage.compared_kept(table(s, d, "leads"), records), records)
+
+
 def _leads(s: SparkSession, d: str) -> DataFrame:
     """Leads with their review state: every fifth has its last summary as its single one, every seventh only that."""
     kept = table(s, d, "leads").select("lead_id", "cnpj", "legal_name", "cnpj_match_status", F.lit(None).cast("double").alias("cnpj_match_confidence"))
-    met = kept.join(review.summaries(_registry(s, d), table(s, d, "registry")), "lead_id", "left")
+    met = kept.join(_candidates(s, d), "lead_id", "left")
     alone = F.when(F.expr("lead_id % 5 = 0 OR lead_id % 7 = 0"), F.element_at("candidates", -1))
     return met.withColumn("candidate", alone).withColumn("candidates", F.when(F.expr("lead_id % 7 <> 0"), F.col("candidates")))
 
 
 def _summaries(s: SparkSession, d: str) -> DataFrame:
-    each = review.summaries(_registry(s, d), table(s, d, "registry")).select("lead_id", F.posexplode("candidates").alias("place", "x"))
+    each = _candidates(s, d).select("lead_id", F.posexplode("candidates").alias("place", "x"))
     return each.select("lead_id", (F.col("place") + 1).alias("place"), *[f"x.{c}" for c in _SHOWN], *[F.array_join(f"x.{c}", "|").alias(c) for c in ("evidence", "penalties")])
 
 
