@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions.text import blank_to_null, domain_of, normalize_text, valid_company_id
 from leadmill.operators.linkage import MATCH, REVIEW
+from leadmill.operators.shared import materialise, measured
 
 #: Mail and link hosts by which no company is looked for.
 SHARED_DOMAINS = (
@@ -66,8 +67,10 @@ def known_id_outcome(leads: DataFrame, records: DataFrame) -> DataFrame:
     """Leads with a valid id: matched with confidence 1 where the registry has it, else not_found.
 
     Of several records of one id the first in the provider's order counts."""
-    asked = leads.where(valid_company_id(F.col("cnpj"))).select("lead_id", "cnpj")
-    first = records.groupBy("cnpj").agg(F.min_by("record_id", F.struct("candidate_pos", "record_id")).alias("record_id"))
+    # written, so that the check of an id isn't inferred for each record; records of other ids go before they are grouped
+    asked = materialise(leads.where(valid_company_id(F.col("cnpj"))).select("lead_id", "cnpj"), "asked_ids")
+    wanted = records.join(measured(asked.select("cnpj")), "cnpj", "left_semi")
+    first = wanted.groupBy("cnpj").agg(F.min_by("record_id", F.struct("candidate_pos", "record_id")).alias("record_id"))
     met = asked.join(first, "cnpj", "left")
     found = F.col("record_id").isNotNull()
     return met.select("lead_id", "record_id", F.when(found, "matched").otherwise("not_found").alias("status"), F.when(found, 1.0).otherwise(0.0).alias("confidence"))
