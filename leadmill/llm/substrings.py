@@ -14,7 +14,9 @@ with the input; `SuffixAutomaton` serves as the reference on small data.
 3. Starts of repeated windows return to their documents, which drop the words covered.
 
 A frequent passage is counted by partial aggregation and joined as a stream; its
-occurrences are never gathered. Texts move whole.
+occurrences are never gathered. Texts move whole, and only those that a broadcast
+bitmap of document hashes doesn't rule out: a text without repeated anchors or
+windows stays in its place.
 
 Defined results: null or empty text has no words and keeps the empty string;
 repeated rows are elsewhere for each other, so all their windows repeat; a text
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from leadmill.llm.common import discard, materialise, small
 
 WINDOW, GRAM = 35, 8
+#: Bits of a bitmap of documents (16 MB at most, whatever their number) and of each of its rows, as bitmap_construct_agg() makes them.
+MARKS, ROW_MARKS = 1 << 27, 1 << 15
 #: Odd multipliers of two polynomial hashes modulo 2 ** 64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -109,6 +113,22 @@ def _back(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, (left.h == right.h2) & (left.g == right.g2), how).drop("h2", "g2")
 
 
+def _marks(ids: DataFrame) -> DataFrame:
+    """A bitmap of the documents g2 of ids: rows of ROW_MARKS bits by their number."""
+    place = F.pmod("g2", F.lit(MARKS))
+    placed = ids.select(F.floor(place / ROW_MARKS).cast("int").alias("row"), (place % ROW_MARKS).alias("bit")).repartition("row")
+    return placed.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _marked(whole: DataFrame, marks: DataFrame, wanted: bool) -> DataFrame:
+    """Rows of whole that may be marked (a document that isn't may share a mark), or those that surely aren't; neither moves."""
+    place = F.pmod("g", F.lit(MARKS))
+    met = whole.join(F.broadcast(marks), F.floor(place / ROW_MARKS).cast("int") == F.col("row"), "left")
+    byte = F.conv(F.hex(F.substring("bits", (place % ROW_MARKS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")) % 2 == 1, F.lit(False))
+    return met.where(held if wanted else ~held).select(whole.columns)
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_words, n_removed, removed (spans) and kept (text)."""
     whole = _key(docs, key, text)
@@ -143,13 +163,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 rows.append((g, h, starts.astype(np.int32), one[starts].view(np.int64), (two[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             yield pd.DataFrame(rows, columns=["g", "h", "start", "one", "two"])
 
-    held = _back(whole.drop("k"), candidates, "inner").select("g", "h", "t", "anchor")
+    marks = materialise(_marks(candidates), "marks")
+    held = _back(_marked(whole.drop("k"), marks, True), candidates, "inner").select("g", "h", "t", "anchor")
     windows = materialise(held.mapInPandas(find_windows, "g long, h long, start array<int>, one array<long>, two array<int>"), "windows")
     rows = windows.select("g", "h", F.inline(F.arrays_zip("start", "one", "two")))
     repeated = small(rows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "repeated_windows")
     hit = rows.join(repeated, ["one", "two"], "left_semi").groupBy("g", "h").agg(F.collect_set("start").alias("start"))
     hit = materialise(hit.select(F.col("g").alias("g2"), F.col("h").alias("h2"), "start"), "repeats")
-    discard(docs.sparkSession, windows, repeated, candidates)
+    discard(docs.sparkSession, windows, repeated, candidates, marks)
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -166,7 +187,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 rows.append((k, len(words), int(covered.sum()), [{"first": int(x), "after": int(y)} for x, y in zip(edges[::2], edges[1::2])], kept))
             yield pd.DataFrame(rows, columns=["k", "n_words", "n_removed", "removed", "kept"])
 
-    out = _back(whole, hit, "left").select("k", "t", "start")
+    marks = materialise(_marks(hit), "marks")
+    out = _back(_marked(whole, marks, True), hit, "left").select("k", "t", "start")
+    out = out.unionByName(_marked(whole, marks, False).select("k", "t", F.lit(None).cast("array<int>").alias("start")))
     out = out.mapInPandas(cut, "k string, n_words long, n_removed long, removed array<struct<first: int, after: int>>, kept string")
     return out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), "n_words", "n_removed", "removed", "kept")
 
