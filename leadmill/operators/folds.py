@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions.text import normalize_text
@@ -42,7 +42,11 @@ def folded(rows: DataFrame, group: str, place: Column, fields: list[str], rule:
     values = rows.select(F.col(group).cast("string").alias("group"), place.alias("place"), F.explode(each).alias("e")).select("group", "place", "e.*").where("value <> ''")
     first = values.groupBy("group", "field", "value").agg(F.min("place").alias("place"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = first.repartition(tasks, "group", "field").sortWithinPartitions("group", "field", "place", "value").select("group", "field", "value", normalize_text(F.col("value")).alias("plain"))
+    own = Window.partitionBy("group", "field").orderBy("place", "value")
+    dealt = first.repartition(tasks, "group", "field").withColumns({"before": F.lag("value").over(own), "after": F.lead("value").over(own)})
+    # a text that is alone is never compared: it goes past the fold, and its plain spelling isn't worked out
+    alone = F.col("before").isNull() & F.col("after").isNull()
+    met = dealt.select("group", "field", "value", F.when(~alone, normalize_text(F.col("value"))).alias("plain"))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, (None, None)
@@ -61,7 +65,7 @@ def folded(rows: DataFrame, group: str, place: Column, fields: list[str], rule:
             yield told(out)
         yield told([(*key, state[0])] if key else [])
 
-    done = dealt.mapInArrow(stream, "group string, field string, value string")
+    done = met.mapInArrow(stream, "group string, field string, value string")
     wide = done.groupBy("group").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
     return wide.select(F.col("group").cast(rows.schema[group].dataType).alias(group), *fields)
 

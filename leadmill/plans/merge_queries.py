@@ -9,7 +9,7 @@ from leadmill.functions import text
 from leadmill.operators import extraction, matching, merging, preview_merge
 from leadmill.plans.more_queries import _FULL, _HOST, _RECURSIVE, _TEXT
 from leadmill.plans.variant_queries import _n1
-from leadmill.sources.domain import table
+from leadmill.sources.domain import dealt, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -34,7 +34,7 @@ _FIELDS = [c for c in preview_merge.TEXTS if f" AS {c}" in _ITEMS]
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
-    rows = s.sql(_ITEMS, customer=table(s, d, "customer"), nation=table(s, d, "nation"))
+    rows = s.sql(_ITEMS, customer=dealt(table(s, d, "customer")), nation=table(s, d, "nation"))
     return rows.withColumns({"search_terms": F.array("term_1", "term_2"), "payload": F.create_map(F.lit("x"), F.col("pay_x"), F.lit("y"), F.col("pay_y"))})
 
 
