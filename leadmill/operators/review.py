@@ -47,10 +47,11 @@ def confidence(score: Column) -> Column:
     return F.round(F.least(score, F.lit(100)) / 100, 2)
 
 
-def summaries(compared: DataFrame, records: DataFrame, most: int = MOST) -> DataFrame:
+def summaries(compared: DataFrame, records: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """lead_id and `candidates`, the summaries of a lead's best reviewable records, best first.
 
-    compared: as linkage.compared gives it. records: record_id and the FACTS. A record is reviewable with 14 digits
+    compared: as linkage.compared gives it. records: record_id and the FACTS; without them compared has the FACTS
+    in a struct `facts`, and nothing moves, as all of it is done by lead. A record is reviewable with 14 digits
     and no conflict of place, from a score of REVIEW; where the two best are close and the best is above MATCH,
     only those within GAP of it and above MATCH are. Equal scores keep the provider's order. Leads without one give no row.
     The window's partitions are those of the comparison, so the ranking needs no further shuffle."""
@@ -58,7 +59,10 @@ def summaries(compared: DataFrame, records: DataFrame, most: int = MOST) -> Data
     whole = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     named = lambda names: F.array_compact(F.array(*[F.when(F.expr(fact), n) for n, fact in names.items()]))
     facts = ("person_like", "alias_match", "legal_match", "brand_in_legal", *sorted({x.split(" ")[0] for x in (*IDENTITY.values(), *PLACES.values())}))
-    scored = evidence(compared, keep=facts)
+    held = records is None
+    scored = evidence(compared, keep=(*facts, "facts") if held else facts)
+    if held:  # most records can't be kept, and the window sorts them without their facts
+        scored = scored.withColumn("facts", F.when((F.col("score") >= REVIEW) & ~F.col("conflict"), F.col("facts")))
     ranked = scored.select(
         "*", F.first("score").over(whole).alias("top"), F.first("conflict").over(whole).alias("top_conflict"), F.nth_value("score", 2).over(whole).alias("second"), F.count("*").over(whole).alias("candidate_count"),
     )
@@ -69,7 +73,8 @@ def summaries(compared: DataFrame, records: DataFrame, most: int = MOST) -> Data
     c = F.col
     names = (c("alias_match") != "none") | (c("legal_match") != "none") | (c("brand_in_legal") != "none")
     placed = F.expr(" AND ".join(PLACES.values()))
-    told = few.join(records.select("record_id", *FACTS), "record_id").select(
+    whole_rows = few.select("*", *[F.col(f"facts.{x}").alias(x) for x in FACTS]) if held else few.join(records.select("record_id", *FACTS), "record_id")
+    told = whole_rows.select(
         "lead_id", "place",
         F.struct(
             "record_id", "cnpj", *FACTS, "score", confidence(c("score")).alias("match_confidence"), "candidate_count", named({**IDENTITY, **PLACES}).alias("evidence"), named(PENALTIES).alias("penalties"),

@@ -17,39 +17,43 @@ ORACLE_SQL: dict[str, str] = {}
 _SHOWN = ("record_id", "cnpj", "legal_name", "trade_name", "score", "match_confidence", "candidate_count", "blocked_reason", "approvable")
 
 
-def _candidates(s: SparkSession, d: str) -> DataFrame:
-    """The summaries of all leads; the records are made and written once, for the comparison and for what a summary shows."""
-    records = linkage.kept_records(table(s, d, "registry"))
-    return review.summaries(linkage.compared_kept(table(s, d, "leads"), records), records)
+def _records(s: SparkSession, d: str) -> DataFrame:
+    """The records, made and written once."""
+    return linkage.kept_records(table(s, d, "registry"))
 
 
-def _leads(s: SparkSession, d: str) -> DataFrame:
+def _candidates(s: SparkSession, d: str, records: DataFrame) -> DataFrame:
+    """The summaries of all leads; what a summary shows stays beside what is compared."""
+    return review.summaries(linkage.compared_kept(table(s, d, "leads"), records, review.FACTS))
+
+
+def _leads(s: SparkSession, d: str, records: DataFrame) -> DataFrame:
     """Leads with their review state: every fifth has its last summary as its single one, every seventh only that."""
     kept = table(s, d, "leads").select("lead_id", "cnpj", "legal_name", "cnpj_match_status", F.lit(None).cast("double").alias("cnpj_match_confidence"))
-    met = kept.join(_candidates(s, d), "lead_id", "left")
+    met = kept.join(_candidates(s, d, records), "lead_id", "left")
     alone = F.when(F.expr("lead_id % 5 = 0 OR lead_id % 7 = 0"), F.element_at("candidates", -1))
     return met.withColumn("candidate", alone).withColumn("candidates", F.when(F.expr("lead_id % 7 <> 0"), F.col("candidates")))
 
 
 def _summaries(s: SparkSession, d: str) -> DataFrame:
-    each = _candidates(s, d).select("lead_id", F.posexplode("candidates").alias("place", "x"))
+    each = _candidates(s, d, _records(s, d)).select("lead_id", F.posexplode("candidates").alias("place", "x"))
     return each.select("lead_id", (F.col("place") + 1).alias("place"), *[f"x.{c}" for c in _SHOWN], *[F.array_join(f"x.{c}", "|").alias(c) for c in ("evidence", "penalties")])
 
 
 def _reviews(s: SparkSession, d: str) -> DataFrame:
     """Two decisions for every lead, of which the later counts: by the id of some record, by none, or a rejection."""
-    leads = table(s, d, "leads").select("lead_id")
+    leads, records = table(s, d, "leads").select("lead_id"), _records(s, d)
     ids = table(s, d, "registry").groupBy("lead_id").agg(F.min("cnpj").alias("some"))
     asked = leads.join(ids, "lead_id", "left").select("lead_id", F.expr("CASE lead_id % 3 WHEN 2 THEN 'reject' ELSE 'approve' END").alias("action"), F.expr("CASE lead_id % 4 WHEN 1 THEN some WHEN 3 THEN '12' END").alias("target"), F.lit(NOW).alias("at"))
     before = asked.select("lead_id", F.lit("reject").alias("action"), F.lit("0").alias("target"), (F.col("at") - F.expr("INTERVAL 1 DAY")).alias("at"))
-    done = review.reviewed(_leads(s, d), asked.unionByName(before), NOW)
+    done = review.reviewed(_leads(s, d, records), asked.unionByName(before), NOW)
     return done.select("lead_id", "outcome", "previous_status", "cnpj", "legal_name", "cnpj_match_status", "cnpj_match_confidence", F.size("candidates").alias("n_candidates"), F.col("candidate.record_id").alias("record_id"))
 
 
 def _batch(s: SparkSession, d: str) -> DataFrame:
     """All leads twice, and ids that no lead has."""
     asked = table(s, d, "leads").select("lead_id")
-    return review.batch_outcomes(_leads(s, d), asked.unionByName(asked).unionByName(asked.select((-1 - F.col("lead_id")).alias("lead_id"))))
+    return review.batch_outcomes(_leads(s, d, _records(s, d)), asked.unionByName(asked).unionByName(asked.select((-1 - F.col("lead_id")).alias("lead_id"))))
 
 
 _SAID = lambda names: "concat_ws('|', " + ", ".join(f"CASE WHEN {fact} THEN '{n}' END" for n, fact in names.items()) + ")"
