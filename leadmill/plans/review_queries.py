@@ -43,7 +43,7 @@ def _summaries(s: SparkSession, d: str) -> DataFrame:
 def _reviews(s: SparkSession, d: str) -> DataFrame:
     """Two decisions for every lead, of which the later counts: by the id of some record, by none, or a rejection."""
     leads, records = table(s, d, "leads").select("lead_id"), _records(s, d)
-    ids = table(s, d, "registry").groupBy("lead_id").agg(F.min("cnpj").alias("some"))
+    ids = records.groupBy("lead_id").agg(F.min("cnpj").alias("some"))
     asked = leads.join(ids, "lead_id", "left").select("lead_id", F.expr("CASE lead_id % 3 WHEN 2 THEN 'reject' ELSE 'approve' END").alias("action"), F.expr("CASE lead_id % 4 WHEN 1 THEN some WHEN 3 THEN '12' END").alias("target"), F.lit(NOW).alias("at"))
     before = asked.select("lead_id", F.lit("reject").alias("action"), F.lit("0").alias("target"), (F.col("at") - F.expr("INTERVAL 1 DAY")).alias("at"))
     done = review.reviewed(_leads(s, d, records), asked.unionByName(before), NOW)

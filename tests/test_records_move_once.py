@@ -44,3 +44,9 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert held() <= files and spark.conf.get(CLEANUP) == set_before
     assert [t.count() for t in tables] == [7, 7, 7]
+
+
+def test_records_of_reviews_are_made_once(spark):
+    for name in ("m11_reviews", "m11_batch_outcomes"):
+        plan = review_queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan
